@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Bands tried in turn before the full table: near copies finish in the first one.
 _BANDS = (32, 512)
@@ -17,7 +18,7 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

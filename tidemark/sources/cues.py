@@ -11,9 +11,15 @@ from tidemark.functions.timecode import clock_to_ms, is_timing
 MAX_FILE_BYTES = 64 * 1024 * 1024  # larger caption files are rejected whole
 
 
+_MARK = "\ufeff"  # byte-order mark, ignored around a timing line
+
+
 def _lines(text: Column) -> Column:
-    text = F.regexp_replace(text, "\r\n?", "\n")
-    return F.replace(text, F.lit("﻿"), F.lit(""))
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def _unmarked(line: Column) -> Column:
+    return F.regexp_replace(line, f"^{_MARK}+|{_MARK}+$", "")
 
 
 def _blocks(text: Column) -> Column:
@@ -27,10 +33,10 @@ def _read_block(block: Column) -> Column:
     A line with an arrow that is neither a timing nor directly above one spoils the file.
     """
     lines = F.split(block, "\n")
-    marks = F.transform(lines, is_timing)
+    marks = F.transform(lines, lambda line: is_timing(_unmarked(line)))
     at = F.array_position(marks, F.lit(True)).cast("int")
     above = F.slice(lines, 1, F.when(at > 0, F.greatest(at - 2, F.lit(0))).otherwise(F.size(lines)))
-    timing = F.get(lines, at - 1)
+    timing = _unmarked(F.get(lines, at - 1))
     body = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
     return F.struct(
         (at > 0).alias("is_cue"),

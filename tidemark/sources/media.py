@@ -29,8 +29,8 @@ def reduced_rate(text: Column) -> Column:
     bottom = F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).try_cast("long")
     common = _gcd(top, bottom)
     usable = F.regexp_like(text, F.lit(r"^\d+(/\d+)?$")) & (bottom > 0)
-    shown_top = (top / F.nullif(common, F.lit(0))).cast("long")
-    shown_bottom = (bottom / F.nullif(common, F.lit(0))).cast("long")
+    shown_top = F.call_function("div", top, F.nullif(common, F.lit(0)))
+    shown_bottom = F.call_function("div", bottom, F.nullif(common, F.lit(0)))
     return F.when(
         usable,
         F.when(shown_bottom == 1, shown_top.cast("string")).otherwise(F.concat_ws("/", shown_top, shown_bottom)),

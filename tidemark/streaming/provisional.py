@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +11,7 @@ from tidemark.operators.observations import evidence_ref
 _INTERVAL = ["source_id", "start_ms", "end_ms"]
 
 
-def event_time() -> F.Column:
+def event_time() -> Column:
     """Event time of an observation: its end on the source clock, as an instant."""
     return F.timestamp_millis(F.col("end_ms"))
 
