@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Bands tried in turn before the full table: near copies finish in the first one.
-_BANDS = (32, 512)
-
+from tidemark.functions.binding import let
 
 def collapse_whitespace(text: Column) -> Column:
     """Join the Unicode whitespace-separated words with single spaces."""
@@ -47,39 +46,60 @@ def words(text: Column) -> Column:
     return F.filter(F.split(collapse_whitespace(text), " "), lambda w: w != "")
 
 
-def edit_distance(left: Column, right: Column) -> Column:
-    """Exact Levenshtein distance over code points, by growing bands."""
-    result = F.levenshtein(left, right)
-    for band in reversed(_BANDS):
-        narrow = F.levenshtein(left, right, band)
-        result = F.when(narrow >= 0, narrow).otherwise(result)
-    return result.cast("long")
+def _leading_matches(left: Column, right: Column, keep: int) -> Column:
+    """How many leading elements two arrays share, leaving ``keep`` elements on either side."""
+    same = F.zip_with(left, right, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    room = F.greatest(F.least(F.size(left), F.size(right)) - keep, F.lit(0))
+    return let(
+        F.array_position(same, F.lit(False)).cast("int"),
+        lambda first: F.least(F.when(first > 0, first - 1).otherwise(room), room),
+    )
 
 
-def _leading_matches(left: Column, right: Column) -> Column:
-    """How many leading elements two arrays share."""
-    same = F.zip_with(left, right, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    first_difference = F.array_position(same, F.lit(False))
-    shorter = F.least(F.size(left), F.size(right))
-    return F.when(first_difference > 0, (first_difference - 1).cast("int")).otherwise(shorter)
+def _differing_middle(left: Column, right: Column, keep: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` on two arrays without their shared head and tail, which no edit ever touches."""
+    def drop(values: Column, count: Column) -> Column:
+        return F.slice(values, count + 1, F.greatest(F.size(values) - count, F.lit(0)))
 
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
 
-def word_edit_distance(left: Column, right: Column) -> Column:
-    """Exact Levenshtein distance over word arrays.
+    def without_head(p: Column) -> Column:
+        return let(
+            _leading_matches(p["a"], p["b"], keep), lambda n: pair(drop(p["a"], n), drop(p["b"], n))
+        )
+
+    def turned(p: Column) -> Column:
+        return pair(F.reverse(p["a"]), F.reverse(p["b"]))
+
+    return let(
+        pair(left, right),
+        lambda p: let(
+            turned(without_head(p)),
+            lambda r: let(turned(without_head(r)), lambda m: body(m["a"], m["b"])),
+        ),
+    )
 
-    The shared head and tail never change the distance and are cut off first. The words left over
-    are numbered within their pair, written as private code points and compared as strings. Code
-    points start at U+4E00 and skip the surrogate range.
+
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact Levenshtein distance over code points.
+
+    Only the stretch between the first and the last differing word is compared, so near copies of
+    long texts cost little; at least one word stays on either side, with its spaces.
     """
-    def drop(values: Column, count: Column) -> Column:
-        return F.slice(values, count + 1, F.greatest(F.size(values) - count, F.lit(0)))
+    distance = _differing_middle(
+        F.split(left, " "), F.split(right, " "), 1,
+        lambda a, b: F.levenshtein(F.array_join(a, " "), F.array_join(b, " ")),
+    )
+    return F.when(left.isNotNull() & right.isNotNull(), distance).cast("long")
 
-    head = _leading_matches(left, right)
-    a, b = F.reverse(drop(left, head)), F.reverse(drop(right, head))
-    tail = _leading_matches(a, b)
-    a, b = drop(a, tail), drop(b, tail)
-    names = F.array_distinct(F.concat(a, b))
 
+def word_edit_distance(left: Column, right: Column) -> Column:
+    """Exact Levenshtein distance over word arrays.
+
+    The words between the shared head and tail are numbered within their pair, written as private
+    code points and compared as strings. Code points start at U+4E00 and skip the surrogate range.
+    """
     def encode(values: Column, names: Column) -> Column:
         def sign(word: Column) -> Column:
             number = F.array_position(names, word) + F.lit(0x4DFF)
@@ -88,8 +108,9 @@ def word_edit_distance(left: Column, right: Column) -> Column:
 
         return F.array_join(F.transform(values, sign), "")
 
-    # One-element arrays stand for a let-binding, so that each part is worked out once per pair.
-    pair = F.array(F.struct(a.alias("a"), b.alias("b"), names.alias("n")))
-    coded = F.transform(pair, lambda p: F.struct(encode(p["a"], p["n"]).alias("a"), encode(p["b"], p["n"]).alias("b")))
-    distance = F.transform(coded, lambda p: F.levenshtein(p["a"], p["b"]))
-    return F.get(distance, F.lit(0)).cast("long")
+    def compare(a: Column, b: Column) -> Column:
+        return let(
+            F.array_distinct(F.concat(a, b)), lambda n: F.levenshtein(encode(a, n), encode(b, n))
+        )
+
+    return _differing_middle(left, right, 0, compare).cast("long")

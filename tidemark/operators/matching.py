@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.boxes import area, iou, width
-from tidemark.operators.sequence import is_hot, largest_group, number_rows, ordered_fold
+from tidemark.functions.binding import let
+from tidemark.functions.boxes import area, height, iou, width
+from tidemark.operators.sequence import is_hot, largest_group, moved, number_rows, ordered_fold
 from tidemark.session import FOLD_ROWS_KEY, limit, materialise
 
 
@@ -67,29 +69,33 @@ def match_in_time(
             condition = condition & a[name].eqNullSafe(b[name])
         return condition
 
-    def step(state: Column, item: Column) -> tuple[Column, Column]:
+    def step(state: Column, item: Column) -> Column:
         going_on = same(state["gold"], item, [*g_times, "tol"])
-        left = F.when(going_on, state["left"]).otherwise(item["n_g"])
         mine = F.filter(state["used"], lambda u: same(u, item, p_times))
-        used = F.coalesce(F.get(mine, F.lit(0))["n"], F.lit(0).cast("long"))
-        take = F.least(left, item["n_p"] - used)
+        now = F.struct(
+            F.when(going_on, state["left"]).otherwise(item["n_g"]).alias("left"),
+            F.coalesce(F.get(mine, F.lit(0))["n"], F.lit(0).cast("long")).alias("used"),
+        )
+        return let(now, lambda n: take(state, item, n["left"], n["used"]))
+
+    def take(state: Column, item: Column, left: Column, used: Column) -> Column:
+        count = F.least(left, item["n_p"] - used)
         others = F.filter(
             state["used"],
             # Predictions behind the reach of this and every later gold row are forgotten.
             lambda u: ~same(u, item, p_times) & (u[f"p_{first}"] >= item[f"g_{first}"] - max_tolerance),
         )
-        entry = F.struct(*[item[c].alias(c) for c in p_times], (used + take).alias("n"))
-        entry = entry.cast(f"struct<{place},n:bigint>")
+        entry = F.struct(*[item[c].alias(c) for c in p_times], (used + count).alias("n"))
         after = F.struct(
             F.struct(*[item[c].alias(c) for c in [*g_times, "tol"]]).alias("gold"),
-            (left - take).alias("left"),
-            F.array_sort(F.array_append(others, entry)).alias("used"),
+            (left - count).alias("left"),
+            F.array_sort(F.array_append(others, entry.cast(f"struct<{place},n:bigint>"))).alias("used"),
         )
         flow = F.struct(
             *[item[c].alias(c) for c in [*g_times, "tol", *p_times]],
-            (item["n_g"] - left).alias("g_from"), used.alias("p_from"), take.alias("n"),
+            (item["n_g"] - left).alias("g_from"), used.alias("p_from"), count.alias("n"),
         )
-        return after, F.when(take > 0, flow)
+        return moved(after, F.when(count > 0, flow))
 
     nothing = F.lit(None).cast(carry)
     start = F.struct(
@@ -99,8 +105,13 @@ def match_in_time(
     flows = ordered_fold(
         near, keys, [*g_times, "tol", "error", *p_times], ["n_g", "n_p"], carry, emit, start, step
     )
-    ranked_gold = number_rows(golds, [*keys, *g_times, "tol"], ["gold_id"], "_g_rank")
-    ranked_pred = number_rows(preds, [*keys, *p_times], ["pred_id"], "_p_rank")
+    # Copies of one time are no more than the rows of their source, which are cheap to count.
+    ranked_gold = number_rows(
+        golds, [*keys, *g_times, "tol"], ["gold_id"], "_g_rank", None if is_hot(golds, keys) else False
+    )
+    ranked_pred = number_rows(
+        preds, [*keys, *p_times], ["pred_id"], "_p_rank", None if is_hot(preds, keys) else False
+    )
     placed = ranked_gold.join(flows, [*keys, *g_times, "tol"]).filter(
         (F.col("_g_rank") > F.col("g_from")) & (F.col("_g_rank") <= F.col("g_from") + F.col("n"))
     )
@@ -111,7 +122,9 @@ def match_in_time(
     )
 
 
-def match_by_score(edges: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def match_by_score(
+    edges: DataFrame, group: Sequence[str], order: Sequence[str], hot: bool | None = None
+) -> DataFrame:
     """Greedy one-to-one choice of edges (``g``, ``p``) in ascending total ``order``.
 
     Groups that fit one array are folded. In larger ones, each gold end proposes its best remaining
@@ -120,7 +133,9 @@ def match_by_score(edges: DataFrame, group: Sequence[str], order: Sequence[str])
     is unique, and it is the greedy choice.
     """
     names = edges.columns
-    if not is_hot(edges, group, FOLD_ROWS_KEY):
+    if hot is None:
+        hot = is_hot(edges, group, FOLD_ROWS_KEY)
+    if not hot:
         return _fold_edges(edges, group, order, names)
     sizes = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_edges"))
     bound = limit(edges.sparkSession, FOLD_ROWS_KEY)
@@ -163,7 +178,9 @@ def _settle_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str],
         )
 
 
-def region_edges(pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float) -> DataFrame:
+def region_edges(
+    pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float, crowded: bool
+) -> DataFrame:
     """Pairs of boxes of one frame with IoU of at least ``threshold``.
 
     Inputs carry ``frame`` columns, a position (``g`` / ``p``) and ``g_box`` / ``p_box``. Small frames
@@ -171,8 +188,7 @@ def region_edges(pred: DataFrame, gold: DataFrame, frame: Sequence[str], thresho
     follows the box width: an IoU of t needs widths within a factor t and centres within
     (1 - t) times the larger width, so only neighbouring cells can hold a partner.
     """
-    bound = limit(gold.sparkSession, FOLD_ROWS_KEY) ** 0.5
-    if largest_group(gold, frame) <= bound or largest_group(pred, frame) <= bound:
+    if not crowded:
         pairs = gold.join(pred, list(frame))
     else:
         def size_class(box: Column) -> Column:
@@ -181,63 +197,65 @@ def region_edges(pred: DataFrame, gold: DataFrame, frame: Sequence[str], thresho
         def cell(value: Column, scale: Column) -> Column:
             return F.floor(value / F.pow(F.lit(2.0), scale)).cast("long")
 
-        reach = max(1, math_ceil_log2(1 / threshold))
-        g = gold.withColumn("_class", size_class(F.col("g_box")))
-        g = g.withColumn("_cx", cell((F.col("g_box.x1") + F.col("g_box.x2")) / 2, F.col("_class")))
-        g = g.withColumn("_cy", cell((F.col("g_box.y1") + F.col("g_box.y2")) / 2, F.col("_class")))
+        def middle(box: str, axis: str) -> Column:
+            return (F.col(f"{box}.{axis}1") + F.col(f"{box}.{axis}2")) / 2
+
+        def cells_near(axis: str, slack: Column) -> Column:
+            at, scale = middle("p_box", axis), F.col("_class")
+            return F.explode(F.sequence(cell(at - slack, scale), cell(at + slack, scale)))
+
+        g = gold.withColumn("_class", size_class(F.col("g_box"))).withColumns(
+            {"_cx": cell(middle("g_box", "x"), F.col("_class")), "_cy": cell(middle("g_box", "y"), F.col("_class"))}
+        )
+        reach = max(1, math.ceil(math.log2(1 / threshold)))
         own = size_class(F.col("p_box"))
         p = pred.withColumn("_class", F.explode(F.sequence(own - reach, own + reach)))
-        slack_x = 1e-6 + (1 - threshold) * F.greatest(
-            width(F.col("p_box")), F.pow(F.lit(2.0), F.col("_class") + 1)
-        )
-        tall = F.col("p_box.y2") - F.col("p_box.y1")
-        slack_y = 1e-6 + (1 - threshold) * tall / threshold
-        middle_x = (F.col("p_box.x1") + F.col("p_box.x2")) / 2
-        middle_y = (F.col("p_box.y1") + F.col("p_box.y2")) / 2
-        p = p.withColumn("_cx", F.explode(F.sequence(
-            cell(middle_x - slack_x, F.col("_class")), cell(middle_x + slack_x, F.col("_class")))))
-        p = p.withColumn("_cy", F.explode(F.sequence(
-            cell(middle_y - slack_y, F.col("_class")), cell(middle_y + slack_y, F.col("_class")))))
+        widest = F.greatest(width(F.col("p_box")), F.pow(F.lit(2.0), F.col("_class") + 1))
+        tallest = height(F.col("p_box")) / threshold
+        p = p.withColumn("_cx", cells_near("x", 1e-6 + (1 - threshold) * widest))
+        p = p.withColumn("_cy", cells_near("y", 1e-6 + (1 - threshold) * tallest))
         pairs = g.join(p, [*frame, "_class", "_cx", "_cy"]).drop("_class", "_cx", "_cy")
     return pairs.withColumn("iou", iou(F.col("g_box"), F.col("p_box"))).filter(
         F.col("iou") >= threshold
     )
 
 
-def math_ceil_log2(value: float) -> int:
-    """Smallest whole power of two that reaches ``value``, as exponent."""
-    exponent = 0
-    while 2**exponent < value:
-        exponent += 1
-    return exponent
-
-
 def match_regions(pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """One-to-one region matches by descending (IoU, gold position, prediction position).
 
-    Identical boxes have IoU 1 and come first in that order, and among them the k-th last gold copy
-    meets the k-th last prediction copy. They are paired by rank, so piles of copies never become
-    pairs of everything with everything; only the rest is compared by IoU.
+    Where some frame is crowded, identical boxes are taken out first: they have IoU 1, come first in
+    that order, and the k-th last gold copy meets the k-th last prediction copy. They are paired by
+    rank, so piles of copies never become pairs of everything with everything; only the rest is
+    compared by IoU, within a grid.
     """
-    spots = ["x1", "y1", "x2", "y2"]
-
-    def flat(df: DataFrame, position: str, box: str) -> DataFrame:
-        return df.select(
-            *frame, position, box, *[F.col(f"{box}.{c}").alias(c) for c in spots],
-            (-F.col(position)).alias("_down"), area(F.col(box)).alias("_area"),
-        )
-
-    g, p = flat(gold, "g", "g_box"), flat(pred, "p", "p_box")
-    ranked_g = number_rows(g.filter("_area > 0"), [*frame, *spots], ["_down"], "_copy")
-    ranked_p = number_rows(p.filter("_area > 0"), [*frame, *spots], ["_down"], "_copy")
-    equal = ranked_g.join(ranked_p.drop("_down", "_area"), [*frame, *spots, "_copy"]).select(
-        *frame, "g", "p", F.lit(1.0).alias("iou")
+    side = limit(gold.sparkSession, FOLD_ROWS_KEY) ** 0.5
+    crowded = largest_group(gold, frame) > side or largest_group(pred, frame) > side
+    taken = _identical(pred, gold, frame) if crowded else None
+    if taken is not None:
+        gold = gold.join(taken.select(*frame, "g"), [*frame, "g"], "left_anti")
+        pred = pred.join(taken.select(*frame, "p"), [*frame, "p"], "left_anti")
+    edges = region_edges(
+        pred.select(*frame, "p", "p_box"), gold.select(*frame, "g", "g_box"), frame, threshold, crowded
     )
-    rest_g = gold.select(*frame, "g", "g_box").join(equal.select(*frame, "g"), [*frame, "g"], "left_anti")
-    rest_p = pred.select(*frame, "p", "p_box").join(equal.select(*frame, "p"), [*frame, "p"], "left_anti")
-    edges = region_edges(rest_p, rest_g, frame, threshold).select(
+    edges = edges.select(
         *frame, (-F.col("iou")).alias("_miou"), (-F.col("g")).alias("_mg"), (-F.col("p")).alias("_mp"),
         "g", "p", "iou",
     )
-    chosen = match_by_score(edges, frame, ["_miou", "_mg", "_mp"])
-    return equal.unionByName(chosen.select(*frame, "g", "p", "iou"))
+    # A frame with at most ``side`` boxes on either side has no more edges than one task may fold.
+    chosen = match_by_score(edges, frame, ["_miou", "_mg", "_mp"], None if crowded else False)
+    chosen = chosen.select(*frame, "g", "p", "iou")
+    return chosen if taken is None else taken.unionByName(chosen)
+
+
+def _identical(pred: DataFrame, gold: DataFrame, frame: Sequence[str]) -> DataFrame:
+    """Equal boxes of a frame, the last copies of either side paired first."""
+    spots = ["x1", "y1", "x2", "y2"]
+
+    def ranked(df: DataFrame, position: str, box: str) -> DataFrame:
+        flat = df.filter(area(F.col(box)) > 0).select(
+            *frame, position, *[F.col(f"{box}.{c}").alias(c) for c in spots], (-F.col(position)).alias("_down")
+        )
+        return number_rows(flat, [*frame, *spots], ["_down"], "_copy").drop("_down")
+
+    pairs = ranked(gold, "g", "g_box").join(ranked(pred, "p", "p_box"), [*frame, *spots, "_copy"])
+    return pairs.select(*frame, "g", "p", F.lit(1.0).alias("iou"))

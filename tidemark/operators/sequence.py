@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.binding import let
 from tidemark.session import BLOCK_ROWS_KEY, FOLD_ROWS_KEY, HOT_ROWS_KEY, limit, materialise
 
 
@@ -146,6 +147,11 @@ def running_sum(
     )
 
 
+def moved(carry: Column, emitted: Column) -> Column:
+    """Result of one fold step; a null ``emitted`` adds nothing to the output."""
+    return F.struct(carry.alias("carry"), emitted.alias("emit"))
+
+
 def ordered_fold(
     df: DataFrame,
     group: Sequence[str],
@@ -154,10 +160,10 @@ def ordered_fold(
     carry: str,
     emit: str,
     start: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
+    step: Callable[[Column, Column], Column],
     hot: bool | None = None,
 ) -> DataFrame:
-    """Order-dependent scan of each group: ``step(carry, item) -> (carry, emitted or null)``.
+    """Order-dependent scan of each group: ``step(carry, item)`` gives ``moved(carry, emitted)``.
 
     ``carry`` and ``emit`` are DDL types. Groups that fit one array are folded in one pass. Larger
     groups are cut into blocks of consecutive rows that are folded side by side; each block is then
@@ -171,11 +177,15 @@ def ordered_fold(
 
     def fold(values: Column, initial: Column) -> Column:
         def advance(acc: Column, item: Column) -> Column:
-            after, emitted = step(acc["carry"], item)
-            out = F.when(emitted.isNull(), acc["out"]).otherwise(
-                F.array_append(acc["out"], emitted.cast(emit))
+            return let(
+                step(acc["carry"], item),
+                lambda r: F.struct(
+                    r["carry"].cast(carry).alias("carry"),
+                    F.when(r["emit"].isNull(), acc["out"])
+                    .otherwise(F.array_append(acc["out"], r["emit"].cast(emit)))
+                    .alias("out"),
+                ).cast(state),
             )
-            return F.struct(after.cast(carry).alias("carry"), out.alias("out")).cast(state)
 
         zero = F.struct(initial.cast(carry).alias("carry"), F.array().cast(f"array<{emit}>").alias("out"))
         return F.aggregate(values, zero.cast(state), advance)

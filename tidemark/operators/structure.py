@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.timecode import half_even
-from tidemark.operators.sequence import number_rows, ordered_fold, running_sum, shift
-from tidemark.session import BLOCK_ROWS_KEY, limit
+from tidemark.operators.sequence import is_hot, moved, number_rows, ordered_fold, running_sum, shift
+from tidemark.session import BLOCK_ROWS_KEY, FOLD_ROWS_KEY, limit
 
 
 def difference(left: Column, right: Column, scale: float = 255.0) -> Column:
@@ -96,7 +96,7 @@ def classify_frames(
     scored = _flash_ends(frames, hard, gradual, window, scale)
     candidates = scored.filter("candidate")
 
-    def step(carry: Column, item: Column) -> tuple[Column, Column]:
+    def step(carry: Column, item: Column) -> Column:
         hidden = item["frame_index"] <= carry
         begins = ~hidden & item["flash_end"].isNotNull()
         verdict = F.struct(
@@ -104,11 +104,13 @@ def classify_frames(
             F.when(begins, item["flash_end"]).alias("hides_to"),
             (~hidden & item["flash_end"].isNull()).alias("is_cut"),
         )
-        return F.when(begins, item["flash_end"]).otherwise(carry), verdict
+        return moved(F.when(begins, item["flash_end"]).otherwise(carry), verdict)
 
     verdicts = ordered_fold(
         candidates, ["source_id"], ["frame_index"], ["flash_end"],
         "bigint", "struct<frame_index:bigint,hides_to:bigint,is_cut:boolean>", F.lit(-1), step,
+        # Frames are counted instead of candidates: an upper bound that needs no signature.
+        None if is_hot(frames, ["source_id"], FOLD_ROWS_KEY) else False,
     )
     # A flash hides its first frame and at most ``window`` more; the ranges never overlap.
     hidden = verdicts.filter("hides_to is not null").select(
@@ -135,7 +137,9 @@ def hard_cuts(classified: DataFrame, fps: float) -> DataFrame:
     )
 
 
-def gradual_runs(classified: DataFrame, hard: float, gradual: float, fps: float) -> DataFrame:
+def gradual_runs(
+    classified: DataFrame, hard: float, gradual: float, fps: float, hot: bool | None = None
+) -> DataFrame:
     """Maximal runs of unhidden frames between the thresholds, two long at least and weak at most.
 
     Runs are first built inside blocks of frame indexes; only the pieces (one row each) are then
@@ -156,10 +160,10 @@ def gradual_runs(classified: DataFrame, hard: float, gradual: float, fps: float)
             F.max("score").alias("peak"),
         )
     )
-    linked = shift(pieces, ["source_id"], ["first"], {"_previous": ("last", -1)})
+    linked = shift(pieces, ["source_id"], ["first"], {"_previous": ("last", -1)}, hot)
     opens = F.when(F.col("_previous") == F.col("first") - 1, 0).otherwise(1)
     numbered = running_sum(
-        linked.withColumn("_opens", opens), ["source_id"], ["first"], "_opens", "_run"
+        linked.withColumn("_opens", opens), ["source_id"], ["first"], "_opens", "_run", hot
     )
     runs = numbered.groupBy("source_id", "_run").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.max("peak").alias("peak")
@@ -174,37 +178,38 @@ def gradual_runs(classified: DataFrame, hard: float, gradual: float, fps: float)
 
 
 def accept_boundaries(
-    candidates: DataFrame, sources: DataFrame, min_ms: int, max_ms: int
+    candidates: DataFrame, sources: DataFrame, min_ms: int, max_ms: int, hot: bool | None = None
 ) -> DataFrame:
     """Boundaries at least ``min_ms`` apart, gaps over ``max_ms`` filled with uncertain marks.
 
     Filling a gap never changes a spacing decision, so spacing is one fold over the candidates and
-    filling one ``sequence`` per gap.
+    filling one ``sequence`` per gap. ``hot=False`` states that no source has more candidates than
+    one task can fold; left open, that is measured.
     """
     order = ["boundary_ms", "boundary_type", "confidence"]
     inside = candidates.join(sources.select("source_id", "duration_ms"), "source_id").filter(
         (F.col("boundary_ms") > 0) & (F.col("boundary_ms") < F.col("duration_ms"))
     )
 
-    def step(carry: Column, item: Column) -> tuple[Column, Column]:
-        # A gap that is filled leaves its last mark 1..max_ms before this candidate.
-        gap = item["boundary_ms"] - carry
-        taken = gap >= min_ms
-        return F.when(taken, item["boundary_ms"]).otherwise(carry), F.when(
-            taken, F.struct(*[item[c].alias(c) for c in order])
+    def step(carry: Column, item: Column) -> Column:
+        # Filled marks never count: the last accepted candidate alone decides.
+        taken = item["boundary_ms"] - carry >= min_ms
+        return moved(
+            F.when(taken, item["boundary_ms"]).otherwise(carry),
+            F.when(taken, F.struct(*[item[c].alias(c) for c in order])),
         )
 
     accepted = ordered_fold(
         inside, ["source_id"], order, [],
         "bigint", "struct<boundary_ms:bigint,boundary_type:string,confidence:double>",
-        F.lit(0), step,
+        F.lit(0), step, hot,
     )
     starts = sources.select(
         "source_id", F.lit(0).cast("long").alias("boundary_ms"),
         F.lit("source_start").alias("boundary_type"), F.lit(1.0).alias("confidence"),
     )
     firm = starts.unionByName(accepted)
-    ends = shift(firm, ["source_id"], ["boundary_ms"], {"_next": ("boundary_ms", 1)})
+    ends = shift(firm, ["source_id"], ["boundary_ms"], {"_next": ("boundary_ms", 1)}, hot)
     ends = ends.join(sources.select("source_id", "duration_ms"), "source_id").withColumn(
         "_next", F.coalesce("_next", "duration_ms")
     )
@@ -221,13 +226,12 @@ def accept_boundaries(
     return firm.unionByName(fill)
 
 
-def build_shots(boundaries: DataFrame, sources: DataFrame) -> DataFrame:
+def build_shots(boundaries: DataFrame, sources: DataFrame, hot: bool | None = None) -> DataFrame:
     """Contiguous shots from boundaries; the last one ends with its source."""
-    numbered = number_rows(boundaries, ["source_id"], ["boundary_ms"], "shot_no")
-    nexts = numbered.select(
-        "source_id", (F.col("shot_no") - 1).alias("shot_no"), F.col("boundary_ms").alias("_next")
-    )
-    shots = numbered.join(nexts, ["source_id", "shot_no"], "left").join(
+    if hot is None:
+        hot = is_hot(boundaries, ["source_id"])
+    followed = shift(boundaries, ["source_id"], ["boundary_ms"], {"_next": ("boundary_ms", 1)}, hot)
+    shots = number_rows(followed, ["source_id"], ["boundary_ms"], "shot_no", hot).join(
         sources.select("source_id", "duration_ms"), "source_id"
     )
     end = F.coalesce("_next", "duration_ms")

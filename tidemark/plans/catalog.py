@@ -25,10 +25,11 @@ from tidemark.operators import (
     timeline,
     tracks,
 )
+from tidemark.operators.sequence import is_hot
 from tidemark.plans import bindings as b
 from tidemark.plans import sql as q
-from tidemark.schemas import LEDGER, MODALITIES
-from tidemark.session import checkpoint_root, configure
+from tidemark.schemas import MODALITIES
+from tidemark.session import FOLD_ROWS_KEY, checkpoint_root, configure, materialise
 from tidemark.sources import cues as cue_source
 from tidemark.sources import exports, inventory, ledger_store, media, ocr_tables
 from tidemark.sources import observations as sidecar_source
@@ -131,19 +132,29 @@ def _classified(spark, sf):
     return structure.classify_frames(b.frames(spark, sf), b.HARD, b.GRADUAL, b.FLASH_MS, b.FPS)
 
 
+def _frame_hot(spark, sf):
+    """A source has fewer candidates, runs and shots than frames, which are cheap to count."""
+    return None if is_hot(b.table(spark, sf, "embeddings"), ["label"], FOLD_ROWS_KEY) else False
+
+
 def _frame_shots(spark, sf):
-    classified = _classified(spark, sf)
+    classified, hot = _classified(spark, sf), _frame_hot(spark, sf)
     candidates = structure.hard_cuts(classified, b.FPS).unionByName(
-        structure.gradual_runs(classified, b.HARD, b.GRADUAL, b.FPS)
+        structure.gradual_runs(classified, b.HARD, b.GRADUAL, b.FPS, hot)
     )
     sources = b.frame_sources(spark, sf)
-    return structure.build_shots(structure.accept_boundaries(candidates, sources, 500, 5000), sources)
+    accepted = structure.accept_boundaries(candidates, sources, 500, 5000, hot)
+    return structure.build_shots(accepted, sources, hot)
 
 
 def _event_shots(spark, sf):
+    """Shots are no more than events and the marks that fill a month of two-day gaps."""
     sources = b.event_sources(spark, sf)
-    accepted = structure.accept_boundaries(b.boundary_candidates(spark, sf), sources, 21_600_000, 172_800_000)
-    return structure.build_shots(accepted, sources)
+    hot = None if is_hot(b.table(spark, sf, "events"), ["user_id"], FOLD_ROWS_KEY) else False
+    accepted = structure.accept_boundaries(
+        b.boundary_candidates(spark, sf), sources, 21_600_000, 172_800_000, hot
+    )
+    return structure.build_shots(accepted, sources, hot)
 
 
 @query("frame_difference", f"WITH {q.FRAMES} SELECT source_id, frame_index, round(score, 9) AS score FROM scored")
@@ -170,7 +181,7 @@ def _flash_suppression(spark, sf):
 @query("gradual_runs", f"""WITH RECURSIVE {q.CUTS}
 SELECT source_id, boundary_ms, boundary_type, round(confidence, 9) AS confidence FROM gradual""")
 def _gradual_runs(spark, sf):
-    runs = structure.gradual_runs(_classified(spark, sf), b.HARD, b.GRADUAL, b.FPS)
+    runs = structure.gradual_runs(_classified(spark, sf), b.HARD, b.GRADUAL, b.FPS, _frame_hot(spark, sf))
     return rounded(runs, "confidence", digits=9)
 
 
@@ -199,11 +210,11 @@ def _detect_shots(spark, sf):
 seg AS (SELECT source_id, unnest(range(0, duration_ms, 700)) AS start_ms, duration_ms FROM fsrc),
 mid AS (SELECT source_id, start_ms // 700 + 1 AS shot_no,
                start_ms + (least(start_ms + 700, duration_ms) - start_ms) // 2 AS timestamp_ms FROM seg),
-at AS (SELECT *, CASE WHEN timestamp_ms % 100 = 50 THEN (timestamp_ms // 100) + (timestamp_ms // 100) % 2
+spot AS (SELECT *, CASE WHEN timestamp_ms % 100 = 50 THEN (timestamp_ms // 100) + (timestamp_ms // 100) % 2
                       ELSE (timestamp_ms + 50) // 100 END AS frame_index FROM mid)
-SELECT at.source_id, printf('KEY_%04d', shot_no) AS keyframe_id, timestamp_ms, at.frame_index,
-       'VID:' || at.source_id || ':frame:' || timestamp_ms AS evidence_ref, CAST(list_sum(sig) AS BIGINT) AS signature_sum
-FROM at LEFT JOIN fr ON fr.source_id = at.source_id AND fr.frame_index = at.frame_index""")
+SELECT spot.source_id, printf('KEY_%04d', shot_no) AS keyframe_id, timestamp_ms, spot.frame_index,
+       'VID:' || spot.source_id || ':frame:' || timestamp_ms AS evidence_ref, CAST(list_sum(sig) AS BIGINT) AS signature_sum
+FROM spot LEFT JOIN fr ON fr.source_id = spot.source_id AND fr.frame_index = spot.frame_index""")
 def _select_keyframes(spark, sf):
     sources = b.frame_sources(spark, sf)
     starts = timeline.uniform_samples(sources, 700).join(sources, "source_id")
@@ -338,6 +349,10 @@ round(sum(l_suppkey + l_tax * 100 - l_suppkey), 3) AS height_sum, min(l_linenumb
 
 # ---------------------------------------------------------------- text tracks
 
+def _region_hot(spark, sf):
+    return None if is_hot(b.table(spark, sf, "lineitem"), ["l_suppkey"]) else False
+
+
 def _members(spark, sf):
     return tracks.track_members(b.ocr_regions(spark, sf), b.MAX_GAP_MS)
 
@@ -359,7 +374,7 @@ def _text_track_summary(spark, sf):
 @query("text_track_arrays")
 def _text_track_arrays(spark, sf):
     return flat(
-        tracks.nest_tracks(_members(spark, sf)).select(
+        tracks.nest_tracks(_members(spark, sf), _region_hot(spark, sf)).select(
             "source_id", "track_id", "part", "member_observation_ids", "raw_text_variants", "maximum_gap_ms"
         ),
         "member_observation_ids", "raw_text_variants",
@@ -372,7 +387,7 @@ FROM regions WHERE false""")
 def _check_text_tracks(spark, sf):
     """Derived tracks pass every rule; the tests break them one by one."""
     rows = b.ocr_regions(spark, sf)
-    nested = tracks.nest_tracks(tracks.track_members(rows, b.MAX_GAP_MS))
+    nested = materialise(tracks.nest_tracks(_members(spark, sf), _region_hot(spark, sf)))
     evidence = rows.select("source_id", F.col("source_frame_evidence_ref").alias("evidence_ref")).distinct()
     return tracks.check_text_tracks(nested, rows, evidence, b.MAX_GAP_MS)
 

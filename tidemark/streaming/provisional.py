@@ -18,15 +18,18 @@ def event_time() -> Column:
 
 def deduplicated(observations: DataFrame, delay: str) -> DataFrame:
     """Observations once per (source, observation id), with state bounded by the watermark."""
-    timed = observations.withColumn("event_time", event_time()).withWatermark("event_time", delay)
+    timed = observations.withColumn("event_time", event_time())
+    if not observations.isStreaming:
+        return timed.dropDuplicates(["source_id", "observation_id"])
+    timed = timed.withWatermark("event_time", delay)
     return timed.dropDuplicatesWithinWatermark(["source_id", "observation_id"])
 
 
 def provisional_events(observations: DataFrame, delay: str) -> DataFrame:
     """Revision-1 events: equal intervals of a source, emitted once the watermark has passed them.
 
-    State holds one small aggregate per open interval, never its claims. Works the same on a batch
-    table, where the watermark has no effect.
+    State holds one small aggregate per open interval, never its claims. A batch table goes through
+    the same plan without a watermark.
     """
     return (
         deduplicated(observations, delay)
