@@ -30,11 +30,13 @@ def is_hot(df: DataFrame, keys: Sequence[str], key: str = HOT_ROWS_KEY) -> bool:
     return largest_group(df, keys) > limit(df.sparkSession, key)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, null matching null; the right side is derived from the left one."""
+    other = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(other, condition).drop(*[f"_r_{key}" for key in keys])
 
 
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -74,10 +76,9 @@ def number_rows(
     pieces = pieces.select(
         *group, "_slice", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    columns = df.columns
-    return placed.join(pieces, _same(placed, pieces, [*group, "_slice"])).select(
-        *[placed[c] for c in columns],
-        (placed["_at"] - pieces["_first"] + pieces["_before"] + 1).cast("long").alias(name),
+    number = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return _attach(placed, pieces, [*group, "_slice"]).select(
+        *df.columns, number.cast("long").alias(name)
     )
 
 
@@ -142,8 +143,8 @@ def running_sum(
     )
     local = W.partitionBy(*group, "_block").orderBy("_no").rowsBetween(W.unboundedPreceding, 0)
     inner = blocked.withColumn("_local", F.sum(value).over(local))
-    return inner.join(totals, _same(inner, totals, [*group, "_block"])).select(
-        *[inner[c] for c in df.columns], (inner["_local"] + totals["_base"]).alias(name)
+    return _attach(inner, totals, [*group, "_block"]).select(
+        *df.columns, (F.col("_local") + F.col("_base")).alias(name)
     )
 
 

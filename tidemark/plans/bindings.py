@@ -142,7 +142,9 @@ def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = content_id(_hash_of(F.col("l_suppkey")))
     x = (F.col("l_partkey") % 40 * 10).cast("double")
     y = (F.col("l_linenumber") * 30).cast("double")
-    observation = F.format_string("OCR_%d_%d_%d", "l_orderkey", "l_linenumber", "l_partkey")
+    observation = F.format_string(
+        "OCR_%d_%d_%d_%d", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long")
+    )
     return li.select(
         source.alias("source_id"),
         F.format_string("SHOT_%04d", F.floor(days / 365).cast("long")).alias("shot_id"),

@@ -162,7 +162,7 @@ REGIONS = f"""reg AS (
 regions AS (
   SELECT source_id, printf('SHOT_%04d', CAST(floor(day_no / 365.0) AS BIGINT)) AS shot_id,
          printf('KEY_%06d', day_no) AS keyframe_id,
-         'OCR_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS observation_id,
+         'OCR_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || CAST(l_quantity AS BIGINT) AS observation_id,
          day_no * 1000 AS timestamp_ms,
          l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN '  ' ELSE ' ' END || l_linestatus AS text,
          l_returnflag || ' ' || l_linestatus AS normalized_text,
