@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.binding import let
 from tidemark.functions.boxes import area, height, iou, width
 from tidemark.operators.sequence import is_hot, largest_group, moved, number_rows, ordered_fold
+from tidemark.operators.timeline import nearest_in_time
 from tidemark.session import FOLD_ROWS_KEY, limit, materialise
 
 
@@ -31,7 +32,6 @@ def match_in_time(
     ``gold_id``, ``pred_id`` and one ``error_<time>`` per time.
     """
     first = times[0]
-    width_ms = max(1, max_tolerance)
     p_times, g_times = [f"p_{t}" for t in times], [f"g_{t}" for t in times]
     preds = pred.select(*keys, "pred_id", *[F.col(t).alias(f"p_{t}") for t in times])
     golds = gold.select(
@@ -41,22 +41,14 @@ def match_in_time(
     pred_sets = preds.groupBy(*keys, *p_times).agg(F.count(F.lit(1)).alias("n_p"))
     gold_sets = golds.groupBy(*keys, *g_times, "tol").agg(F.count(F.lit(1)).alias("n_g"))
 
-    def bin_of(time: Column) -> Column:
-        return F.floor(time / width_ms).cast("long")
-
-    spread = F.sequence(
-        bin_of(F.col(f"g_{first}") - F.col("tol")), bin_of(F.col(f"g_{first}") + F.col("tol"))
-    )
-    # Bins keep a long source from meeting itself; copies were counted away above.
-    near = gold_sets.withColumn("_bin", F.explode(spread)).join(
-        pred_sets.withColumn("_bin", bin_of(F.col(f"p_{first}"))), [*keys, "_bin"]
-    )
+    # Times meet in bins, which keep a long source from meeting itself; copies were counted away.
+    near = nearest_in_time(gold_sets, pred_sets, keys, f"g_{first}", f"p_{first}", "tol", max(1, max_tolerance))
     error = F.lit(0).cast("long")
     for t in times:
         distance = F.abs(F.col(f"g_{t}") - F.col(f"p_{t}"))
         near = near.filter(distance <= F.col("tol"))
         error = error + distance
-    near = near.withColumn("error", error).drop("_bin")
+    near = near.drop("error_ms").withColumn("error", error)
 
     place = ",".join(f"{c}:bigint" for c in p_times)
     target = ",".join(f"{c}:bigint" for c in [*g_times, "tol"])

@@ -32,13 +32,31 @@ def chunk_id(number: Column) -> Column:
     return F.format_string("CHK_%04d", number + 1)
 
 
+_RUN = 4_096  # numbers unrolled at a time
+
+
+def _count_up(df: DataFrame, count: Column, name: str) -> DataFrame:
+    """Each row repeated with ``name`` = 0 … count - 1, in runs, so that no array grows with time."""
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / _RUN).cast("long"))
+    inside = F.sequence(
+        F.col("_run") * _RUN, F.least((F.col("_run") + 1) * _RUN, F.col("_count")) - 1
+    )
+    return (
+        df.withColumn("_count", count.cast("long"))
+        .filter("_count > 0")
+        .withColumn("_run", F.explode(runs))
+        .withColumn(name, F.explode(inside))
+        .drop("_count", "_run")
+    )
+
+
 def chunk_timeline(sources: DataFrame, size_ms: int, overlap_ms: int) -> DataFrame:
     """Overlapping windows of ``size_ms`` over each source, the last one clipped to its end."""
     check_chunk_arguments(size_ms, overlap_ms)
     step = size_ms - overlap_ms
-    numbers = F.sequence(F.lit(0).cast("long"), chunk_count(F.col("duration_ms"), size_ms, overlap_ms) - 1)
-    chunks = sources.filter("duration_ms > 0").select(
-        "source_id", "duration_ms", F.explode(numbers).alias("chunk_no")
+    chunks = _count_up(
+        sources.select("source_id", "duration_ms").filter("duration_ms > 0"),
+        chunk_count(F.col("duration_ms"), size_ms, overlap_ms), "chunk_no",
     )
     start = F.col("chunk_no") * step
     return chunks.select(
@@ -54,10 +72,10 @@ def uniform_samples(sources: DataFrame, interval_ms: int) -> DataFrame:
     """Timestamps 0, i, 2i … before the end of each source."""
     if interval_ms <= 0:
         raise ValueError("sample interval must be positive")
-    times = F.sequence(
-        F.lit(0).cast("long"), F.col("duration_ms") - 1, F.lit(interval_ms).cast("long")
+    samples = _count_up(
+        sources.select("source_id", "duration_ms"), F.ceil(F.col("duration_ms") / interval_ms), "_no"
     )
-    return sources.filter("duration_ms > 0").select("source_id", F.explode(times).alias("timestamp_ms"))
+    return samples.select("source_id", (F.col("_no") * interval_ms).alias("timestamp_ms"))
 
 
 def overlapping_chunks(start: Column, end: Column, duration: Column, size_ms: int, overlap_ms: int) -> Column:
@@ -86,18 +104,13 @@ def chunk_overlap(events: DataFrame, sources: DataFrame, size_ms: int, overlap_m
     return joined.withColumn("chunk_id", F.get("chunk_ids", F.lit(0)))
 
 
-def overlap_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], width_ms: int, how: str = "inner"
-) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width_ms: int) -> DataFrame:
     """Pairs of irregular intervals that share time.
 
     Both sides must have ``start_ms``/``end_ms``; the right one's come back as ``other_start_ms`` and
     ``other_end_ms``. Intervals are laid into bins of ``width_ms`` and joined on (keys, bin); a pair
     is kept only in the first bin that both touch, so nothing has to be made distinct afterwards.
     """
-    if how != "inner":
-        raise ValueError("only inner overlap joins are defined")
-
     def bins(df: DataFrame) -> DataFrame:
         first = _whole(F.floor(F.col("start_ms") / width_ms))
         last = _whole(F.floor((F.col("end_ms") - 1) / width_ms))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes, digests, rules
+from tidemark.functions.scores import prf
 from tidemark.functions.text import edit_distance, normalise_text, word_edit_distance, words
 from tidemark.operators import (
     annotation,
@@ -94,36 +95,40 @@ def _chunk_overlap(spark, sf):
 
 
 @query("interval_overlap_join", f"""WITH {q.EV},
-v AS (SELECT source_id, event_id, ms AS s, ms + 3600000 + event_id % 1000 * 60000 AS e FROM ev)
-SELECT a.source_id, a.event_id AS left_id, c.event_id AS right_id FROM v a JOIN v c
-ON a.source_id = c.source_id AND a.event_id % 2 = 0 AND c.event_id % 2 = 1 AND a.s < c.e AND a.e > c.s""")
+n AS (SELECT *, unnest(range(0, CASE WHEN duration_ms <= 86400000 THEN 1
+        ELSE CAST(ceil((duration_ms - 86400000) / 82800000.0) AS BIGINT) + 1 END)) AS k FROM src),
+c AS (SELECT source_id, k, k * 82800000 AS s, least(k * 82800000 + 86400000, duration_ms) AS e FROM n),
+v AS (SELECT source_id, event_id, ms AS s, ms + 1 + event_id * 7919 % 180000000 AS e FROM ev)
+SELECT v.source_id, event_id, k AS chunk_no FROM v JOIN c ON v.source_id = c.source_id AND v.s < c.e AND v.e > c.s""")
 def _interval_overlap_join(spark, sf):
+    """Events against chunks as if these were irregular: an event meets few chunks, however many
+    events there are."""
     spans = b.raw_events(spark, sf).select(
         "source_id", "event_id", F.col("ms").alias("start_ms"),
-        (F.col("ms") + 3_600_000 + F.col("event_id") % 1000 * 60_000).alias("end_ms"),
+        (F.col("ms") + 1 + F.col("event_id") * 7919 % 180_000_000).alias("end_ms"),
     )
-    even = spans.filter("event_id % 2 = 0").withColumnRenamed("event_id", "left_id")
-    odd = spans.filter("event_id % 2 = 1").withColumnRenamed("event_id", "right_id")
-    return timeline.overlap_join(even, odd, ["source_id"], 43_200_000).select("source_id", "left_id", "right_id")
+    chunks = timeline.chunk_timeline(b.event_sources(spark, sf), b.CHUNK_MS, b.OVERLAP_MS)
+    found = timeline.overlap_join(spans, chunks, ["source_id"], 43_200_000)
+    return found.select("source_id", "event_id", "chunk_no")
 
 
-@query("nearest_in_time", f"""WITH {q.EV}
-SELECT a.source_id, a.event_id AS left_id, c.event_id AS right_id, abs(a.ms - c.ms) AS error_ms FROM ev a JOIN ev c
-ON a.source_id = c.source_id AND a.event_type = 'view' AND c.event_type <> 'view'
-AND abs(a.ms - c.ms) <= 1800000 * (1 + a.event_id % 5)""")
+@query("nearest_in_time", f"""WITH {q.EV},
+l AS (SELECT source_id, ms // 60000 AS t, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY 1, 2),
+r AS (SELECT source_id, ms // 60000 AS t, count(*) AS n FROM ev WHERE event_type <> 'view' GROUP BY 1, 2)
+SELECT l.source_id, l.t AS left_minute, r.t AS right_minute, abs(l.t - r.t) AS error_ms, l.n AS left_rows, r.n AS right_rows
+FROM l JOIN r ON l.source_id = r.source_id AND abs(l.t - r.t) <= 30 * (1 + l.t % 5)""")
 def _nearest_in_time(spark, sf):
+    """Distinct minutes with their row counts: copies of a time are counted before they are paired."""
+    minute = F.floor(F.col("ms") / 60_000).cast("long")
     events = b.raw_events(spark, sf)
-    left = events.filter("event_type = 'view'").select(
-        "source_id", F.col("event_id").alias("left_id"), F.col("ms").alias("left_ms"),
-        (1_800_000 * (1 + F.col("event_id") % 5)).alias("tolerance_ms"),
-    )
-    right = events.filter("event_type <> 'view'").select(
-        "source_id", F.col("event_id").alias("right_id"), F.col("ms").alias("right_ms")
-    )
-    pairs = timeline.nearest_in_time(
-        left, right, ["source_id"], "left_ms", "right_ms", "tolerance_ms", 9_000_000
+    left = events.filter("event_type = 'view'").groupBy("source_id", minute.alias("left_minute")).agg(
+        F.count(F.lit(1)).alias("left_rows")
+    ).withColumn("tolerance", 30 * (1 + F.col("left_minute") % 5))
+    right = events.filter("event_type <> 'view'").groupBy("source_id", minute.alias("right_minute")).agg(
+        F.count(F.lit(1)).alias("right_rows")
     )
-    return pairs.select("source_id", "left_id", "right_id", "error_ms")
+    pairs = timeline.nearest_in_time(left, right, ["source_id"], "left_minute", "right_minute", "tolerance", 150)
+    return pairs.drop("tolerance")
 
 
 # ---------------------------------------------------------------- structure
@@ -304,32 +309,31 @@ def _word_edit_distance_pairs(spark, sf):
 
 
 @query("box_relations", f"""WITH {q.REGIONS},
-p AS (SELECT a.source_id, a.observation_id AS left_id, z.observation_id AS right_id,
-             greatest(least(a.x2, z.x2) - greatest(a.x1, z.x1), 0) * greatest(least(a.y2, z.y2) - greatest(a.y1, z.y1), 0) AS shared,
-             (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (z.x2 - z.x1) * (z.y2 - z.y1) AS za,
-             greatest(a.x2 - a.x1, a.y2 - a.y1, z.x2 - z.x1, z.y2 - z.y1, 1) AS scale,
-             abs((a.x1 + a.x2) / 2 - (z.x1 + z.x2) / 2) AS dx, abs((a.y1 + a.y2) / 2 - (z.y1 + z.y2) / 2) AS dy
-      FROM regions a JOIN regions z ON a.source_id = z.source_id AND a.keyframe_id = z.keyframe_id
-       AND a.observation_id < z.observation_id)
-SELECT source_id, left_id, right_id, shared AS intersection, round(shared / (aa + za - shared), 6) AS iou,
-       shared / (greatest(aa, 1) + greatest(za, 1) - shared) >= 0.1 OR (dx <= scale AND dy <= scale) AS compatible FROM p""")
+p AS (SELECT source_id, observation_id, x1, y1, x2, y2, x1 + day_no % 90 AS a1, y1 + day_no % 70 AS b1, x2 + day_no % 31 AS a2, y2 + day_no % 80 AS b2
+      FROM (SELECT *, CAST(substr(keyframe_id, 5) AS BIGINT) AS day_no FROM regions)),
+m AS (SELECT *, greatest(least(x2, a2) - greatest(x1, a1), 0) * greatest(least(y2, b2) - greatest(y1, b1), 0) AS shared,
+             (x2 - x1) * (y2 - y1) AS aa, (a2 - a1) * (b2 - b1) AS za, greatest(x2 - x1, y2 - y1, a2 - a1, b2 - b1, 1) AS scale,
+             abs((x1 + x2) / 2 - (a1 + a2) / 2) AS dx, abs((y1 + y2) / 2 - (b1 + b2) / 2) AS dy FROM p)
+SELECT source_id, observation_id, shared AS intersection, round(coalesce(shared / nullif(aa + za - shared, 0), 0), 6) AS iou,
+       shared / (greatest(aa, 1) + greatest(za, 1) - shared) >= 0.1 OR (dx <= scale AND dy <= scale) AS compatible FROM m""")
 def _box_relations(spark, sf):
-    r = b.ocr_regions(spark, sf).select("source_id", "keyframe_id", "observation_id", "bounding_box")
-    left = r.withColumnsRenamed({"observation_id": "left_id", "bounding_box": "lb"})
-    right = r.withColumnsRenamed({"observation_id": "right_id", "bounding_box": "rb"})
-    pairs = left.join(right, ["source_id", "keyframe_id"]).filter("left_id < right_id")
-    lb, rb = F.col("lb"), F.col("rb")
+    """Each region against a moved and resized copy of itself."""
+    day = F.substring("keyframe_id", 5, 20).cast("long")
+    one = F.col("bounding_box")
+    other = boxes.box(one["x1"] + day % 90, one["y1"] + day % 70, one["x2"] + day % 31, one["y2"] + day % 80)
+    pairs = b.ocr_regions(spark, sf).withColumn("other", other)
+    two = F.col("other")
     return rounded(
         pairs.select(
-            "source_id", "left_id", "right_id", boxes.intersection(lb, rb).alias("intersection"),
-            boxes.iou(lb, rb).alias("iou"), boxes.spatially_compatible(lb, rb).alias("compatible"),
+            "source_id", "observation_id", boxes.intersection(one, two).alias("intersection"),
+            boxes.iou(one, two).alias("iou"), boxes.spatially_compatible(one, two).alias("compatible"),
         ),
         "iou",
     )
 
 
-@query("polygon_boxes", """SELECT l_orderkey, count(*) AS boxes, sum(l_quantity) AS width_sum, sum(l_tax * 100) AS height_sum,
-       min(l_linenumber)::DOUBLE AS x1 FROM lineitem GROUP BY 1""")
+@query("polygon_boxes", """SELECT l_orderkey, count(*) AS boxes, round(sum(l_quantity), 3) AS width_sum,
+round(sum(l_suppkey + l_tax * 100 - l_suppkey), 3) AS height_sum, min(l_linenumber)::DOUBLE AS x1 FROM lineitem GROUP BY 1""")
 def _polygon_boxes(spark, sf):
     x, y = F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double")
     w, h = F.col("l_quantity"), F.col("l_tax") * 100
@@ -343,10 +347,6 @@ def _polygon_boxes(spark, sf):
     return rounded(sums, "width_sum", "height_sum", digits=3)
 
 
-ORACLE["polygon_boxes"] = """SELECT l_orderkey, count(*) AS boxes, round(sum(l_quantity), 3) AS width_sum,
-round(sum(l_suppkey + l_tax * 100 - l_suppkey), 3) AS height_sum, min(l_linenumber)::DOUBLE AS x1 FROM lineitem GROUP BY 1"""
-
-
 # ---------------------------------------------------------------- text tracks
 
 def _region_hot(spark, sf):
@@ -1026,8 +1026,6 @@ def _confusion(spark, sf):
 @query("prf_rules", """WITH c AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS p, count(*) FILTER (o_orderstatus = 'O') AS g FROM orders GROUP BY 1)
 SELECT k, """ + q.prf("least(p, g)", "p", "g") + " FROM c")
 def _prf_rules(spark, sf):
-    from tidemark.functions.scores import prf
-
     counts = b.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("p"), F.count_if(F.col("o_orderstatus") == "O").alias("g")
     )
