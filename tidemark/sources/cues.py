@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.functions.text import normalise_text
 from tidemark.functions.timecode import clock_to_ms, is_timing
 
@@ -32,19 +33,23 @@ def _read_block(block: Column) -> Column:
 
     A line with an arrow that is neither a timing nor directly above one spoils the file.
     """
-    lines = F.split(block, "\n")
-    marks = F.transform(lines, lambda line: is_timing(_unmarked(line)))
-    at = F.array_position(marks, F.lit(True)).cast("int")
-    above = F.slice(lines, 1, F.when(at > 0, F.greatest(at - 2, F.lit(0))).otherwise(F.size(lines)))
-    timing = _unmarked(F.get(lines, at - 1))
-    body = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
-    return F.struct(
-        (at > 0).alias("is_cue"),
-        F.exists(above, lambda line: F.contains(line, F.lit("-->"))).alias("broken"),
-        F.when(at > 0, clock_to_ms(timing, 1)).alias("start_ms"),
-        F.when(at > 0, clock_to_ms(timing, 5)).alias("end_ms"),
-        F.when(at > 0, F.array_join(body, "\n")).alias("text"),
-    )
+    def read(lines: Column, at: Column) -> Column:
+        above = F.slice(lines, 1, F.when(at > 0, F.greatest(at - 2, F.lit(0))).otherwise(F.size(lines)))
+        body = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
+        timing = _unmarked(F.get(lines, at - 1))
+        return F.struct(
+            (at > 0).alias("is_cue"),
+            F.exists(above, lambda line: F.contains(line, F.lit("-->"))).alias("broken"),
+            F.when(at > 0, clock_to_ms(timing, 1)).alias("start_ms"),
+            F.when(at > 0, clock_to_ms(timing, 5)).alias("end_ms"),
+            F.when(at > 0, F.array_join(body, "\n")).alias("text"),
+        )
+
+    def find(lines: Column) -> Column:
+        marks = F.transform(lines, lambda line: is_timing(_unmarked(line)))
+        return let(F.array_position(marks, F.lit(True)).cast("int"), lambda at: read(lines, at))
+
+    return let(F.split(block, "\n"), find)
 
 
 def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,18 +58,26 @@ def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A file with a broken timing, or with an interval outside ``0 <= start < end <= duration``, is
     rejected whole. Cue ids count the cues of one file from 1.
     """
-    read = files.withColumn("_parsed", F.transform(_blocks(_lines(F.col("content"))), _read_block))
-    read = read.withColumn("_cues", F.filter("_parsed", lambda b: b["is_cue"]))
-    duration = F.col("duration_ms")
-    reason = (
-        F.when(F.exists("_parsed", lambda b: b["broken"]), "broken_timing")
-        .when(F.exists("_cues", lambda c: c["start_ms"].isNull() | c["end_ms"].isNull()), "broken_timing")
-        .when(
-            F.exists("_cues", lambda c: (c["end_ms"] <= c["start_ms"]) | (c["end_ms"] > duration)),
-            "interval_outside_source",
+    def verdict(blocks: Column) -> Column:
+        cues = F.filter(blocks, lambda c: c["is_cue"])
+        unclear = F.exists(blocks, lambda c: c["broken"] | (c["is_cue"] & (c["start_ms"].isNull() | c["end_ms"].isNull())))
+        return let(
+            cues,
+            lambda kept: F.struct(
+                F.when(unclear, "broken_timing")
+                .when(
+                    F.exists(kept, lambda c: (c["end_ms"] <= c["start_ms"]) | (c["end_ms"] > F.col("duration_ms"))),
+                    "interval_outside_source",
+                ).alias("reason"),
+                kept.alias("cues"),
+            ),
         )
+
+    parsed = let(F.transform(_blocks(_lines(F.col("content"))), _read_block), verdict)
+    # Unpacking a one-element list keeps the optimiser from parsing again for every later use.
+    read = files.select("source_id", "track_id", F.explode(F.array(parsed)).alias("_p")).select(
+        "source_id", "track_id", F.col("_p.reason").alias("reason"), F.col("_p.cues").alias("_cues")
     )
-    read = read.withColumn("reason", reason)
     rejects = read.filter("reason is not null").select("source_id", "track_id", "reason")
     cues = read.filter("reason is null").select(
         "source_id", "track_id", F.posexplode("_cues").alias("_pos", "_cue")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.functions.boxes import box
 from tidemark.functions.text import collapse_whitespace
 
@@ -37,47 +38,58 @@ def parse_word_tables(frames: DataFrame, min_confidence: float) -> tuple[DataFra
     Blank words and words below ``min_confidence`` are dropped. A kept word with a negative or empty
     box, a row without a needed cell, or a missing column rejects its whole frame.
     """
-    text = F.regexp_replace("content", "\r\n?", "\n")
-    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda r: ~r.isin("", "\n"))
-    table = frames.withColumn("_rows", F.transform(records, _cells))
-    table = table.withColumn("_header", F.get("_rows", F.lit(0)))
-
-    def cell(row: Column, name: str) -> Column:
-        at = F.array_position(F.col("_header"), F.lit(name)).cast("int")
-        return F.get(row, at - 1)
-
-    def word(row: Column, index: Column) -> Column:
-        numbers = [F.trim(cell(row, c)).try_cast("int") for c in ("left", "top", "width", "height")]
-        return F.struct(
-            (index + 1).alias("row_index"), cell(row, "text").alias("text"),
-            F.trim(cell(row, "conf")).try_cast("double").alias("conf"),
-            *[n.alias(c) for n, c in zip(numbers, ("x", "y", "w", "h"))],
+    def words_of(rows: Column) -> Column:
+        header = F.get(rows, F.lit(0))
+        place = F.struct(*[F.array_position(header, F.lit(n)).cast("int").alias(n) for n in NEEDED])
+
+        def word(row: Column, index: Column, at: Column) -> Column:
+            def cell(name: str) -> Column:
+                return F.get(row, at[name] - 1)
+
+            sizes = [F.trim(cell(c)).try_cast("int") for c in ("left", "top", "width", "height")]
+            return F.struct(
+                (index + 1).cast("long").alias("row_index"), cell("text").alias("text"),
+                F.trim(cell("conf")).try_cast("double").alias("conf"),
+                *[n.alias(c) for n, c in zip(sizes, ("x", "y", "w", "h"))],
+            )
+
+        body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+        return let(
+            place,
+            lambda at: let(F.transform(body, lambda row, i: word(row, i, at)), lambda words: verdict(at, words)),
         )
 
-    body = F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))
-    table = table.withColumn("_words", F.transform(body, word))
-    complete = F.forall(F.lit(list(NEEDED)), lambda n: F.array_contains(F.col("_header"), n))
-    table = table.withColumn(
-        "_kept",
-        F.filter(
-            "_words",
+    def verdict(at: Column, words: Column) -> Column:
+        kept = F.filter(
+            words,
             lambda w: (collapse_whitespace(w["text"]) != "") & ~F.isnan(w["conf"]) & (w["conf"] >= min_confidence),
-        ),
-    )
-    unreadable = F.exists("_words", lambda w: w["text"].isNull() | w["conf"].isNull())
-    bad_box = F.exists(
-        "_kept",
-        lambda w: F.coalesce(
-            (w["x"] < 0) | (w["y"] < 0) | (w["w"] <= 0) | (w["h"] <= 0), F.lit(True)
-        ),
-    )
-    reason = (
-        F.when(F.octet_length("content") > MAX_FRAME_BYTES, "frame_too_large")
-        .when(~F.coalesce(complete, F.lit(False)), "columns_missing")
-        .when(unreadable, "cell_unreadable")
-        .when(bad_box, "bad_geometry")
+        )
+        complete = F.lit(True)
+        for name in NEEDED:
+            complete = complete & (at[name] > 0)
+        unreadable = F.exists(words, lambda w: w["text"].isNull() | w["conf"].isNull())
+        bad_box = lambda w: F.coalesce((w["x"] < 0) | (w["y"] < 0) | (w["w"] <= 0) | (w["h"] <= 0), F.lit(True))
+        return let(
+            kept,
+            lambda k: F.struct(
+                F.when(~F.coalesce(complete, F.lit(False)), "columns_missing")
+                .when(unreadable, "cell_unreadable")
+                .when(F.exists(k, bad_box), "bad_geometry").alias("reason"),
+                k.alias("kept"),
+            ),
+        )
+
+    text = F.regexp_replace("content", "\r\n?", "\n")
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda r: ~r.isin("", "\n"))
+    parsed = let(F.transform(records, _cells), words_of)
+    large = F.octet_length("content") > MAX_FRAME_BYTES
+    columns = ["source_id", "shot_id", "keyframe_id", "frame_no", "timestamp_ms"]
+    # Unpacking a one-element list keeps the optimiser from parsing again for every later use.
+    table = frames.select(*columns, large.alias("_large"), F.explode(F.array(F.when(~large, parsed))).alias("_p"))
+    table = table.select(
+        *columns, F.when(F.col("_large"), "frame_too_large").otherwise(F.col("_p.reason")).alias("reason"),
+        F.col("_p.kept").alias("_kept"),
     )
-    table = table.withColumn("reason", reason)
     rejects = table.filter("reason is not null").select("source_id", "keyframe_id", "reason")
     words = table.filter("reason is null").select(
         "source_id", "shot_id", "keyframe_id", "frame_no", "timestamp_ms",
@@ -87,7 +99,7 @@ def parse_word_tables(frames: DataFrame, min_confidence: float) -> tuple[DataFra
     x, y = F.col("w.x"), F.col("w.y")
     regions = words.select(
         "source_id", "shot_id", "keyframe_id", identifier.alias("observation_id"), "timestamp_ms",
-        F.col("w.row_index").cast("long").alias("row_index"), F.col("w.text").alias("text"),
+        F.col("w.row_index").alias("row_index"), F.col("w.text").alias("text"),
         collapse_whitespace(F.col("w.text")).alias("normalized_text"),
         box(x, y, x + F.col("w.w"), y + F.col("w.h")).alias("bounding_box"),
         F.col("w.conf").alias("ocr_confidence"),
