@@ -25,7 +25,8 @@ def _unmarked(line: Column) -> Column:
 
 def _blocks(text: Column) -> Column:
     """Runs of lines between empty lines."""
-    return F.filter(F.split(text, "\n\n+"), lambda b: b != "")
+    inner = F.regexp_replace(text, "^\n+|\n+$", "")
+    return F.filter(F.split(inner, "\n\n+"), lambda b: b != "")
 
 
 def _read_block(block: Column) -> Column:
