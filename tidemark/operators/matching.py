@@ -1,4 +1,4 @@
-"""One-to-one matching of predictions to gold, in the reference order, without oversized tasks."""
+"""One-to-one matching of predictions to gold, in a fixed order, without oversized tasks."""
 
 from __future__ import annotations
 

@@ -35,16 +35,17 @@ def region_scores(matches: DataFrame, pred: DataFrame, gold: DataFrame, frame: S
     )
 
 
-def reading_order(matches: DataFrame, frame: Sequence[str]) -> DataFrame:
+def reading_order(matches: DataFrame, frame: Sequence[str], hot: bool | None = None) -> DataFrame:
     """Over frames with several matches: gold positions already ascend in match order.
 
-    Match order is descending (IoU, gold position, prediction position).
+    Match order is descending (IoU, gold position, prediction position). ``hot=False`` states that no
+    frame has more regions than one task can sort.
     """
     keys = list(frame)
     ranked = matches.select(
         *keys, "g", (-F.col("iou")).alias("_a"), (-F.col("g")).alias("_b"), (-F.col("p")).alias("_c")
     )
-    ordered = shift(ranked, keys, ["_a", "_b", "_c"], {"_before": ("g", -1)})
+    ordered = shift(ranked, keys, ["_a", "_b", "_c"], {"_before": ("g", -1)}, hot)
     frames = ordered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("g") < F.col("_before"), 1).otherwise(0)).alias("falls"),

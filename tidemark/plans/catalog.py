@@ -1242,7 +1242,8 @@ o AS (SELECT frame_id, g, lag(g) OVER (PARTITION BY frame_id ORDER BY rk) AS b4
 f AS (SELECT frame_id, count(*) AS n, count(*) FILTER (g < b4) AS falls FROM o GROUP BY 1 HAVING count(*) > 1)
 SELECT count(*) AS frames, count(*) FILTER (falls = 0) AS in_order, round(count(*) FILTER (falls = 0)::DOUBLE / nullif(count(*), 0), 6) AS accuracy FROM f""")
 def _reading_order(spark, sf):
-    return rounded(regions.reading_order(_region_matches(spark, sf), ["frame_id"]), "accuracy")
+    hot = None if is_hot(b.table(spark, sf, "lineitem"), ["l_orderkey"]) else False
+    return rounded(regions.reading_order(_region_matches(spark, sf), ["frame_id"], hot), "accuracy")
 
 
 @query("region_agreement", f"""WITH RECURSIVE {_BOXES}
