@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import decontamination, line_rules, neardup
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,24 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_decontaminate": decontaminate,
+    "op7_quality_rules": quality_rules,
     "op10_near_duplicates": near_duplicates,
 }
-
-ORACLE: dict[str, str] = {}
