@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, quality, toxicity
+from . import decontamination, line_rules, neardup, packing, quality, toxicity
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -45,10 +45,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(_table(spark, sf_dir, "documents"))
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_table(spark, sf_dir, "documents"), packing.tokenizer_file())
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
     "op4_decontaminate": decontaminate,
     "op7_quality_rules": quality_rules,
+    "op9_best_fit_packing": best_fit_packing,
     "op10_near_duplicates": near_duplicates,
 }
