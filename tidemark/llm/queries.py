@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, packing, quality, toxicity
+from . import decontamination, line_rules, neardup, packing, quality, sharding, toxicity
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -49,9 +49,17 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"), packing.tokenizer_file())
 
 
+def shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
+    "op3_minimax_sharding": shard_bytes,
     "op4_decontaminate": decontaminate,
     "op7_quality_rules": quality_rules,
     "op9_best_fit_packing": best_fit_packing,
