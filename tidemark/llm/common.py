@@ -27,14 +27,20 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared checkpoint folder, deleted by :func:`release`."""
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and go on from the written rows.
 
     Lineage is cut by a table that every executor can read, so a lost executor costs its running
     tasks only. The table stays until :func:`release`.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _tables.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = shared_folder(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,6 +30,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
+WARC = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), w AS (
+    SELECT page_id, n, d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM w
+"""
+
 ORACLE = {
+    "op2_warc": WARC,
     "op4_decontaminate": DECONTAMINATE,
 }

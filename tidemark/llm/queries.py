@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, packing, quality, sharding, toxicity
+from . import decontamination, line_rules, neardup, packing, quality, sharding, toxicity, warc
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -56,9 +56,14 @@ def shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
+    "op2_warc": warc_round_trip,
     "op3_minimax_sharding": shard_bytes,
     "op4_decontaminate": decontaminate,
     "op7_quality_rules": quality_rules,
