@@ -23,7 +23,10 @@ BAND_ROWS = 5
 BANDS = 32  # a pair at similarity 0.8 shares no band with probability 3e-6, at 0.85 with 7e-9
 SIGMAS = 4.0  # pairs whose estimate lies further below the threshold are not verified
 PROBES = 4096
-BLOCK = 2_000  # members of one bucket that are compared inside one task at a time
+# Members of one bucket that are compared inside one task at a time are two blocks of about so many
+# classes, and of about so many shingles where texts are long.
+BLOCK = 2_000
+BLOCK_SHINGLES = 1_000_000
 _WORD_CACHE = 300_000
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -200,44 +203,83 @@ def _verify_pairs(words: int, percent: int):
     return run
 
 
-def _compare_groups(percent: int):
-    """Candidate pairs inside runs of rows of one bucket block.
+class _Group:
+    """Rows of one bucket block. Links between members of different components are found exactly.
 
-    Rows come sorted by (key, p, q): band, member, root, side, n, regs, filled. A pair is reported by
-    its first common band only, and only if its roots differ.
+    Members are compared by registers first. Whole shingle sets are made only of members that the
+    estimate leaves, and members that have met in one component meanwhile are not compared again, so
+    what is returned is enough to connect whatever is linked in the block.
     """
 
-    def pairs_of(group: pa.Table):
-        band = group.column("band")[0].as_py()
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        member = group.column("cls").to_numpy()
-        root = group.column("root").to_numpy()
-        block = group.column("block").to_numpy()
-        n = group.column("n").to_numpy().astype(np.float64)
-        regs = _rows(group.column("regs"), BUCKETS, np.uint16)
-        filled = _masks(group.column("filled"))
-        left = np.flatnonzero(block == p)
-        right = left if p == q else np.flatnonzero(block == q)
+    def __init__(self, group: pa.Table, hasher: ShingleHasher, percent: int):
+        self.band = group.column("band")[0].as_py()
+        self.p, self.q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        self.member = group.column("cls").to_numpy()
+        _, self.label = np.unique(group.column("root").to_numpy(), return_inverse=True)
+        self.block = group.column("block").to_numpy()
+        self.n = group.column("n").to_numpy().astype(np.float64)
+        self.texts = group.column("text")
+        self.hasher, self.percent = hasher, percent
+        self.sets: dict[int, np.ndarray] = {}
+        if self.label.max() == 0:
+            return
+        self.regs = _rows(group.column("regs"), BUCKETS, np.uint16)
+        self.filled = _masks(group.column("filled"))
+
+    def set_of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = self.hasher(self.texts[i].as_py().encode())
+        return self.sets[i]
+
+    def candidates(self, i: int, right: np.ndarray) -> np.ndarray:
+        n, regs = self.n, self.regs
+        j = right[self.label[right] != self.label[i]]
+        j = j[100 * np.minimum(n[i], n[j]) >= self.percent * np.maximum(n[i], n[j])]
+        if len(j) and self.band:  # pairs that share an earlier band are compared there
+            used = self.band * BAND_ROWS
+            equal = (regs[j, :used] == regs[i, :used]).reshape(len(j), self.band, BAND_ROWS)
+            j = j[~equal.all(axis=2).any(axis=1)]
+        if len(j):
+            own = slice(i, i + 1)
+            j = j[_likely(regs[j], self.filled[j], n[j], regs[own], self.filled[own], n[own], self.percent)]
+        return j
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        if self.label.max() == 0:
+            return
+        left = np.flatnonzero(self.block == self.p)
+        other = left if self.p == self.q else np.flatnonzero(self.block == self.q)
         for i in left:
-            j = right[right > i] if p == q else right
-            j = j[(root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
-            if not len(j):
-                continue
-            if band:
-                used = band * BAND_ROWS
-                earlier = (regs[j, :used] == regs[i, :used]).reshape(len(j), band, BAND_ROWS).all(axis=2).any(axis=1)
-                j = j[~earlier]
-                if not len(j):
+            j = self.candidates(i, other[other > i] if self.p == self.q else other)
+            while len(j):
+                some, j = j[:256], j[256:]
+                some = some[self.label[some] != self.label[i]]
+                if not len(some):
                     continue
-            j = j[_likely(regs[j], filled[j], n[j], regs[i : i + 1], filled[i : i + 1], n[i : i + 1], percent)]
-            yield np.minimum(member[i], member[j]), np.maximum(member[i], member[j])
-
-    def emit(groups):
-        found = [pair for group in groups for pair in pairs_of(group)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], ["a", "b"])
+                own = self.set_of(i)
+                sets = [self.set_of(k) for k in some]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                every = np.concatenate(sets)
+                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                shared = np.add.reduceat((own[at] == every).astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+                linked = 100 * shared >= self.percent * (sizes + len(own) - shared)
+                for k in some[linked]:
+                    if self.label[k] != self.label[i]:
+                        yield int(self.member[i]), int(self.member[k])
+                        self.label[self.label == self.label[k]] = self.label[i]
+
+
+def _link_groups(words: int, percent: int):
+    """Links between components inside runs of rows that come sorted by (key, p, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = ShingleHasher(words)
+
+        def emit(groups):
+            found = [link for group in groups for link in _Group(group, hasher, percent).links()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], ["a", "b"])
+
         rest: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -245,8 +287,7 @@ def _compare_groups(percent: int):
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
             keys = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            bounds = [0, *cuts.tolist()]
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
             yield from emit(table.slice(s, e - s) for s, e in zip(bounds, bounds[1:]) if e - s > 1)
             rest = table.slice(bounds[-1])
         if rest is not None:
@@ -270,9 +311,9 @@ def near_duplicates(
     Documents with equal sets are one class from the start. Bands of the registers put classes into
     buckets; every class is first compared with one leader per bucket, linear in the bucket. After
     those links are contracted, only classes of a shared bucket that are still in different
-    components are compared with each other, in blocks of bounded size, so no pair of a bucket is
-    left out and pairs inside a component are never formed. A pair goes through the register
-    estimate, then through the exact test on both whole texts.
+    components are compared with each other, inside tasks that hold two blocks of bounded size, so
+    no pair of a bucket is left out and no pair becomes a row unless it is linked. A pair goes
+    through the register estimate, then through the exact test on both whole texts.
     """
     spark = ready(docs.sparkSession)
     id_type = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
@@ -296,11 +337,16 @@ def near_duplicates(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.expr("regs").substr(i * bytes_per_band + 1, F.lit(bytes_per_band))),
     )
-    members = reps.select("cls", F.posexplode(keys).alias("band", "key"))
+    members = reps.select("cls", F.col("n").cast("int").alias("n"), F.posexplode(keys).alias("band", "key"))
     order = F.col("cls").bitwiseXOR(F.col("key"))  # a different order of the classes in every bucket
     leaders = (
-        members.groupBy("key").agg(F.min(order).alias("low"), F.count("*").alias("size")).where("size > 1")
-        .select("key", "size", F.col("low").bitwiseXOR(F.col("key")).alias("leader"))
+        members.groupBy("key").agg(F.min(order).alias("low"), F.count("*").alias("size"), F.sum("n").alias("weight"))
+        .where("size > 1")
+        .select(
+            "key",
+            F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+            F.col("low").bitwiseXOR(F.col("key")).alias("leader"),
+        )
     )
     busy = written(members.join(leaders, "key"), "members")
 
@@ -340,24 +386,25 @@ def near_duplicates(
     placed = busy.join(rooted.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
-    placed = written(placed.select("key", "band", "cls", "size", "root"), "placed")
+    placed = written(placed.select("key", "band", "cls", "blocks", "root"), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     spread = (
         placed.join(mixed.select("key"), "key", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "band", "cls", "root", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key", "band", "cls", "root", "block",
+            F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+        )
     )
     across = (
-        spread.join(reps, "cls")
+        spread.join(reps, "cls").join(text_of, "cls")
         .repartition(F.col("key"), F.col("p"), F.col("q"))
-        .sortWithinPartitions("key", "p", "q", "cls")
-        .select("key", "p", "q", "band", "cls", "root", "block", "n", "regs", "filled")
-        .mapInArrow(_compare_groups(percent), "a long, b long")
+        .sortWithinPartitions("key", "p", "q")
+        .select("key", "p", "q", "band", "cls", "root", "block", "n", "regs", "filled", "text")
+        .mapInArrow(_link_groups(words, percent), "a long, b long")
     )
-    more = written(across.join(tested, ["a", "b"], "left_anti"), "pairs")
-    late = written(verified(more), "links")
+    late = written(across, "links")
     if late.isEmpty():
         final = rooted
     else:
