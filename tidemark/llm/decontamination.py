@@ -142,6 +142,46 @@ def _with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _automata(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> list[Broadcast]:
+    """The windows of all items with their items, in lists that one automaton each may hold."""
+    spark = benchmark.sparkSession
+    windows = (
+        benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text))
+        .mapInArrow(_windows(window), "item string, window binary")
+        .groupBy("window")
+        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+    )
+    passes = max(1, -(-windows.count() // WINDOWS_PER_PASS))
+    shared = []
+    for part in range(passes):
+        chosen = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == part)
+        rows = sorted((bytes(r["window"]), list(r["items"])) for r in chosen.collect())  # bounded per pass
+        shared.append(spark.sparkContext.broadcast(rows))
+    return shared
+
+
+def _without_hits(shared: Broadcast, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared)
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([not matcher.find(words_of(t))[0] for t in texts], pa.bool_()))
+
+    return run
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The whole rows of ``docs`` in which :func:`contamination` finds nothing."""
+    ready(docs.sparkSession)
+    clean = docs
+    for shared in _automata(benchmark, item_id, item_text, window):
+        clean = clean.mapInArrow(_without_hits(shared, docs.columns.index(text_col)), docs.schema)
+    return clean
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -163,21 +203,11 @@ def contamination(
     The windows are built by Spark. As many as one automaton may hold are shipped to the tasks, and
     the documents stream through it without a shuffle; further windows take further passes.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     id_type = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    windows = (
-        benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text))
-        .mapInArrow(_windows(window), "item string, window binary")
-        .groupBy("window")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-    count = windows.count()
-    passes = max(1, -(-count // WINDOWS_PER_PASS))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for part in range(passes):
-        chosen = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == part)
-        rows = sorted((bytes(r["window"]), list(r["items"])) for r in chosen.collect())  # bounded per pass
-        found = found.mapInArrow(_scan(spark.sparkContext.broadcast(rows)), _SCHEMA.format(id=id_type))
+    for shared in _automata(benchmark, item_id, item_text, window):
+        found = found.mapInArrow(_scan(shared), _SCHEMA.format(id=id_type))
     found = found.mapInArrow(
         _with_spans,
         f"id {id_type}, n_words long, hits array<struct<start:int,end:int>>, items array<string>, "

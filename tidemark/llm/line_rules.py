@@ -117,16 +117,20 @@ def _repeated(tokens: list[bytes]) -> int:
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
-def _judge(common: np.ndarray, first: bool, last: bool, min_left: float, with_text: bool):
-    """Rows (id, host, text[, removed]) to measured rows; ``removed`` collects lines over the passes."""
+def _judge(common: np.ndarray, first: bool, last: bool, host_at: int, text_at: int, with_rows: bool):
+    """Measure whole rows and collect the positions of their common lines over the passes.
 
+    Every pass but the first finds the positions so far in the last column. The last pass returns the
+    first column, or all columns with the common lines cut from the text, and the measures.
+    """
     padded = np.append(common, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            width = batch.num_columns if first else batch.num_columns - 1
             removed, stats, lefts, texts = [], {name: [] for name in _STATS}, [], []
-            hosts, bodies = (batch.column(i).cast(pa.binary()).to_pylist() for i in (1, 2))
-            known = [None] * batch.num_rows if first else batch.column(3).to_pylist()
+            hosts, bodies = (batch.column(i).cast(pa.binary()).to_pylist() for i in (host_at, text_at))
+            known = [None] * batch.num_rows if first else batch.column(width).to_pylist()
             for host, body, gone in zip(hosts, bodies, known):
                 lines = (body or b"").split(b"\n")
                 worded = [i for i, line in enumerate(lines) if line.strip(b" \t\r\v\f")]
@@ -145,24 +149,44 @@ def _judge(common: np.ndarray, first: bool, last: bool, min_left: float, with_te
                 stats["n_dup_lines"].append(len(worded) - len({lines[i] for i in worded}))
                 stats["n_repeat_words"].append(_repeated(tokens))
                 lefts.append(len(tokens) - sum(len(lines[i].split()) for i in gone))
-                if with_text:
+                if with_rows:
                     drop = set(gone)
-                    kept = b"\n".join(line for i, line in enumerate(lines) if i not in drop)
-                    texts.append(body if not drop else kept)
-            base = [batch.column(i) for i in range(3)]
-            lists = pa.array(removed, pa.list_(pa.int32()))
-            if not last:
-                yield pa.RecordBatch.from_arrays([*base, lists], ["id", "host", "text", "removed"])
-                continue
-            columns = {"id": base[0], **{name: pa.array(v, pa.int64()) for name, v in stats.items()}}
-            columns |= {"words_left": pa.array(lefts, pa.int64()), "removed": lists}
-            if with_text:
-                columns["clean"] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                    texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else body)
+            kept = batch.columns[:width] if with_rows or not last else batch.columns[:1]
+            if last and with_rows:
+                kept[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if last:
+                kept += [*(pa.array(stats[name], pa.int64()) for name in _STATS), pa.array(lefts, pa.int64())]
+            kept.append(pa.array(removed, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(kept, [f"x{i}" for i in range(len(kept))])
 
     return run
 
 
+def _judged(docs: DataFrame, text_at: int, host_at: int, limits: tuple[int, float], with_rows: bool) -> DataFrame:
+    """Columns ``c0, c1, ...`` (or ``c0``), the measures, ``words_left`` and ``removed``."""
+    ready(docs.sparkSession)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    lines = written(common_lines(rows, f"c{text_at}", f"c{host_at}", *limits), "common-lines")
+    passes = max(1, -(-lines.count() // LINES_PER_PASS))
+    whole = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    measured = ", ".join(f"{name} long" for name in (*_STATS, "words_left"))
+    for part in range(passes):
+        chosen = lines if passes == 1 else lines.where(F.pmod(F.xxhash64("line"), F.lit(passes)) == part)
+        keys = np.sort(chosen.toArrow().column(0).to_numpy().astype(np.int64))  # bounded per pass
+        last = part == passes - 1
+        kept = whole if with_rows or not last else whole.split(", ")[0]
+        schema = f"{kept}, {measured}, removed array<int>" if last else f"{kept}, removed array<int>"
+        rows = rows.mapInArrow(_judge(keys, part == 0, last, host_at, text_at, with_rows), schema)
+    return rows
+
+
+def _failed():
+    return (F.col("n_words") < MIN_WORDS) | (
+        F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")
+    )
+
+
 def line_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -171,49 +195,43 @@ def line_rules(
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
-    with_text: bool = False,
 ) -> DataFrame:
     """Measures of each document, what is left of it without the common lines of its host, and a verdict.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    words_left, removed_lines, depleted`` and, if asked for, ``clean_text`` without the common lines.
-    Base rules reject fewer than 20 words and more than 30 % words in repeated 8-word windows; a
-    document is depleted when less than ``min_left`` of its words are left. Words are separated by
-    ASCII white space. Null and empty texts have no words and fail the base rules; a null host is the
-    empty host; repeated rows count once as a document of a line and are all returned.
+    words_left, removed_lines, depleted``. Base rules reject fewer than 20 words and more than 30 %
+    words in repeated 8-word windows; a document is depleted when less than ``min_left`` of its words
+    are left. Words are separated by ASCII white space. Null and empty texts have no words and fail
+    the base rules; a null host is the empty host; repeated rows count once as a document of a line
+    and are all returned; other columns are ignored.
 
     The common lines are shipped to the tasks as sorted hashes, a bounded number in each pass, so
     documents are never shuffled.
     """
-    ready(docs.sparkSession)
-    id_type = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    lines = written(common_lines(docs, text_col, host_col, min_documents, max_share), "common-lines")
-    passes = max(1, -(-lines.count() // LINES_PER_PASS))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
-    )
-    for part in range(passes):
-        chosen = lines if passes == 1 else lines.where(F.pmod(F.xxhash64("line"), F.lit(passes)) == part)
-        keys = np.sort(chosen.toArrow().column(0).to_numpy().astype(np.int64))  # bounded per pass
-        last = part == passes - 1
-        measured = ", ".join(f"{name} long" for name in _STATS)
-        schema = (
-            f"id {id_type}, {measured}, words_left long, removed array<int>" + ", clean string" * with_text
-            if last
-            else f"id {id_type}, host string, text string, removed array<int>"
-        )
-        rows = rows.mapInArrow(_judge(keys, part == 0, last, min_left, with_text), schema)
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")
-    )
+    narrow = docs.select(F.col(id_col), F.col(host_col).cast("string"), F.col(text_col))
     depleted = F.col("words_left") < F.lit(min_left) * F.col("n_words")
-    return rows.select(
-        F.col("id").alias(id_col),
+    return _judged(narrow, 2, 1, (min_documents, max_share), False).select(
+        F.col("c0").alias(id_col),
         *_STATS,
-        failed.alias("base_failed"),
-        (~failed & ~depleted).alias("kept"),
+        _failed().alias("base_failed"),
+        (~_failed() & ~depleted).alias("kept"),
         "words_left",
         F.size("removed").cast("long").alias("removed_lines"),
         depleted.alias("depleted"),
-        *([F.col("clean").alias("clean_text")] if with_text else []),
     )
+
+
+def passing_documents(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    min_documents: int = MIN_DOCUMENTS,
+    max_share: float = MAX_SHARE,
+    min_left: float = MIN_LEFT,
+) -> DataFrame:
+    """The whole rows that :func:`line_rules` keeps, with the common lines cut from their texts."""
+    names = docs.columns
+    typed = docs.withColumn(host_col, F.col(host_col).cast("string"))
+    judged = _judged(typed, names.index(text_col), names.index(host_col), (min_documents, max_share), True)
+    depleted = F.col("words_left") < F.lit(min_left) * F.col("n_words")
+    return judged.where(~_failed() & ~depleted).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)

@@ -109,12 +109,14 @@ def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, filled
 
 
-def _sketches(words: int):
+def _sketches(words: int, text_at: int):
+    """Add to whole rows: size, digest and registers of their shingle sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
         for batch in batches:
             counts, digests, regs, fills = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(text_at).cast(pa.binary()).to_pylist():
                 hashes = hasher(text)
                 counts.append(len(hashes))
                 if not len(hashes):
@@ -125,9 +127,9 @@ def _sketches(words: int):
                 regs.append(values.tobytes())
                 fills.append(np.packbits(filled).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                [*batch.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(regs, pa.binary()), pa.array(fills, pa.binary())],
-                ["id", "text", "n", "digest", "regs", "filled"],
+                [*(f"c{i}" for i in range(batch.num_columns)), "n", "digest", "regs", "filled"],
             )
 
     return run
@@ -296,32 +298,14 @@ def _link_groups(words: int, percent: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
-) -> DataFrame:
-    """Group documents whose word-shingle sets have ``100 * intersection >= percent * union``.
-
-    Returns ``doc_id, n_shingles, component_id, kept``: the smallest id reachable over links, and
-    whether the row carries it. Texts are lower-cased (A-Z) and split at ASCII white space; a text of
-    fewer words than a shingle is one shingle; null, empty and blank texts have no shingles and link
-    with nothing. Repeated rows of one id share a component and are all returned; rows with a null id
-    take part in links, are named by the other ids of their component, and if there are none by null.
-    Other columns are ignored.
-
-    Documents with equal sets are one class from the start. Bands of the registers put classes into
-    buckets; every class is first compared with one leader per bucket, linear in the bucket. After
-    those links are contracted, only classes of a shared bucket that are still in different
-    components are compared with each other, inside tasks that hold two blocks of bounded size, so
-    no pair of a bucket is left out and no pair becomes a row unless it is linked. A pair goes
-    through the register estimate, then through the exact test on both whole texts.
-    """
-    spark = ready(docs.sparkSession)
-    id_type = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+def _grouped(docs: DataFrame, text_at: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows (columns ``c0, c1, ...`` of ``docs``, with ``row`` and ``n``) and their
+    components as ``row, root``; rows without shingles have a null root."""
+    ready(docs.sparkSession)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in plain.dtypes)
     sketches = written(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(
-            _sketches(words), f"id {id_type}, text string, n long, digest binary, regs binary, filled binary"
-        )
+        plain.mapInArrow(_sketches(words, text_at), f"{schema}, n long, digest binary, regs binary, filled binary")
         .withColumn("row", F.monotonically_increasing_id()),
         "sketches",
     )
@@ -351,7 +335,8 @@ def near_duplicates(
     busy = written(members.join(leaders, "key"), "members")
 
     text_of = written(
-        sketches.select(F.col("row").alias("cls"), "text").join(busy.select("cls").distinct(), "cls", "left_semi"),
+        sketches.select(F.col("row").alias("cls"), F.col(f"c{text_at}").alias("text"))
+        .join(busy.select("cls").distinct().hint("shuffle_hash"), "cls", "left_semi"),
         "texts",
     )
 
@@ -410,10 +395,32 @@ def near_duplicates(
     else:
         final = components(links.unionByName(late))
 
-    named = sketches.select("id", "n", "digest").join(classes, "digest", "left")
-    named = named.join(final.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn(
-        "root", F.coalesce("root", "cls")
-    )
+    placed = sketches.select("row", "digest").join(classes, "digest", "left")
+    placed = placed.join(final.withColumnRenamed("vertex", "cls"), "cls", "left")
+    return sketches, placed.select("row", F.coalesce("root", "cls").alias("root"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """Group documents whose word-shingle sets have ``100 * intersection >= percent * union``.
+
+    Returns ``doc_id, n_shingles, component_id, kept``: the smallest id reachable over links, and
+    whether the row carries it. Texts are lower-cased (A-Z) and split at ASCII white space; a text of
+    fewer words than a shingle is one shingle; null, empty and blank texts have no shingles and link
+    with nothing. Repeated rows of one id share a component and are all returned; rows with a null id
+    take part in links, are named by the other ids of their component, and if there are none by null.
+    Other columns are ignored.
+
+    Documents with equal sets are one class from the start. Bands of the registers put classes into
+    buckets; every class is first compared with one leader per bucket, linear in the bucket. After
+    those links are contracted, only classes of a shared bucket that are still in different
+    components are compared with each other, inside tasks that hold two blocks of bounded size, so
+    no pair of a bucket is left out and no pair becomes a row unless it is linked. A pair goes
+    through the register estimate, then through the exact test on both whole texts.
+    """
+    sketches, placed = _grouped(docs.select(id_col, text_col), 1, words, percent)
+    named = sketches.select("row", F.col("c0").alias("id"), "n").join(placed, "row")
     low = named.where("root is not null").groupBy("root").agg(F.min("id").alias("low"))
     return (
         named.join(low, "root", "left")
@@ -424,3 +431,19 @@ def near_duplicates(
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
+
+
+def distinct_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """One whole row of ``docs`` for each component of :func:`near_duplicates`: the one with the
+    smallest id, the first written among repeated ids. Rows without shingles all stay."""
+    names = docs.columns
+    sketches, placed = _grouped(docs, names.index(text_col), words, percent)
+    at = f"c{names.index(id_col)}"
+    keys = sketches.select("row", F.col(at).alias("id")).join(placed, "row")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = keys.where("root is not null").groupBy("root").agg(F.min(order).alias("low")).select("low.row")
+    stay = first.unionByName(keys.where("root is null").select("row"))
+    whole = sketches.select("row", *(f"c{i}" for i in range(len(names))))
+    return whole.join(stay.hint("shuffle_hash"), "row", "left_semi").drop("row").toDF(*names)

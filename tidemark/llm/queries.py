@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, packing, quality, sharding, toxicity, warc
+from . import decontamination, line_rules, neardup, packing, quality, scoring, sharding, toxicity, warc
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -60,6 +60,11 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scoring.score(docs, *scoring.train(docs))
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_minimax_sharding": shard_bytes,
     "op4_decontaminate": decontaminate,
     "op7_quality_rules": quality_rules,
+    "op8_language_scores": language_scores,
     "op9_best_fit_packing": best_fit_packing,
     "op10_near_duplicates": near_duplicates,
 }

@@ -240,3 +240,19 @@ def score(
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def _below(model: Model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([scorer(t) < 0.5 for t in texts], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The whole rows of ``docs`` that :func:`score` does not predict to be toxic."""
+    ready(docs.sparkSession)
+    return docs.mapInArrow(_below(model, docs.columns.index(text_col)), docs.schema)
