@@ -42,7 +42,43 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM w
 """
 
+URL_VERDICTS = r"""
+WITH p AS (
+    SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+           TIMESTAMP '2024-01-01' + to_minutes(page_id * 37) AS t,
+           list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'),
+                       lambda s: s <> '') AS parts
+    FROM pages
+), hosts AS (
+    SELECT *, string_split(host, '.') AS labels FROM p WHERE contains(host, '.')
+), listed AS (
+    SELECT DISTINCT 'domains' AS list, array_to_string(labels[-2:], '.') AS key, 'block' AS action FROM hosts
+    UNION SELECT 'trusted', host, 'allow' FROM hosts
+    UNION SELECT 'paths', host || '/' || parts[1], 'block' FROM hosts WHERE len(parts) > 0
+), numbered AS (
+    SELECT *, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS n FROM listed
+), spans AS (
+    SELECT list, key, action, a, b FROM (
+        SELECT list, key, action, n % 2000 AS a, n % 2000 + 700 + n % 500 AS b FROM numbered
+        UNION ALL SELECT list, key, action, n % 2000 + 1500 + n % 900, NULL FROM numbered)
+), keys AS (
+    SELECT page_id, t, unnest(list_concat(
+        list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.')),
+        list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key
+    FROM (SELECT *, string_split(host, '.') AS labels FROM p WHERE host <> '')
+), active AS (
+    SELECT page_id, s.list, s.key, s.action, row_number() OVER (PARTITION BY page_id ORDER BY
+        len(string_split(s.key, '/')) DESC, len(string_split(string_split(s.key, '/')[1], '.')) DESC,
+        s.action <> 'block', s.list, s.key) AS k
+    FROM keys JOIN spans s USING (key)
+    WHERE TIMESTAMP '2024-01-01' + to_hours(a) <= t AND (b IS NULL OR t < TIMESTAMP '2024-01-01' + to_hours(b))
+)
+SELECT page_id, CAST(epoch(p.t) AS BIGINT) AS fetched_s, coalesce(action, 'none') AS verdict, list, key
+FROM p LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (page_id)
+"""
+
 ORACLE = {
+    "op6_url_filters": URL_VERDICTS,
     "op2_warc": WARC,
     "op4_decontaminate": DECONTAMINATE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, packing, quality, scoring, sharding, toxicity, warc
+from . import decontamination, line_rules, neardup, packing, quality, scoring, sharding, toxicity, url_filters, warc
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -65,12 +65,51 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(docs, *scoring.train(docs))
 
 
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched 37 minutes apart; the lists are histories of their own hosts:
+    every host, parent domain and first path part is listed at a time that follows from its MD5."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    pages = _table(spark, sf_dir, "pages")
+    fetched = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * F.lit(37 * 60))
+    captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
+    host = url_filters.host_of(F.col("url"))
+    part = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1)
+    domain = F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")
+    keys = pages.where(host.contains(".")).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("domains").alias("list"), domain.alias("key"), F.lit("block").alias("action")),
+                F.struct(F.lit("trusted").alias("list"), host.alias("key"), F.lit("allow").alias("action")),
+                F.struct(
+                    F.lit("paths").alias("list"),
+                    F.when(part != "", F.concat(host, F.lit("/"), part)).alias("key"),
+                    F.lit("block").alias("action"),
+                ),
+            )
+        ).alias("e")
+    ).select("e.*").distinct()
+    number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 4), 16, 10).cast("int")
+    listed = keys.where("key is not null").withColumn("n", number)
+    steps = F.array(
+        F.struct((F.col("n") % 2000).alias("hour"), F.col("action").alias("action")),
+        F.struct((F.col("n") % 2000 + 700 + F.col("n") % 500).alias("hour"), F.lit("remove").alias("action")),
+        F.struct((F.col("n") % 2000 + 1500 + F.col("n") % 900).alias("hour"), F.col("action").alias("action")),
+    )
+    entries = listed.select("list", "key", F.explode(steps).alias("s")).select(
+        "list", "key", "s.action", F.timestamp_add("HOUR", F.col("s.hour"), start).alias("at")
+    )
+    return url_filters.verdicts(captures, entries).select(
+        "page_id", F.unix_timestamp("fetched_at").alias("fetched_s"), "verdict", "list", "key"
+    )
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
     "op2_warc": warc_round_trip,
     "op3_minimax_sharding": shard_bytes,
     "op4_decontaminate": decontaminate,
+    "op6_url_filters": url_verdicts,
     "op7_quality_rules": quality_rules,
     "op8_language_scores": language_scores,
     "op9_best_fit_packing": best_fit_packing,
