@@ -225,9 +225,13 @@ def test_three_intervals_make_three_events(spark):
          "B" if i == 3 else None, "hello" if i == 3 else None, None, None)
         for i, (s, e) in enumerate([(0, 10), (0, 10), (0, 20), (30, 40), (30, 40), (30, 40), (0, 20), (0, 10)])
     ]
-    from tidemark.schemas import OBSERVATIONS
+    columns = (
+        "source_id string, observation_id string, adapter string, start_ms bigint, end_ms bigint, "
+        "claim_type string, text string, confidence double, modality string, speaker_id string, "
+        "speech_text string, speech_source string, evidence_ref_override string"
+    )
 
-    obs = spark.createDataFrame(rows, OBSERVATIONS)
+    obs = spark.createDataFrame(rows, columns)
     src = spark.createDataFrame([("S", 60)], "source_id string, duration_ms bigint")
     claims = ledger.number_claims(obs, ["visual", "asr"])
     events = ledger.build_events(claims, src, 25, 5)

@@ -21,12 +21,13 @@ def match_in_time(
     keys: Sequence[str],
     times: Sequence[str],
     tolerance: Column,
-    max_tolerance: int,
+    bin_ms: int,
 ) -> DataFrame:
     """Each gold row in time order takes the free prediction with the least (error, position).
 
     Both sides need a unique ``pred_id`` / ``gold_id`` and the columns ``times``; every time must
-    agree within the gold row's tolerance, the error is the sum. Rows with equal times are
+    agree within the gold row's tolerance, however large, and the error is the sum. ``bin_ms`` is the
+    width of the bins in which times meet; it changes no result. Rows with equal times are
     interchangeable but for their rank, so both sides are first counted per distinct time: the fold
     then moves whole counts, and a million copies of one time cost what one row costs. Returns keys,
     ``gold_id``, ``pred_id`` and one ``error_<time>`` per time.
@@ -36,19 +37,22 @@ def match_in_time(
     preds = pred.select(*keys, "pred_id", *[F.col(t).alias(f"p_{t}") for t in times])
     golds = gold.select(
         *keys, "gold_id", *[F.col(t).alias(f"g_{t}") for t in times],
-        F.least(tolerance, F.lit(max_tolerance)).cast("long").alias("tol"),
+        tolerance.cast("long").alias("tol"),
     )
     pred_sets = preds.groupBy(*keys, *p_times).agg(F.count(F.lit(1)).alias("n_p"))
     gold_sets = golds.groupBy(*keys, *g_times, "tol").agg(F.count(F.lit(1)).alias("n_g"))
 
     # Times meet in bins, which keep a long source from meeting itself; copies were counted away.
-    near = nearest_in_time(gold_sets, pred_sets, keys, f"g_{first}", f"p_{first}", "tol", max(1, max_tolerance))
+    near = nearest_in_time(gold_sets, pred_sets, keys, f"g_{first}", f"p_{first}", "tol", max(1, bin_ms))
     error = F.lit(0).cast("long")
     for t in times:
         distance = F.abs(F.col(f"g_{t}") - F.col(f"p_{t}"))
         near = near.filter(distance <= F.col("tol"))
         error = error + distance
     near = near.drop("error_ms").withColumn("error", error)
+    # How far any gold row of the group reaches: what lies further back is settled.
+    reach = gold_sets.groupBy(*keys).agg(F.max("tol").alias("reach"))
+    near = near.join(reach, list(keys))
 
     place = ",".join(f"{c}:bigint" for c in p_times)
     target = ",".join(f"{c}:bigint" for c in [*g_times, "tol"])
@@ -75,7 +79,7 @@ def match_in_time(
         others = F.filter(
             state["used"],
             # Predictions behind the reach of this and every later gold row are forgotten.
-            lambda u: ~same(u, item, p_times) & (u[f"p_{first}"] >= item[f"g_{first}"] - max_tolerance),
+            lambda u: ~same(u, item, p_times) & (u[f"p_{first}"] >= item[f"g_{first}"] - item["reach"]),
         )
         entry = F.struct(*[item[c].alias(c) for c in p_times], (used + count).alias("n"))
         after = F.struct(
@@ -95,7 +99,7 @@ def match_in_time(
         F.array().cast(f"array<struct<{place},n:bigint>>").alias("used"),
     ).cast(carry)
     flows = ordered_fold(
-        near, keys, [*g_times, "tol", "error", *p_times], ["n_g", "n_p"], carry, emit, start, step
+        near, keys, [*g_times, "tol", "error", *p_times], ["n_g", "n_p", "reach"], carry, emit, start, step
     )
     # Copies of one time are no more than the rows of their source, which are cheap to count.
     ranked_gold = number_rows(

@@ -23,14 +23,13 @@ def _sided(correct: DataFrame, predicted: DataFrame, gold: DataFrame, keys: Sequ
     return joined.na.fill(0, ["correct", "predicted", "gold"])
 
 
-def match_boundaries(pred: DataFrame, gold: DataFrame, tolerance_ms: int, max_tolerance_ms: int | None = None) -> DataFrame:
+def match_boundaries(pred: DataFrame, gold: DataFrame, tolerance_ms: int) -> DataFrame:
     """Gold boundaries in time order, each with the nearest free prediction within tolerance.
 
-    ``gold.tolerance_ms`` (null: the default) may reach up to ``max_tolerance_ms``.
+    ``gold.tolerance_ms`` (null: the default) may be smaller or larger than the default.
     """
-    bound = max(tolerance_ms, max_tolerance_ms or 0)
     own = F.coalesce(F.col("tolerance_ms"), F.lit(tolerance_ms)) if "tolerance_ms" in gold.columns else F.lit(tolerance_ms)
-    matched = match_in_time(pred, gold, ["source_id"], ["boundary_ms"], own, bound)
+    matched = match_in_time(pred, gold, ["source_id"], ["boundary_ms"], own, tolerance_ms)
     return matched.withColumnRenamed("error_boundary_ms", "error_ms")
 
 

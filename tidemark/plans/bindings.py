@@ -102,12 +102,16 @@ def predicted_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicted times moved by up to 200 ms; every seventh event is unknown to gold."""
+    """The predicted times moved by up to 200 ms; every seventh event is unknown to gold.
+
+    Some rows have a tolerance below the default, some one above it.
+    """
     return raw_events(spark, sf_dir).filter("event_id % 7 <> 0").select(
         "source_id", F.col("event_id").alias("gold_id"),
         (F.floor(F.col("ms") / 200_000).cast("long") + F.col("event_id") % 401 - 200).alias("boundary_ms"),
         F.when(F.col("event_id") % 3 == 0, "gradual_transition").otherwise("hard_cut").alias("transition_type"),
-        F.when(F.col("event_id") % 4 == 0, F.lit(120).cast("long")).alias("tolerance_ms"),
+        F.when(F.col("event_id") % 4 == 0, F.lit(120).cast("long"))
+        .when(F.col("event_id") % 4 == 1, F.lit(900).cast("long")).alias("tolerance_ms"),
     )
 
 
@@ -142,9 +146,12 @@ def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = content_id(_hash_of(F.col("l_suppkey")))
     x = (F.col("l_partkey") % 40 * 10).cast("double")
     y = (F.col("l_linenumber") * 30).cast("double")
-    observation = F.format_string(
-        "OCR_%d_%d_%d_%d", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long")
-    )
+    order = [
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate",
+        "l_extendedprice",
+    ]
+    li = number_rows(li, ["l_orderkey"], order, "n", hot=False)  # an order is small
+    observation = F.format_string("OCR_%d_%d_%d_%d", "l_orderkey", "l_linenumber", "l_partkey", "n")
     return li.select(
         source.alias("source_id"),
         F.format_string("SHOT_%04d", F.floor(days / 365).cast("long")).alias("shot_id"),
@@ -164,12 +171,10 @@ def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _frame_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (F.col("l_suppkey") % 10 * 12).cast("double")
     y = (F.col("l_linenumber") * 20).cast("double")
-    number = (
-        F.col("l_linenumber").cast("long") * 10_000_000_000_000_000
-        + F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")
-    )
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame_id"), "l_partkey", "l_linenumber", number.alias("n"),
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+    lines = number_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, "n", hot=False)
+    return lines.select(
+        F.col("l_orderkey").alias("frame_id"), "l_partkey", "l_linenumber", "n",
         x.alias("x"), y.alias("y"), (30 + F.col("l_quantity")).alias("w"), F.lit(24.0).alias("h"),
         F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text"),
     )
@@ -300,7 +305,10 @@ def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations of customers: permissions by key bits, expiry by nation; every 19th has none."""
+    """Declarations of customers: permissions by key bits, expiry by nation; every 19th has none.
+
+    Every 29th has two, of which the second one permits everything.
+    """
     key = F.col("c_custkey")
     digest = _hash_of(key)
     nation = F.col("c_nationkey") % 6
@@ -313,7 +321,7 @@ def rights(spark: SparkSession, sf_dir: str) -> DataFrame:
         *bit("derivative_artifact_retention", 7), *bit("redistribution", 6),
     )
     bases = F.array(*[F.lit(b) for b in ("owned", "licensed", "public-domain", "other-documented-authorization", "synthetic-controlled")])
-    return table(spark, sf_dir, "customer").filter("c_custkey % 19 <> 0").select(
+    declared = table(spark, sf_dir, "customer").filter("c_custkey % 19 <> 0").select(
         F.when(key % 23 == 0, F.lit("SRC_000000000000")).otherwise(content_id(digest)).alias("source_id"),
         digest.alias("content_sha256"), F.col("c_name").alias("operator"),
         F.get(bases, (key % 5).cast("int")).alias("rights_basis"), permissions.alias("permissions"),
@@ -321,8 +329,13 @@ def rights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nation == 1, "2030-01-01T00:00:00Z").when(nation == 2, "2020-06-30T12:00:00+02:00")
         .when(nation == 3, "next year").when(nation == 4, "2030-01-01T00:00:00").alias("expires_at"),
         (key % 2 == 0).alias("independently_reviewed"),
-        F.sha2(F.concat(F.lit("m"), key), 256).alias("manifest_hash"),
+        F.sha2(F.concat(F.lit("m"), key), 256).alias("manifest_hash"), (key % 29 == 0).alias("again"),
     )
+    second = declared.filter("again").withColumns({
+        "permissions": F.transform_values("permissions", lambda _, allowed: F.lit(True)),
+        "manifest_hash": F.sha2("manifest_hash", 256),
+    })
+    return declared.unionByName(second).drop("again")
 
 
 def annotations(spark: SparkSession, sf_dir: str, altered: bool) -> DataFrame:

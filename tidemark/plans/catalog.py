@@ -485,13 +485,13 @@ SELECT l.source_id, l.event_id, 2 AS revision, l.start_ms, l.end_ms, scene_id,
        coalesce(string_agg(CASE WHEN speech_text IS NOT NULL THEN coalesce(speaker_id, 'SPEAKER_UNKNOWN') || ':' || speech_text END,
                            ',' ORDER BY claim_no), '') AS speech,
        coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT unnest(list(c.speaker_id)) AS s) WHERE s IS NOT NULL), '') AS entities,
-       any_value(l.chunk_ids[1]) AS chunk_id
-FROM ledger l JOIN claims c ON c.source_id = l.source_id AND c.event_no = l.event_no GROUP BY 1, 2, 3, 4, 5, 6""")
+       any_value(l.chunk_ids[1]) AS chunk_id, part
+FROM ledger l JOIN (SELECT *, (row_number() OVER (PARTITION BY source_id, event_no ORDER BY claim_no) - 1) // 3 AS part FROM claims) c ON c.source_id = l.source_id AND c.event_no = l.event_no GROUP BY 1, 2, 3, 4, 5, 6, part""")
 def _nested_ledger(spark, sf):
     claims = _claims(spark, sf)
-    nested = ledger.nest_ledger(claims, _events(spark, sf, claims), "final", "run-1")
+    nested = ledger.nest_ledger(claims, _events(spark, sf, claims), "final", "run-1", part_rows=3)
     return nested.select(
-        "source_id", "event_id", "revision", "start_ms", "end_ms", "scene_id",
+        "source_id", "event_id", "part", "revision", "start_ms", "end_ms", "scene_id",
         F.array_join(F.transform("claims", lambda c: F.concat(c["claim_id"], F.lit("="), c["evidence_refs"][0])), ",").alias("claims"),
         F.array_join(F.transform("speech", lambda s: F.concat(s["speaker_id"], F.lit(":"), s["text"])), ",").alias("speech"),
         F.array_join("entities", ",").alias("entities"), F.col("provenance.chunk_id").alias("chunk_id"),
@@ -503,11 +503,13 @@ def _speech_rows(spark, sf):
     return observations.speech_rows(_claims(spark, sf))
 
 
-@query("entity_registry", f"""WITH {q.OBS}
-SELECT source_id, speaker_id AS entity_id, string_agg(evidence_ref, ',' ORDER BY claim_no) AS evidence_refs
-FROM claims WHERE speaker_id IS NOT NULL GROUP BY 1, 2""")
+@query("entity_registry", f"""WITH {q.OBS},
+placed AS (SELECT *, (row_number() OVER (PARTITION BY source_id, speaker_id ORDER BY claim_no) - 1) // 10 AS part
+           FROM claims WHERE speaker_id IS NOT NULL)
+SELECT source_id, speaker_id AS entity_id, part, string_agg(evidence_ref, ',' ORDER BY claim_no) AS evidence_refs
+FROM placed GROUP BY 1, 2, 3""")
 def _entity_registry(spark, sf):
-    return flat(observations.entity_registry(_claims(spark, sf)).drop("part"), "evidence_refs")
+    return flat(observations.entity_registry(_claims(spark, sf), part_rows=10), "evidence_refs")
 
 
 @query("make_revisions", f"""WITH {q.EVENTS}
@@ -556,7 +558,7 @@ SELECT c.source_id, c.content_sha256,
        CASE WHEN p_retention THEN 'derivative-retention-permitted' ELSE 'derivative-retention-not-permitted' END AS retention,
        c.source_id AS deletion_key,
        CASE WHEN reviewed THEN 'independently-reviewed' ELSE 'operator-declared-not-independently-reviewed' END AS review_status
-FROM csrc c JOIN decl d ON c.source_id = d.source_id AND c.content_sha256 = d.content_sha256""")
+FROM csrc c JOIN decl d ON c.source_id = d.source_id AND c.content_sha256 = d.content_sha256 WHERE NOT twice""")
 def _provenance(spark, sf):
     made = rights.provenance(b.customer_sources(spark, sf), b.rights(spark, sf))
     return flat(made, "permitted_uses", "restrictions")
@@ -611,7 +613,7 @@ def _provisional_pass(spark, sf):
 
 # ---------------------------------------------------------------- rights and identity
 
-_GATE = """CASE WHEN d.k IS NULL THEN 'no_declaration' WHEN d.source_id <> c.source_id THEN 'not_bound_to_source'
+_GATE = """CASE WHEN d.k IS NULL THEN 'no_declaration' WHEN twice THEN 'ambiguous_declaration' WHEN d.source_id <> c.source_id THEN 'not_bound_to_source'
   WHEN NOT p_analysis THEN 'not_permitted:analysis' {middle}
   WHEN NOT p_retention THEN 'not_permitted:derivative_artifact_retention' {last}
   WHEN d.nation = 3 THEN 'expiry_malformed' WHEN d.nation = 4 THEN 'expiry_without_zone'
@@ -1200,7 +1202,8 @@ def _region_matches(spark, sf):
 
 
 _BOXES = """pb AS (
-  SELECT l_orderkey AS frame_id, l_partkey, (l_linenumber::BIGINT * 10000000000000000 + l_partkey * 10000000 + l_suppkey) AS n,
+  SELECT l_orderkey AS frame_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS n,
          (l_suppkey % 10 * 12)::DOUBLE AS x, (l_linenumber * 20)::DOUBLE AS y, 30 + l_quantity AS w, 24.0::DOUBLE AS h,
          l_returnflag || ' ' || l_linestatus AS text FROM lineitem),
 gb AS (SELECT frame_id, n, x + (l_partkey % 5 * 2)::DOUBLE AS x, y, w, h, CASE WHEN l_partkey % 11 = 0 THEN '?' ELSE text END AS text

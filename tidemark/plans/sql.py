@@ -162,7 +162,9 @@ REGIONS = f"""reg AS (
 regions AS (
   SELECT source_id, printf('SHOT_%04d', CAST(floor(day_no / 365.0) AS BIGINT)) AS shot_id,
          printf('KEY_%06d', day_no) AS keyframe_id,
-         'OCR_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || CAST(l_quantity AS BIGINT) AS observation_id,
+         'OCR_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || row_number() OVER (
+           PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus,
+           l_shipdate, l_extendedprice) AS observation_id,
          day_no * 1000 AS timestamp_ms,
          l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN '  ' ELSE ' ' END || l_linestatus AS text,
          l_returnflag || ' ' || l_linestatus AS normalized_text,
@@ -210,7 +212,7 @@ decl AS (
          ['owned', 'licensed', 'public-domain', 'other-documented-authorization', 'synthetic-controlled'][1 + k % 5] AS basis,
          k % 5 <> 0 AS p_analysis, k % 3 <> 0 AS p_annotation, k % 2 <> 0 AS p_training, k % 4 <> 0 AS p_evaluation,
          k % 7 <> 0 AS p_retention, k % 6 <> 0 AS p_redistribution, nation, k % 2 = 0 AS reviewed,
-         sha256('m' || k) AS manifest_hash
+         sha256('m' || k) AS manifest_hash, k % 29 = 0 AS twice
   FROM csrc WHERE k % 19 <> 0)"""
 
 BOUNDARIES = f"""{EV},
@@ -220,7 +222,7 @@ pred AS (
 gold AS (
   SELECT source_id, event_id AS gold_id, ms // 200000 + event_id % 401 - 200 AS boundary_ms,
          CASE WHEN event_id % 3 = 0 THEN 'gradual_transition' ELSE 'hard_cut' END AS transition_type,
-         CASE WHEN event_id % 4 = 0 THEN 120 ELSE 250 END AS tol
+         CASE WHEN event_id % 4 = 0 THEN 120 WHEN event_id % 4 = 1 THEN 900 ELSE 250 END AS tol
   FROM ev WHERE event_id % 7 <> 0),
 gn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY boundary_ms, tol, gold_id) AS g FROM gold),
 pn AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY boundary_ms, pred_id) AS p FROM pred),

@@ -1,29 +1,10 @@
 """Column layouts of the tables that the jobs exchange, as DDL text."""
 
-OBSERVATIONS = (
-    "source_id string, observation_id string, adapter string, start_ms bigint, end_ms bigint, "
-    "claim_type string, text string, confidence double, modality string, speaker_id string, "
-    "speech_text string, speech_source string, evidence_ref_override string"
-)
 SIDECAR = (
     "source_id string, schema_version string, fixture_notice string, observations array<struct<"
     "observation_id string, adapter string, start_ms bigint, end_ms bigint, claim_type string, "
     "text string, confidence double, modality string, speaker_id string, speech_text string>>"
 )
-CUES = (
-    "source_id string, track_id string, cue_id string, start_ms bigint, end_ms bigint, "
-    "text string, normalized_text string, evidence_ref string"
-)
-OCR_REGIONS = (
-    "source_id string, shot_id string, keyframe_id string, observation_id string, "
-    "timestamp_ms bigint, text string, normalized_text string, bounding_box "
-    "struct<x1:double,y1:double,x2:double,y2:double>, ocr_confidence double, "
-    "warnings array<string>, source_frame_evidence_ref string, evidence_ref string"
-)
-EVIDENCE = (
-    "source_id string, evidence_ref string, observation_id string, modality string, "
-    "start_ms bigint, end_ms bigint"
-)
 LEDGER = (
     "schema_version string, source_id string, event_no bigint, event_id string, part bigint, revision int, "
     "start_ms bigint, end_ms bigint, level string, scene_id string, "
@@ -47,11 +28,3 @@ MODALITIES = ("VID", "AUD", "ASR", "SUB", "OCR", "ENTITY")
 SPEECH_MODALITIES = ("ASR", "SUB")
 SPEECH_SOURCES = ("asr", "subtitle", "caption", "sidecar_asr", "provided_transcript")
 OUTCOMES_WITH_ROWS = ("success", "success_zero", "partial_success")
-RIGHTS_OPERATIONS = (
-    "analysis",
-    "evaluation",
-    "annotation",
-    "training",
-    "derivative_artifact_retention",
-    "redistribution",
-)
