@@ -1,5 +1,6 @@
 """Readers, writers and the stream on files in a scratch folder."""
 
+import hashlib
 import json
 
 import pytest
@@ -33,6 +34,11 @@ def test_caption_and_word_files(spark, tmp_path):
     names = spark.createDataFrame([("one.vtt", "S", "TRACK_0001", 2000)], "file_name string, source_id string, track_id string, duration_ms bigint")
     got, rejects = cues.read_cues(spark, str(tmp_path / "v"), names)
     assert [(r.cue_id, r.text) for r in got.collect()] == [("CUE_000001", "Hi")] and rejects.count() == 0
+    (tmp_path / "v" / "deep").mkdir()
+    (tmp_path / "v" / "deep" / "one.vtt").write_text("WEBVTT\n")
+    more = names.unionByName(names.selectExpr("'gone.vtt' AS file_name", "'T' AS source_id", "track_id", "duration_ms"))
+    _, rejects = cues.read_cues(spark, str(tmp_path / "v"), more)
+    assert sorted((r.file_name, r.reason) for r in rejects.collect()) == [("deep/one.vtt", "unmapped_file"), ("gone.vtt", "missing_file")]
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "k.tsv").write_text("left\ttop\twidth\theight\tconf\ttext\n1\t2\t3\t4\t90\tHi\n")
     frames = spark.createDataFrame([("k.tsv", "S", "SHOT_0001", "KEY_0001", 1, 0)],
@@ -116,12 +122,13 @@ def test_ledger_does_not_depend_on_parallelism(spark, partitions):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-def test_oversized_sets_go_to_the_tree(spark, monkeypatch):
-    df = spark.createDataFrame([("g", str(i)) for i in range(5)], "g string, v string")
-    monkeypatch.setattr(digests, "MAX_SET_ROWS", 3)
-    with pytest.raises(ValueError):
-        digests.set_digest(df, ["g"], ["v"])
-    assert digests.set_digest_tree(df, ["g"], ["v"]).first().tree_sha256 == digests.set_digest_tree(df.repartition(4), ["g"], ["v"]).first().tree_sha256
+def test_set_digests_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([("g", str(i)) for i in range(5)] + [(None, "x")], "g string, v string")
+    want = hashlib.sha256(b'[["0"],["1"],["2"],["3"],["4"]]').hexdigest()
+    assert {r.g: r.set_sha256 for r in digests.set_digest(df.repartition(3), ["g"], ["v"]).collect()}["g"] == want
+    assert {r.g: r.tree_sha256 for r in digests.set_digest_tree(df, ["g"], ["v"]).collect()} == {
+        r.g: r.tree_sha256 for r in digests.set_digest_tree(df.repartition(4), ["g"], ["v"]).collect()
+    }
 
 
 def test_entities_keep_their_order_in_parts(spark):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import largest_group
-
-MAX_SET_ROWS = 1_000_000  # largest set digested as one canonical list
+LEVELS = (8, 6, 4, 2, 0)  # hex digits that name a node of the digest tree, from the leaves up
 
 
 def content_id(sha256: Column) -> Column:
@@ -46,35 +46,62 @@ def verify_digest(df: DataFrame, columns: Sequence[str], hash_column: str) -> Da
     return df.filter(~F.col(hash_column).eqNullSafe(record_digest(columns)))
 
 
+def _list_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of ``[item,item,…]`` for each run of one group, item by item."""
+    current, digest = None, None
+
+    def done():
+        digest.update(b"]")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([current], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["g", "h"]
+        )
+
+    for batch in batches:
+        for group, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if digest is None or group != current:
+                if digest is not None:
+                    yield done()
+                current, digest = group, hashlib.sha256(b"[")
+                digest.update(item.encode())
+            else:
+                digest.update(b"," + item.encode())
+    if digest is not None:
+        yield done()
+
+
 def set_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Per group, SHA-256 of the canonical JSON list of its sorted tuples.
 
-    One hash over one list needs the list in one place, so the largest group is measured first and
-    must stay below ``MAX_SET_ROWS``; ``set_digest_tree`` has no such bound.
+    The digest of one list is sequential by definition: the sorted items of a group stream through
+    one task in constant memory, however many they are. ``set_digest_tree`` spreads a group.
     """
-    if largest_group(df, keys) > MAX_SET_ROWS:
-        raise ValueError("group too large for one canonical list; use set_digest_tree")
+    items = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
     tuples = F.array(*[F.col(c).cast("string") for c in columns])
-    return df.groupBy(*keys).agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list(tuples))), 256).alias("set_sha256")
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    listed = (
+        df.select(group.alias("_g"), tuples.alias("_t"), items.alias("_item"))
+        .repartition("_g").sortWithinPartitions("_g", "_t").select("_g", "_item")
+        .mapInArrow(_list_hash, "g string, h string")
     )
+    shape = df.select(*keys).schema
+    return listed.select(F.from_json("g", shape).alias("k"), F.col("h").alias("set_sha256")).select("k.*", "set_sha256")
 
 
-def set_digest_tree(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], fanout: int = 4
-) -> DataFrame:
-    """Order-free digest of sets of any size: tuples → buckets → groups.
+def set_digest_tree(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Order-free digest of sets of any size: a radix tree over the hashes of the tuples.
 
-    A bucket is named by the first ``fanout`` hex digits of the tuple hash. Equal tuples are counted
-    before they are moved, so a hot group or a hot copy spreads over 16**fanout buckets.
+    Leaves are named by eight hex digits of the tuple hash, and each level above folds the up to 256
+    nodes that share two digits less. Equal tuples are counted before they are moved, so no list
+    grows with the set: a leaf holds the distinct tuples that share 32 bits of their hash.
     """
     leaf = F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
-    leaves = df.select(*keys, leaf.alias("_leaf")).groupBy(*keys, "_leaf").count()
-    entry = F.concat_ws(":", "_leaf", F.col("count").cast("string"))
-    buckets = leaves.groupBy(*keys, F.substring("_leaf", 1, fanout).alias("_bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("_hash")
-    )
-    pair = F.concat_ws(":", "_bucket", "_hash")
-    return buckets.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), ","), 256).alias("tree_sha256")
-    )
+    counted = df.select(*keys, leaf.alias("_leaf")).groupBy(*keys, "_leaf").count()
+    nodes = counted.select(*keys, "_leaf", F.concat_ws(":", "_leaf", F.col("count").cast("string")).alias("_entry"))
+    for digits in LEVELS:
+        nodes = nodes.groupBy(*keys, F.substring("_leaf", 1, digits).alias("_node")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("_entry")), ","), 256).alias("_hash")
+        )
+        nodes = nodes.select(
+            *keys, F.col("_node").alias("_leaf"), F.concat_ws(":", "_node", "_hash").alias("_entry"), "_hash"
+        )
+    return nodes.select(*keys, F.col("_hash").alias("tree_sha256"))

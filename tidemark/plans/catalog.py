@@ -673,13 +673,15 @@ def _set_digest(spark, sf):
 
 @query("set_digest_tree", f"""WITH leaf AS (
   SELECT c_nationkey, sha256('["' || {q.ident('c_custkey')} || '"]') AS leaf, count(*) AS n FROM customer GROUP BY 1, 2),
-bucket AS (SELECT c_nationkey, substr(leaf, 1, 2) AS b, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf || ':' || n)) AS h
-           FROM leaf GROUP BY 1, 2)
-SELECT c_nationkey, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS tree_sha256 FROM bucket GROUP BY 1""")
+n8 AS (SELECT c_nationkey, substr(leaf, 1, 8) AS b, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf || ':' || n)) AS h FROM leaf GROUP BY 1, 2),
+n6 AS (SELECT c_nationkey, substr(b, 1, 6) AS b, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS h FROM n8 GROUP BY 1, substr(b, 1, 6)),
+n4 AS (SELECT c_nationkey, substr(b, 1, 4) AS b, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS h FROM n6 GROUP BY 1, substr(b, 1, 4)),
+n2 AS (SELECT c_nationkey, substr(b, 1, 2) AS b, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS h FROM n4 GROUP BY 1, substr(b, 1, 2))
+SELECT c_nationkey, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS tree_sha256 FROM n2 GROUP BY 1""")
 def _set_digest_tree(spark, sf):
     c = b.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     named = b.customer_sources(spark, sf).join(c, "c_custkey")
-    return digests.set_digest_tree(named, ["c_nationkey"], ["source_id"], fanout=2)
+    return digests.set_digest_tree(named, ["c_nationkey"], ["source_id"])
 
 
 @query("pseudonymise", """SELECT c_custkey, 'OPR_' || upper(substr(sha256(c_name), 1, 12)) AS operator_id FROM customer""")
@@ -1616,11 +1618,12 @@ def _scene_summary(spark, sf):
     return exports.scene_summary(claims, _events(spark, sf, claims))
 
 
-@query("inventory_files")
+@query("inventory_files", """SELECT url AS path, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS sha256,
+CASE WHEN starts_with(url, 'https://') THEN 'secure' WHEN starts_with(url, 'http://www.') THEN 'site' ELSE 'artifact' END AS class FROM pages""")
 def _inventory_files(spark, sf):
-    """Files of the data folder itself; their names and bytes are not visible to SQL."""
-    classes = [("doc", "document"), ("line", "table"), ("orders", "table")]
-    return inventory.inventory_files(spark, sf, classes)
+    """Pages as artifacts: the URL is the path, the document the content."""
+    pages = b.table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return inventory.describe(pages, [("https://", "secure"), ("http://www.", "site")])
 
 
 @query("verify_artifacts", """SELECT 'orders/' || o_orderkey AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'unlisted'

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.binding import let
 from tidemark.functions.text import normalise_text
 from tidemark.functions.timecode import clock_to_ms, is_timing
-
-MAX_FILE_BYTES = 64 * 1024 * 1024  # larger caption files are rejected whole
-
+from tidemark.sources.paths import mapped_files
 
 _MARK = "\ufeff"  # byte-order mark, ignored around a timing line
 
@@ -96,15 +94,13 @@ def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_cues(spark: SparkSession, path: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Read caption files below ``path``.
 
-    ``files`` maps ``file_name`` to ``source_id, track_id, duration_ms``. Size is checked from the
-    file listing, before any content is read.
+    ``files`` maps ``file_name``, the path below ``path``, to ``source_id, track_id, duration_ms``.
+    Rejects also name stored files without a row and rows without a stored file.
     """
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = stored.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).join(files, "file_name")
-    fits = named.filter(F.col("length") <= MAX_FILE_BYTES)
-    large = named.filter(F.col("length") > MAX_FILE_BYTES).select(
-        "source_id", "track_id", F.lit("file_too_large").alias("reason")
-    )
-    text = fits.withColumn("content", F.decode("content", "UTF-8"))
+    named, unmatched = mapped_files(stored, path, files)
+    text = named.withColumn("content", F.decode("content", "UTF-8"))
     cues, rejects = parse_cues(text.select("source_id", "track_id", "duration_ms", "content"))
-    return cues, rejects.unionByName(large)
+    return cues, rejects.unionByName(
+        unmatched.select("source_id", "track_id", "file_name", "reason"), allowMissingColumns=True
+    )

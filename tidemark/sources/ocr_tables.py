@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.binding import let
 from tidemark.functions.boxes import box
 from tidemark.functions.text import collapse_whitespace
+from tidemark.sources.paths import mapped_files
 
-MAX_FRAME_BYTES = 8 * 1024 * 1024  # fixed value: larger word tables are rejected whole
 LOW_CONFIDENCE = 50
 NEEDED = ("left", "top", "width", "height", "conf", "text")
 
@@ -31,12 +31,15 @@ def _cells(record: Column) -> Column:
     )
 
 
-def parse_word_tables(frames: DataFrame, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+def parse_word_tables(
+    frames: DataFrame, min_confidence: float, max_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Regions and rejected frames of ``source_id, shot_id, keyframe_id, frame_no, timestamp_ms,
     content``.
 
     Blank words and words below ``min_confidence`` are dropped. A kept word with a negative or empty
-    box, a row without a needed cell, or a missing column rejects its whole frame.
+    box, a row without a needed cell, or a missing column rejects its whole frame. A caller that
+    gives ``max_bytes`` has larger tables rejected with a reason; by default every table is read.
     """
     def words_of(rows: Column) -> Column:
         header = F.get(rows, F.lit(0))
@@ -82,7 +85,7 @@ def parse_word_tables(frames: DataFrame, min_confidence: float) -> tuple[DataFra
     text = F.regexp_replace("content", "\r\n?", "\n")
     records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda r: ~r.isin("", "\n"))
     parsed = let(F.transform(records, _cells), words_of)
-    large = F.octet_length("content") > MAX_FRAME_BYTES
+    large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
     columns = ["source_id", "shot_id", "keyframe_id", "frame_no", "timestamp_ms"]
     # Unpacking a one-element list keeps the optimiser from parsing again for every later use.
     table = frames.select(*columns, large.alias("_large"), F.explode(F.array(F.when(~large, parsed))).alias("_p"))
@@ -112,15 +115,20 @@ def parse_word_tables(frames: DataFrame, min_confidence: float) -> tuple[DataFra
 
 
 def read_ocr_tables(
-    spark: SparkSession, path: str, frames: DataFrame, min_confidence: float
+    spark: SparkSession, path: str, frames: DataFrame, min_confidence: float, max_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Read word tables below ``path``; ``frames`` maps ``file_name`` to the frame columns."""
+    """Read word tables below ``path``; ``frames`` maps ``file_name``, the path below it, to the frame columns.
+
+    Rejects also name stored files without a row and rows without a stored file. Files above
+    ``max_bytes``, if given, are rejected before they are read.
+    """
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = stored.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).join(frames, "file_name")
+    named, unmatched = mapped_files(stored, path, frames)
     columns = ["source_id", "shot_id", "keyframe_id", "frame_no", "timestamp_ms"]
-    fits = named.filter(F.col("length") <= MAX_FRAME_BYTES).withColumn("content", F.decode("content", "UTF-8"))
-    large = named.filter(F.col("length") > MAX_FRAME_BYTES).select(
-        "source_id", "keyframe_id", F.lit("frame_too_large").alias("reason")
-    )
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    large = named.filter(too_large).select("source_id", "keyframe_id", F.lit("frame_too_large").alias("reason"))
+    fits = named.filter(~too_large).withColumn("content", F.decode("content", "UTF-8"))
     regions, rejects = parse_word_tables(fits.select(*columns, "content"), min_confidence)
-    return regions, rejects.unionByName(large)
+    return regions, rejects.unionByName(large).unionByName(
+        unmatched.select("source_id", "keyframe_id", "file_name", "reason"), allowMissingColumns=True
+    )
