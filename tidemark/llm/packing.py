@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,9 @@ CAPACITY = 2048
 END = 0
 BLOCK = 8_192  # pieces that are packed together
 ROUNDS = 30
-_CHUNK_CACHE = 200_000
+_CHUNK_CACHE = 500_000
 _CHUNK_BYTES = 64  # longer chunks are not worth remembering
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII; an apostrophe may open an ending
 _PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,34 +36,68 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> bytes:
         return file.read()
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, others from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + n) for n, b in enumerate(hidden)}}
+
+
 class Encoder:
-    """Token ids of whole texts; chunks between spaces are encoded once and remembered within bounds.
+    """Token ids of whole texts; chunks between spaces and line ends are encoded once and remembered within bounds.
 
     The vocabulary drops white space and never joins characters across it, so the ids of a text are
-    those of its chunks in order. Strings of special tokens are ordinary text.
+    those of its chunks in order. Strings of special tokens are ordinary text. A chunk of letters,
+    perhaps followed by punctuation, goes straight to the merges, since it is one word and one run of
+    punctuation for the vocabulary; any other chunk goes through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # Short cuts hold for vocabularies of this make only; a few words tell.
+        self.short = all(self._quick(c) in (None, self._whole(c)) for c in ("Straße,", "ÉTÉ", "word", "a.", "ñandú!?"))
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word not in self.words:
+            if len(self.words) > _CHUNK_CACHE:
+                self.words.clear()
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            self.words[word] = np.array([t.id for t in self.merge(spelt)], self.kind).tobytes()
+        return self.words[word]
+
+    def _quick(self, chunk: str) -> bytes | None:
+        low = chunk.lower()
+        core = low.rstrip(_SIGNS)
+        if not core.isalpha() or not (core.isascii() or (is_normalized("NFC", chunk) and "\u03a3" not in chunk)):
+            return None
+        ids = self._word(core)
+        if len(core) < len(low):
+            end = low[len(core) :]
+            if end not in self.words:
+                self.words[end] = self._whole(end)
+            ids += self.words[end]
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > _CHUNK_CACHE:
-            self.known.clear()
-        known = self.known
-        split = [(t or "").split(" ") for t in texts]
+        if len(self.chunks) > _CHUNK_CACHE:
+            self.chunks.clear()
+        known = self.chunks
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         fresh = list(dict.fromkeys(c for chunks in split for c in set(chunks).difference(known)))
-        for start in range(0, len(fresh), 4_096):
-            some = fresh[start : start + 4_096]
-            known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        out = []
-        for chunks in split:
-            ids: list[int] = []
-            for chunk in chunks:
-                ids += known[chunk]
-            out.append(np.array(ids, np.uint32))
+        for chunk in fresh:
+            ids = self._quick(chunk) if self.short else None
+            known[chunk] = self._whole(chunk) if ids is None else ids
+        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.kind).astype(np.uint32) for chunks in split]
         for chunk in fresh:
             if len(chunk) > _CHUNK_BYTES:
                 del known[chunk]
