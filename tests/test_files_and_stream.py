@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidemark.functions import digests
 from tidemark.operators import annotation, incremental, ledger, observations
@@ -94,20 +96,33 @@ def test_partition_rerun_changes_nothing(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = b.observations(spark, SF_DIR)
+    # One source after the other, each from offset 0: what arrives later is not late for its offset.
+    number = F.dense_rank().over(Window.orderBy("source_id"))
+    start = F.lit("2024-01-01").cast("timestamp")
+    rows = rows.withColumn("arrived_at", F.timestamp_add("HOUR", number, start)).persist()
+    last = rows.agg(F.max("arrived_at")).first()[0]
     twice = rows.unionByName(rows.filter("start_ms % 5 = 0"))
-    twice.repartitionByRange(3, "end_ms").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
+    files = twice.repartitionByRange(3, "arrived_at").sortWithinPartitions("arrived_at")
+    files.write.parquet(str(tmp_path / "in"))
+    for at, file in enumerate(sorted((tmp_path / "in").glob("part-*"))):
+        os.utime(file, (1_700_000_000 + at, 1_700_000_000 + at))  # files come in the order of arrival
+    stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     started = provisional.start_provisional(stream, "1 hour", str(tmp_path / "out"), str(tmp_path / "state"))
     started.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
-    # The watermark holds the newest hour back; the final pass is the batch over the whole table.
-    settled = rows.agg(F.max("end_ms")).first()[0] - 3_600_000
+    # The watermark holds the newest arrivals back; the final pass is the batch over the whole table.
     whole = provisional.provisional_events(rows, "1 hour")
-    assert annotation.outputs_equivalent(got, whole.filter(F.col("end_ms") <= settled)).first().equivalent
+    early = rows.filter(F.col("arrived_at") < F.timestamp_add("HOUR", F.lit(-1), F.lit(last)))
+    keys = ["source_id", "start_ms", "end_ms"]
+    settled = whole.join(early.select(*keys).distinct(), keys)
+    assert settled.count() > 100 and settled.select("source_id").distinct().count() > 1
+    assert annotation.outputs_equivalent(got, settled.select(*got.columns)).first().equivalent
     claims = ledger.number_claims(rows, b.ADAPTERS)
     events = ledger.build_events(claims, b.event_sources(spark, SF_DIR), b.CHUNK_MS, b.OVERLAP_MS)
     columns = ["source_id", "start_ms", "end_ms", "claims", "speech_rows"]
     assert annotation.outputs_equivalent(whole.select(*columns), events.select(*columns)).first().equivalent
+    named = provisional.with_event_ids(got, events)
+    assert named.count() == got.count() and named.join(events, ["source_id", "event_id"], "left_anti").count() == 0
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])

@@ -179,14 +179,19 @@ def check_keyframes(keyframes: DataFrame, shots: DataFrame, artifacts: DataFrame
 def reconcile(
     package: DataFrame, expected: DataFrame, keys: Sequence[str], attributes: Sequence[str], subject: str
 ) -> DataFrame:
-    """Two-sided completeness: rows only expected, only present, repeated, or with other values."""
-    left = package.groupBy("source_id", *keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.min(F.struct(F.col(c))).alias(f"_p_{c}") for c in attributes],
-    )
-    right = expected.groupBy("source_id", *keys).agg(
-        F.lit(True).alias("_expected"), *[F.min(F.struct(F.col(c))).alias(f"_e_{c}") for c in attributes]
-    )
+    """Two-sided completeness: rows only expected, only present, repeated, or with other values.
+
+    The copies of a key are compared by their least and their greatest value of each attribute, so
+    one differing copy among sound ones is found as well.
+    """
+    def ends(side: str) -> list[Column]:
+        return [
+            F.struct(F.min(F.struct(F.col(c))).alias("least"), F.max(F.struct(F.col(c))).alias("most")).alias(f"{side}{c}")
+            for c in attributes
+        ]
+
+    left = package.groupBy("source_id", *keys).agg(F.count(F.lit(1)).alias("_rows"), *ends("_p_"))
+    right = expected.groupBy("source_id", *keys).agg(F.lit(True).alias("_expected"), *ends("_e_"))
     both = left.join(right, ["source_id", *keys], "full")
     rules = [
         ("missing", F.col("_rows").isNotNull()),

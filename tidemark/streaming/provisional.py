@@ -2,43 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from tidemark.operators.observations import evidence_ref
 
 _INTERVAL = ["source_id", "start_ms", "end_ms"]
 
 
-def event_time() -> Column:
-    """Event time of an observation: its end on the source clock, as an instant."""
-    return F.timestamp_millis(F.col("end_ms"))
+ARRIVAL = "arrived_at"
+
+
+def event_time(observations: DataFrame) -> Column:
+    """Event time of an observation: the instant at which it arrived.
+
+    Offsets count from the start of each source, and a source that starts later is not late, so they
+    are no clock for the stream. A table without ``arrived_at`` has the instant ``source_start`` plus
+    the end offset; without that, every row of a trigger arrives when the trigger starts.
+    """
+    if ARRIVAL in observations.columns:
+        return F.col(ARRIVAL)
+    if "source_start" in observations.columns:
+        return F.timestamp_millis(F.unix_millis("source_start") + F.col("end_ms"))
+    return F.current_timestamp()
 
 
 def deduplicated(observations: DataFrame, delay: str) -> DataFrame:
     """Observations once per (source, observation id), with state bounded by the watermark."""
-    timed = observations.withColumn("event_time", event_time())
+    timed = observations.withColumn("event_time", event_time(observations))
     if not observations.isStreaming:
         return timed.dropDuplicates(["source_id", "observation_id"])
     timed = timed.withWatermark("event_time", delay)
     return timed.dropDuplicatesWithinWatermark(["source_id", "observation_id"])
 
 
+def _count_interval(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts of one interval; given out when nothing has arrived for the delay."""
+    if state.hasTimedOut:
+        claims, speech, _ = state.get
+        state.remove()
+        yield pd.DataFrame([[*key, claims, speech]], columns=[*_INTERVAL, "claims", "speech_rows"])
+        return
+    claims, speech, latest = state.get if state.exists else (0, 0, 0)
+    for frame in frames:
+        claims += len(frame)
+        speech += int(frame["speech_text"].notna().sum())
+        latest = max(latest, int(frame["arrived_ms"].max()))
+    state.update((claims, speech, latest))
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
+
+
 def provisional_events(observations: DataFrame, delay: str) -> DataFrame:
-    """Revision-1 events: equal intervals of a source, emitted once the watermark has passed them.
+    """Revision-1 events: equal intervals of a source, emitted once the watermark has passed their
+    last arrival.
 
-    State holds one small aggregate per open interval, never its claims. A batch table goes through
-    the same plan without a watermark.
+    State holds two counts per open interval, never its claims. Claims that arrive after their
+    interval was given out open it again and give a further row; ``with_event_ids`` adds them up. A
+    batch table is simply aggregated.
     """
-    return (
-        deduplicated(observations, delay)
-        .groupBy("event_time", *_INTERVAL)
-        .agg(F.count(F.lit(1)).alias("claims"), F.count("speech_text").alias("speech_rows"))
-        .select(
-            *_INTERVAL, "claims", "speech_rows", F.lit(1).alias("revision"),
-            F.lit("provisional").alias("status"),
+    rows = deduplicated(observations, delay)
+    if observations.isStreaming:
+        narrow = rows.select(*_INTERVAL, "speech_text", "event_time", F.unix_millis("event_time").alias("arrived_ms"))
+        counted = narrow.groupBy(*_INTERVAL).applyInPandasWithState(
+            _count_interval, "source_id string, start_ms long, end_ms long, claims long, speech_rows long",
+            "claims long, speech_rows long, latest long", "append", "EventTimeTimeout",
         )
+    else:
+        counted = rows.groupBy(*_INTERVAL).agg(
+            F.count(F.lit(1)).alias("claims"), F.count("speech_text").alias("speech_rows")
+        )
+    return counted.select(
+        *_INTERVAL, "claims", "speech_rows", F.lit(1).alias("revision"), F.lit("provisional").alias("status")
+    )
+
+
+def with_event_ids(provisional: DataFrame, events: DataFrame) -> DataFrame:
+    """Provisional events with the ids of the final pass, which numbers the same intervals.
+
+    The interval is the key that both passes share, so revision 1 joins revision 2 by ``event_id``.
+    """
+    whole = provisional.groupBy(*_INTERVAL, "revision", "status").agg(
+        F.sum("claims").alias("claims"), F.sum("speech_rows").alias("speech_rows")
+    )
+    return whole.join(events.select(*_INTERVAL, "event_id"), _INTERVAL).select(
+        "source_id", "event_id", "start_ms", "end_ms", "claims", "speech_rows", "revision", "status"
     )
 
 
