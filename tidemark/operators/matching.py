@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.binding import let
 from tidemark.functions.boxes import area, height, iou, width
@@ -143,9 +144,14 @@ def match_by_score(
 
 
 def _fold_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Accept edges whose two ends have no other edge at once, and fold the contested rest in order."""
     extra = [c for c in names if c not in group and c not in order]
-    rows = edges.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(*order, *extra))).alias("_edges")
+    ends = [F.count(F.lit(1)).over(W.partitionBy(*group, end)) for end in ("g", "p")]
+    marked = edges.withColumn("_alone", (ends[0] == 1) & (ends[1] == 1))
+    edge = F.struct(*order, *extra)
+    rows = marked.groupBy(*group).agg(
+        F.collect_list(F.when(F.col("_alone"), edge)).alias("_easy"),
+        F.array_sort(F.collect_list(F.when(~F.col("_alone"), edge))).alias("_edges"),
     )
     empty = F.filter("_edges", lambda e: F.lit(False))
     chosen = F.aggregate(
@@ -154,7 +160,7 @@ def _fold_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str], na
             F.exists(acc, lambda m: (m["g"] == e["g"]) | (m["p"] == e["p"])), acc
         ).otherwise(F.array_append(acc, e)),
     )
-    return rows.select(*group, F.inline(chosen)).select(*names)
+    return rows.select(*group, F.inline(F.concat("_easy", chosen))).select(*names)
 
 
 def _settle_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -211,9 +217,9 @@ def region_edges(
         p = p.withColumn("_cx", cells_near("x", 1e-6 + (1 - threshold) * widest))
         p = p.withColumn("_cy", cells_near("y", 1e-6 + (1 - threshold) * tallest))
         pairs = g.join(p, [*frame, "_class", "_cx", "_cy"]).drop("_class", "_cx", "_cy")
-    return pairs.withColumn("iou", iou(F.col("g_box"), F.col("p_box"))).filter(
-        F.col("iou") >= threshold
-    )
+    # Unpacking a one-element list keeps the optimiser from evaluating the overlap again in the join.
+    overlap = F.explode(F.array(iou(F.col("g_box"), F.col("p_box"))))
+    return pairs.withColumn("iou", overlap).filter(F.col("iou") >= threshold)
 
 
 def match_regions(pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float = 0.5) -> DataFrame:
