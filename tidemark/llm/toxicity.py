@@ -17,7 +17,7 @@ from .sampling import class_shares, labelled_sample
 
 DIMENSIONS = 1 << 18
 PREFIXES = (4, 5, 6)
-SAMPLE = 8_000  # labelled ids per class
+SAMPLE = 4_000  # labelled ids per class
 L1 = 5e-4
 MIN_APART = 4.0  # standard errors between the class shares of a feature
 MIN_TEXTS = 5
@@ -52,6 +52,11 @@ def features_of(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(n.encode()) % DIMENSIONS for n in names]
 
 
+def packed(features: list[int]) -> bytes:
+    """Distinct features in order, followed by how many distinct words have each."""
+    return np.concatenate(np.unique(np.array(features, np.int32), return_counts=True)).astype(np.int32).tobytes()
+
+
 def swaps() -> list[tuple[bytes, bytes]]:
     return [(a.encode(), b.encode()) for row in IDENTITY_TERMS for a in row for b in row if a != b]
 
@@ -97,7 +102,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         cache.clear()
                     cache[word] = features_of(word)
                 found += cache[word]
-            features.append(np.array(found, np.int32).tobytes())
+            features.append(packed(found))
             named: list[int] = []
             if not distinct.isdisjoint(terms):
                 for sentence in _SENTENCE.split(text):
@@ -115,7 +120,7 @@ def _prior_only(negatives: int, positives: int) -> Model:
 
 def fit(
     labels: np.ndarray,
-    features: list[np.ndarray],
+    features: list[bytes],
     identity: np.ndarray,
     shares: tuple[int, int],
     l1: float = L1,
@@ -124,18 +129,19 @@ def fit(
 ) -> Model:
     """Weighted logistic regression, sparse by a proximal step, with a penalty on counterfactual change.
 
-    ``identity[i]`` counts the labelled sentences with identity term i. Swapping term a for b changes
+    ``features`` are packed examples, copies of which teach once. ``identity[i]`` counts the labelled sentences with identity term i. Swapping term a for b changes
     the logit by ``s(b) - s(a)`` whatever else the sentence says; the mean square of that change over
     all sentences and swaps is added to the loss. Without examples of both classes the model is the prior.
     """
-    distinct = list({f.tobytes(): i for i, f in reversed(list(enumerate(features)))}.values())  # copies teach once
-    labels, features = labels[distinct], [features[i] for i in distinct]
+    distinct = sorted({f: i for i, f in reversed(list(enumerate(features)))}.values())
+    labels, features = labels[distinct], [np.frombuffer(features[i], np.int32).reshape(2, -1) for i in distinct]
     ones = int(labels.sum())
     if ones == 0 or ones == len(labels):
         return _prior_only(*shares)
-    rows = np.repeat(np.arange(len(labels), dtype=np.int64), [len(f) for f in features])
-    codes, counts = np.unique(rows << 18 | np.concatenate(features).astype(np.int64), return_counts=True)
-    rows, columns = codes >> 18, codes & (DIMENSIONS - 1)
+    rows = np.repeat(np.arange(len(labels), dtype=np.int32), [f.shape[1] for f in features])
+    columns = np.concatenate([f[0] for f in features])
+    counts = np.concatenate([f[1] for f in features])
+    del features
 
     # Features that tell the classes apart, and those of identity terms.
     in_one = np.bincount(columns, labels[rows], DIMENSIONS)
@@ -171,11 +177,15 @@ def fit(
     weight = 0.5 * weight + 0.5 * np.where(labels == 1, 0.5 / ones, 0.5 / (len(labels) - ones))
     w, bias = np.zeros(size), 0.0
     look, look_bias, momentum = w.copy(), bias, 1.0
-    square = np.bincount(rows, values**2, len(labels)) + 1
-    curve = 0.25 * float((weight * square).sum())
-    if len(swap_weight):
-        curve += 2 * counterfactual * float((swap_weight * (difference**2).sum(axis=1)).sum())
-    rate = 4.0 / max(curve, 1e-9)
+    probe = np.ones(size + 1)
+    for _ in range(30):  # largest curvature of the loss, by power iteration on its upper bound
+        probe /= np.linalg.norm(probe)
+        through = weight * (np.bincount(rows, values * probe[columns], len(labels)) + probe[-1]) / 4
+        after = np.append(np.bincount(columns, values * through[rows], size), through.sum())
+        if len(swap_weight):
+            after[:-1] += 2 * counterfactual * (difference.T @ (swap_weight * (difference @ probe[:-1])))
+        probe = after
+    rate = 0.9 / max(float(np.linalg.norm(probe)), 1e-9)
     for _ in range(rounds):
         logit = np.bincount(rows, values * look[columns], len(labels)) + look_bias
         slope = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels)
@@ -205,7 +215,7 @@ def train(
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, modulus, fold, bound)
     table = sample.mapInArrow(_examples, "label int, features binary, identity array<int>").toArrow()
     targets = np.array(table.column("label").to_pylist(), np.float64)
-    features = [np.frombuffer(f, np.int32) for f in table.column("features").to_pylist()]
+    features = table.column("features").to_pylist()
     named = [i for row in table.column("identity").to_pylist() for i in row]
     identity = np.bincount(np.array(named, np.int64), minlength=sum(map(len, IDENTITY_TERMS)))
     return fit(targets, features, identity, class_shares(labels, id_col, label_col, modulus, fold),
