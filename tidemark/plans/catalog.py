@@ -357,13 +357,15 @@ def _members(spark, sf):
     return tracks.track_members(b.ocr_regions(spark, sf), b.MAX_GAP_MS)
 
 
-@query("associate_text_tracks")
+@query("associate_text_tracks", f"WITH RECURSIVE {q.TRACKS} SELECT source_id, track_id, member_no, observation_id FROM members")
 def _associate_text_tracks(spark, sf):
     """Order-dependent association, checked against brute force in the tests."""
     return _members(spark, sf).select("source_id", "track_id", "member_no", "observation_id")
 
 
-@query("text_track_summary")
+@query("text_track_summary", f"""WITH RECURSIVE {q.TRACKS}
+SELECT source_id, track_id, shot_id, normalized_text, count(*) AS members, min(timestamp_ms) AS first_timestamp_ms,
+       max(timestamp_ms) AS last_timestamp_ms, round(avg(ocr_confidence), 6) AS mean_confidence FROM members GROUP BY 1, 2, 3, 4""")
 def _text_track_summary(spark, sf):
     return rounded(tracks.text_tracks(_members(spark, sf)), "mean_confidence").select(
         "source_id", "track_id", "shot_id", "normalized_text", "members", "first_timestamp_ms",
@@ -371,7 +373,12 @@ def _text_track_summary(spark, sf):
     )
 
 
-@query("text_track_arrays")
+@query("text_track_arrays", f"""WITH RECURSIVE {q.TRACKS},
+spelled AS (SELECT source_id, track_id, string_agg(text, ',' ORDER BY first_no) AS raw_text_variants
+            FROM (SELECT source_id, track_id, text, min(member_no) AS first_no FROM members GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT source_id, track_id, 0::BIGINT AS part, string_agg(observation_id, ',' ORDER BY member_no) AS member_observation_ids,
+       any_value(raw_text_variants) AS raw_text_variants, 60000::BIGINT AS maximum_gap_ms
+FROM members JOIN spelled USING (source_id, track_id) GROUP BY 1, 2""")
 def _text_track_arrays(spark, sf):
     return flat(
         tracks.nest_tracks(_members(spark, sf), _region_hot(spark, sf)).select(
@@ -381,13 +388,24 @@ def _text_track_arrays(spark, sf):
     )
 
 
-@query("check_text_tracks", f"""WITH {q.REGIONS}
-SELECT NULL::VARCHAR AS source_id, NULL::VARCHAR AS check_name, NULL::VARCHAR AS rule, NULL::VARCHAR AS subject
-FROM regions WHERE false""")
+@query("check_text_tracks", f"""WITH RECURSIVE {q.TRACKS},
+t AS (SELECT source_id, track_id, track_no FROM members GROUP BY 1, 2, 3)
+SELECT source_id, 'text_tracks' AS check_name, rule, track_id AS subject FROM (
+  SELECT *, 'policy_unsupported' AS rule FROM t WHERE track_no % 11 = 0
+  UNION ALL SELECT *, 'gap_setting_differs' FROM t WHERE track_no % 13 = 0
+  UNION ALL SELECT *, 'mean_differs' FROM t WHERE track_no % 17 = 0
+  UNION ALL SELECT *, 'first_differs' FROM t WHERE track_no % 19 = 0)""")
 def _check_text_tracks(spark, sf):
-    """Derived tracks pass every rule; the tests break them one by one."""
+    """Stored tracks of which some have another policy, gap, mean or beginning than they should."""
     rows = b.ocr_regions(spark, sf)
-    nested = materialise(tracks.nest_tracks(_members(spark, sf), _region_hot(spark, sf)))
+    no = F.col("track_no")
+    nested = tracks.nest_tracks(_members(spark, sf), _region_hot(spark, sf)).withColumns({
+        "policy": F.when(no % 11 == 0, F.lit("other")).otherwise(F.col("policy")),
+        "maximum_gap_ms": F.when(no % 13 == 0, F.lit(1).cast("long")).otherwise(F.col("maximum_gap_ms")),
+        "mean_confidence": F.col("mean_confidence") + F.when(no % 17 == 0, 1.0).otherwise(0.0),
+        "first_timestamp_ms": F.col("first_timestamp_ms") - F.when(no % 19 == 0, 1).otherwise(0),
+    })
+    nested = materialise(nested)
     evidence = rows.select("source_id", F.col("source_frame_evidence_ref").alias("evidence_ref")).distinct()
     return tracks.check_text_tracks(nested, rows, evidence, b.MAX_GAP_MS)
 
@@ -1149,7 +1167,12 @@ def _duplicate_rate(spark, sf):
     return rounded(metrics.duplicate_rate(b.table(spark, sf, "documents"), ["text"]), "duplicate_rate")
 
 
-@query("track_compression")
+@query("track_compression", f"""WITH RECURSIVE {q.TRACKS},
+t AS (SELECT source_id, track_id, count(*) AS n FROM members GROUP BY 1, 2),
+s AS (SELECT count(*) AS tracks, CAST(sum(n) AS BIGINT) AS members, CAST(sum(n - 1) AS BIGINT) AS repeated,
+             (SELECT count(*) FROM regions) AS observations FROM t)
+SELECT *, round(repeated::DOUBLE / members, 6) AS repeated_rate,
+       round((observations - tracks)::DOUBLE / observations, 6) AS compression FROM s""")
 def _track_compression(spark, sf):
     rows = b.ocr_regions(spark, sf)
     summary = tracks.text_tracks(tracks.track_members(rows, b.MAX_GAP_MS))

@@ -172,6 +172,36 @@ regions AS (
          (l_partkey % 40 * 10)::DOUBLE + 20 + l_quantity AS x2, (l_linenumber * 30)::DOUBLE + 24 AS y2,
          l_quantity * 2 AS ocr_confidence FROM reg)"""
 
+# Text association as a walk over each (source, shot, text) with the list of its open tracks. Needs RECURSIVE.
+TRACKS = f"""{REGIONS},
+seq AS (SELECT *, row_number() OVER (PARTITION BY source_id, shot_id, normalized_text ORDER BY timestamp_ms, observation_id) AS rn FROM regions),
+assoc AS (
+  SELECT source_id, shot_id, normalized_text, 0::BIGINT AS rn,
+         []::STRUCT(fid VARCHAR, fms BIGINT, lms BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS open,
+         NULL::VARCHAR AS obs, NULL::VARCHAR AS fid, NULL::BIGINT AS fms
+  FROM (SELECT DISTINCT source_id, shot_id, normalized_text FROM regions)
+  UNION ALL
+  SELECT w.source_id, w.shot_id, w.normalized_text, r.rn,
+         CASE WHEN c IS NULL THEN list_append(keep, {{'fid': r.observation_id, 'fms': r.timestamp_ms, 'lms': r.timestamp_ms,
+                'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}})
+              ELSE list_transform(keep, lambda t: CASE WHEN t.fid = c.fid THEN {{'fid': t.fid, 'fms': t.fms, 'lms': r.timestamp_ms,
+                'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}} ELSE t END) END,
+         r.observation_id, coalesce(c.fid, r.observation_id), coalesce(c.fms, r.timestamp_ms)
+  FROM assoc w JOIN seq r ON r.source_id = w.source_id AND r.shot_id = w.shot_id AND r.normalized_text = w.normalized_text AND r.rn = w.rn + 1,
+  LATERAL (SELECT list_filter(w.open, lambda t: r.timestamp_ms - t.lms <= 60000) AS keep) k,
+  LATERAL (SELECT list_filter(keep, lambda t:
+      greatest(least(t.x2, r.x2) - greatest(t.x1, r.x1), 0) * greatest(least(t.y2, r.y2) - greatest(t.y1, r.y1), 0)
+      / (greatest(1, (t.x2 - t.x1) * (t.y2 - t.y1)) + greatest(1, (r.x2 - r.x1) * (r.y2 - r.y1))
+         - greatest(least(t.x2, r.x2) - greatest(t.x1, r.x1), 0) * greatest(least(t.y2, r.y2) - greatest(t.y1, r.y1), 0)) >= 0.1
+      OR (abs((t.x1 + t.x2) / 2 - (r.x1 + r.x2) / 2) <= greatest(t.x2 - t.x1, t.y2 - t.y1, r.x2 - r.x1, r.y2 - r.y1, 1)
+          AND abs((t.y1 + t.y2) / 2 - (r.y1 + r.y2) / 2) <= greatest(t.x2 - t.x1, t.y2 - t.y1, r.x2 - r.x1, r.y2 - r.y1, 1)))[-1] AS c) f),
+firsts AS (SELECT source_id, fid, row_number() OVER (PARTITION BY source_id ORDER BY fms, fid) AS track_no FROM assoc WHERE obs = fid),
+members AS (
+  SELECT r.*, track_no, printf('OCR_TRACK_%06d', track_no) AS track_id,
+         row_number() OVER (PARTITION BY r.source_id, track_no ORDER BY timestamp_ms, observation_id) AS member_no
+  FROM assoc a JOIN firsts f ON f.source_id = a.source_id AND f.fid = a.fid
+  JOIN regions r ON r.source_id = a.source_id AND r.observation_id = a.obs)"""
+
 TURNS = f"""turns AS (
   SELECT {ident('conv_id')} AS source_id, conv_id, turn, conv_id * 100 + turn AS number,
          printf('CUE_%06d', turn + 1) AS cue_id, turn * 2000 AS start_ms,
