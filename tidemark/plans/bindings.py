@@ -16,6 +16,7 @@ CHUNK_MS, OVERLAP_MS = 86_400_000, 3_600_000
 SLOT_MS, HALF_HOUR_MS = 21_600_000, 1_800_000
 FPS, FLASH_MS, HARD, GRADUAL = 10.0, 250, 0.08, 0.0135
 MAX_GAP_MS = 60_000
+WIDE_TOLERANCE_MS = 4_500
 TOLERANCE_MS = 250
 
 # event type → (adapter, modality, claim type)

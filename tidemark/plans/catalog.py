@@ -855,16 +855,32 @@ def _check_revision_chain(spark, sf):
     return checks.check_revision_chain(final.unionByName(final.filter(n % 9 == 0)), before)
 
 
-@query("dangling_evidence", f"""WITH {q.SPEECH},
+@query("dangling_evidence", f"""WITH {q.SPEECH}, {q.TURNS}, {q.REGIONS},
 kept AS (SELECT source_id, evidence_ref FROM evid WHERE CAST(substr(observation_id, 5) AS BIGINT) % 13 <> 0)
 SELECT source_id, 'evidence_refs' AS check_name, o AS rule, evidence_ref AS subject FROM (
   SELECT source_id, evidence_ref, 'claims' AS o FROM claims UNION ALL SELECT source_id, evidence_ref, 'speech' FROM speech)
-WHERE (source_id, evidence_ref) NOT IN (SELECT (source_id, evidence_ref) FROM kept)""")
+WHERE (source_id, evidence_ref) NOT IN (SELECT (source_id, evidence_ref) FROM kept)
+UNION ALL SELECT source_id, 'evidence_refs', 'cues', 'SUB:TRACK_0001:' || cue_id FROM turns WHERE turn % 7 = 0
+UNION ALL SELECT source_id, 'evidence_refs', 'ocr', 'OCR:' || observation_id FROM regions WHERE (timestamp_ms // 1000) % 43 = 0
+UNION ALL SELECT source_id, 'evidence_refs', 'ocr_frame', 'VID:' || source_id || ':frame:' || timestamp_ms FROM regions
+WHERE (timestamp_ms // 1000) % 41 = 0""")
 def _dangling_evidence(spark, sf):
+    """Claims, speech, cues, and text regions with their own and their frame's reference."""
     claims = _claims(spark, sf)
     evidence = observations.build_evidence(b.observations(spark, sf), b.ADAPTERS)
     kept = evidence.filter(F.substring("observation_id", 5, 20).cast("long") % 13 != 0)
-    return checks.dangling_evidence([("claims", claims), ("speech", observations.speech_rows(claims))], kept)
+    cues = b.turns(spark, sf).select(
+        "source_id", "turn", F.concat(F.lit("SUB:TRACK_0001:"), "cue_id").alias("evidence_ref")
+    )
+    regions = b.ocr_regions(spark, sf)
+    day = F.floor(F.col("timestamp_ms") / 1000)
+    frames = regions.select("source_id", "timestamp_ms", F.col("source_frame_evidence_ref").alias("evidence_ref"))
+    for some in (cues.filter("turn % 7 <> 0"), regions.filter(day % 43 != 0), frames.filter(day % 41 != 0).distinct()):
+        kept = kept.select("source_id", "evidence_ref").unionByName(some.select("source_id", "evidence_ref"))
+    references = [
+        ("claims", claims), ("speech", observations.speech_rows(claims)), ("cues", cues), ("ocr", regions), ("ocr_frame", frames)
+    ]
+    return checks.dangling_evidence(references, kept)
 
 
 @query("check_speech_source", f"""WITH {q.SPEECH}
@@ -942,10 +958,16 @@ per AS (SELECT s.source_id, s.shot_id, count(k.shot_id) AS n FROM s LEFT JOIN k
 SELECT source_id, 'keyframes' AS check_name, 'unknown_shot' AS rule, keyframe_id AS subject FROM k WHERE shot_id = 'SHOT_X'
 UNION ALL SELECT source_id, 'keyframes', 'outside_shot', keyframe_id FROM k WHERE shot_no % 5 = 0 AND shot_id <> 'SHOT_X'
 UNION ALL SELECT source_id, 'keyframes', 'repeated_for_shot', shot_id FROM per WHERE n > 1
-UNION ALL SELECT source_id, 'keyframes', 'shot_without_keyframe', shot_id FROM per WHERE n = 0""")
+UNION ALL SELECT source_id, 'keyframes', 'shot_without_keyframe', shot_id FROM per WHERE n = 0
+UNION ALL SELECT source_id, 'keyframes', 'content_differs', keyframe_id FROM k WHERE shot_no % 11 = 0""")
 def _check_keyframes(spark, sf):
+    """Spoiled keyframes; the stored images of every eleventh shot are others than recorded."""
     shots = _event_shots(spark, sf)
-    return checks.check_keyframes(_spoiled_keyframes(shots), shots)
+    path = F.concat_ws("/", "source_id", "keyframe_id")
+    keyframes = _spoiled_keyframes(shots).withColumns({"path": path, "sha256": F.sha2(path, 256)})
+    changed = F.substring("keyframe_id", 5, 20).cast("long") % 11 == 0
+    stored = keyframes.select("path", F.when(changed, "").otherwise(F.col("sha256")).alias("sha256")).distinct()
+    return checks.check_keyframes(keyframes, shots, stored)
 
 
 _PACKAGE = """exp AS (SELECT l_suppkey AS s, l_orderkey AS k, min(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1, 2)"""
@@ -1105,10 +1127,32 @@ m AS (SELECT g.source_id, g.language, g.number AS gold_id, p.number AS pred_id,
        AND greatest(abs(g.gs - p.start_ms), abs(g.ge - p.end_ms)) <= 250)"""
 
 
-@query("match_cues", f"""WITH {_CUES}
-SELECT source_id, language, gold_id, pred_id, error_start_ms, error_end_ms FROM m""")
+# The greedy walk over the gold cues of each (source, language), as for boundaries.
+_CUE_WALK = f"""{_CUES},
+gn AS (SELECT *, row_number() OVER (PARTITION BY source_id, language ORDER BY gs, ge, number) AS g FROM gold),
+pn AS (SELECT *, row_number() OVER (PARTITION BY source_id, language ORDER BY start_ms, end_ms, number) AS p FROM pred),
+lists AS (
+  SELECT gn.source_id, gn.language, g, list(p ORDER BY abs(gs - pn.start_ms) + abs(ge - pn.end_ms), p) AS ps
+  FROM gn JOIN pn ON gn.source_id = pn.source_id AND gn.language = pn.language
+    AND greatest(abs(gs - pn.start_ms), abs(ge - pn.end_ms)) <= {b.WIDE_TOLERANCE_MS} GROUP BY 1, 2, 3),
+walk AS (
+  SELECT source_id, language, 0::BIGINT AS g, []::BIGINT[] AS used, NULL::BIGINT AS got FROM (SELECT DISTINCT source_id, language FROM gold)
+  UNION ALL
+  SELECT w.source_id, w.language, w.g + 1, CASE WHEN x.pick IS NULL THEN w.used ELSE list_append(w.used, x.pick) END, x.pick
+  FROM walk w JOIN (SELECT source_id, language, max(g) AS n FROM gn GROUP BY 1, 2) e
+    ON e.source_id = w.source_id AND e.language = w.language AND w.g < e.n
+  LEFT JOIN lists l ON l.source_id = w.source_id AND l.language = w.language AND l.g = w.g + 1,
+  LATERAL (SELECT list_filter(coalesce(l.ps, []::BIGINT[]), lambda q: NOT list_contains(w.used, q))[1] AS pick) x)"""
+
+
+@query("match_cues", f"""WITH RECURSIVE {_CUE_WALK}
+SELECT w.source_id, w.language, gn.number AS gold_id, pn.number AS pred_id, abs(gs - pn.start_ms) AS error_start_ms,
+       abs(ge - pn.end_ms) AS error_end_ms
+FROM walk w JOIN gn ON gn.source_id = w.source_id AND gn.language = w.language AND gn.g = w.g
+JOIN pn ON pn.source_id = w.source_id AND pn.language = w.language AND pn.p = w.got""")
 def _match_cues(spark, sf):
-    return metrics.match_cues(b.predicted_cues(spark, sf), b.gold_cues(spark, sf), b.TOLERANCE_MS)
+    """A tolerance beyond the next cue of the language, so that cues compete for predictions."""
+    return metrics.match_cues(b.predicted_cues(spark, sf), b.gold_cues(spark, sf), b.WIDE_TOLERANCE_MS)
 
 
 @query("cue_scores", f"""WITH {_CUES},
