@@ -14,25 +14,30 @@ from tidemark.operators.matching import match_regions
 
 FRAME_FIELDS = (
     "source_id", "timestamp_ms", "exact_transcription", "normalized_transcription", "language",
-    "legibility", "uncertain", "occluded", "truncated", "notes",
+    "legibility", "uncertain", "occluded", "truncated", "notes", "regions", "ignore_regions",
 )
+# What an annotator has to give before frames are compared.
+NEEDED = ("exact_transcription", "normalized_transcription", "attested", "annotated_at")
 
 
 def agreement_errors(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Frames that forbid a comparison: known to one side only, or not completely annotated."""
-    sides = a.select("frame_id", F.lit(True).alias("_a"), F.col("exact_transcription").alias("_ea"),
-                     F.col("normalized_transcription").alias("_na"), F.col("annotator").alias("_wa")).join(
-        b.select("frame_id", F.lit(True).alias("_b"), F.col("exact_transcription").alias("_eb"),
-                 F.col("normalized_transcription").alias("_nb"), F.col("annotator").alias("_wb")),
-        "frame_id", "full",
-    )
+    """Frames that forbid a comparison: known to one side only, or not completely annotated.
+
+    A complete annotation has both texts, an attestation and the time at which it was made.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        given = F.coalesce(F.col("attested"), F.lit(False))
+        for column in NEEDED:
+            given = given & F.col(column).isNotNull()
+        return df.select(
+            "frame_id", F.lit(True).alias(f"_{name}"), given.alias(f"_done_{name}"), F.col("annotator").alias(f"_w{name}")
+        )
+
+    sides = side(a, "a").join(side(b, "b"), "frame_id", "full")
     reason = (
         F.when(F.col("_a").isNull() | F.col("_b").isNull(), "frame_sets_differ")
         .when(F.col("_wa") == F.col("_wb"), "annotators_not_distinct")
-        .when(
-            F.col("_ea").isNull() | F.col("_eb").isNull() | F.col("_na").isNull() | F.col("_nb").isNull(),
-            "annotation_incomplete",
-        )
+        .when(~F.col("_done_a") | ~F.col("_done_b"), "annotation_incomplete")
     )
     return sides.select("frame_id", reason.alias("reason")).filter("reason is not null")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.boxes import box
+from tidemark.functions.boxes import BOX_TYPE, box
 from tidemark.functions.digests import content_id
 from tidemark.functions.text import collapse_whitespace
 from tidemark.operators.sequence import number_rows
@@ -349,6 +349,11 @@ def annotations(spark: SparkSession, sf_dir: str, altered: bool) -> DataFrame:
         clean = F.when(key % 11 == 0, F.concat(F.lit("x"), clean)).otherwise(clean)
         legible = F.when(key % 7 == 0, F.lit("partial")).otherwise(legible)
     language = F.when(key % 13 != 0, F.col("lang")) if altered else F.col("lang")
+    wider = F.when(key % 17 == 0, 1.0).otherwise(0.0) if altered else F.lit(0.0)
+    side = (key % 100).cast("double")
+    marked = box(side, side, side + 40 + wider, side + 20)
+    hidden = box(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0))
+    ignored = F.when(key % 19 == 0, F.array(hidden)) if altered else F.lit(None)
     return d.select(
         F.format_string("FRAME_%06d", key).alias("frame_id"),
         F.lit("B" if altered else "A").alias("annotator"),
@@ -356,4 +361,7 @@ def annotations(spark: SparkSession, sf_dir: str, altered: bool) -> DataFrame:
         F.col("text").alias("exact_transcription"), clean.alias("normalized_transcription"),
         language.alias("language"), legible.alias("legibility"), (F.col("toxic") == 1).alias("uncertain"),
         F.lit(False).alias("occluded"), F.lit(False).alias("truncated"), _no_text().alias("notes"),
+        F.array(marked).alias("regions"),
+        F.coalesce(ignored, F.array().cast(f"array<{BOX_TYPE}>")).alias("ignore_regions"),
+        F.lit(True).alias("attested"), F.lit("2024-01-01T00:00:00Z").alias("annotated_at"),
     )

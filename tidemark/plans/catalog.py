@@ -1341,21 +1341,23 @@ def _annotators(spark, sf):
 
 _ANN = """ann AS (
   SELECT l.doc_id, printf('FRAME_%06d', l.doc_id) AS frame_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS chars,
-         l.doc_id % 11 = 0 AS t, l.doc_id % 13 = 0 AND lang IS NOT NULL AS g, l.doc_id % 7 = 0 AS v
+         l.doc_id % 11 = 0 AS t, l.doc_id % 13 = 0 AND lang IS NOT NULL AS g, l.doc_id % 7 = 0 AS v,
+         l.doc_id % 17 = 0 AS r, l.doc_id % 19 = 0 AS h
   FROM labels l JOIN documents d USING (doc_id))"""
 
 
 @query("annotator_disagreements", f"""WITH {_ANN}
 SELECT frame_id, array_to_string(list_filter([CASE WHEN t THEN 'normalized_transcription' END, CASE WHEN g THEN 'language' END,
-       CASE WHEN v THEN 'legibility' END], lambda x: x IS NOT NULL), ',') AS differing_fields,
+       CASE WHEN v THEN 'legibility' END, CASE WHEN r THEN 'regions' END, CASE WHEN h THEN 'ignore_regions' END],
+       lambda x: x IS NOT NULL), ',') AS differing_fields,
        CAST(t AS BIGINT) AS char_edits, chars FROM ann""")
 def _annotator_disagreements(spark, sf):
     return flat(annotation.disagreements(*_annotators(spark, sf)), "differing_fields")
 
 
 @query("annotator_agreement", f"""WITH {_ANN}
-SELECT count(*) AS frames, count(*) FILTER (t OR g OR v) AS disagreement_frames, count(*) FILTER (NOT (t OR g OR v)) AS agreement_frames,
-       round(count(*) FILTER (NOT (t OR g OR v))::DOUBLE / count(*), 6) AS exact_frame_agreement,
+SELECT count(*) AS frames, count(*) FILTER (t OR g OR v OR r OR h) AS disagreement_frames, count(*) FILTER (NOT (t OR g OR v OR r OR h)) AS agreement_frames,
+       round(count(*) FILTER (NOT (t OR g OR v OR r OR h))::DOUBLE / count(*), 6) AS exact_frame_agreement,
        round(count(*) FILTER (t)::DOUBLE / sum(chars), 6) AS character_disagreement_rate FROM ann""")
 def _annotator_agreement(spark, sf):
     compared = annotation.disagreements(*_annotators(spark, sf))
@@ -1364,13 +1366,15 @@ def _annotator_agreement(spark, sf):
 
 @query("agreement_errors", f"""WITH {_ANN}
 SELECT frame_id, CASE WHEN doc_id % 3 = 0 THEN 'frame_sets_differ' ELSE 'annotation_incomplete' END AS reason
-FROM ann WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
+FROM ann WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0""")
 def _agreement_errors(spark, sf):
     a, other = _annotators(spark, sf)
     number = F.substring("frame_id", 7, 20).cast("long")
     gaps = other.filter(number % 3 != 0).withColumn(
         "exact_transcription", F.when(number % 5 != 0, F.col("exact_transcription"))
-    )
+    ).withColumns({
+        "attested": number % 23 != 0, "annotated_at": F.when(number % 29 != 0, F.col("annotated_at")),
+    })
     return annotation.agreement_errors(a, gaps)
 
 
