@@ -205,10 +205,13 @@ def _build_shots(spark, sf):
     return _event_shots(spark, sf)
 
 
-@query("detect_shots")
+@query("detect_shots", f"""WITH RECURSIVE {q.FRAME_SHOTS}
+SELECT source_id, shot_no, printf('SHOT_%04d', shot_no) AS shot_id, printf('KEY_%04d', shot_no) AS keyframe_id,
+       start_ms, end_ms, boundary_type, round(boundary_confidence, 9) AS boundary_confidence,
+       'VID:' || source_id || ':ms:' || start_ms || '-' || end_ms AS evidence_ref FROM shots""")
 def _detect_shots(spark, sf):
-    """Frame signatures to shots in one plan; its steps are checked one by one above."""
-    return _frame_shots(spark, sf)
+    """Frame signatures to shots in one plan."""
+    return rounded(_frame_shots(spark, sf), "boundary_confidence", digits=9)
 
 
 @query("select_keyframes", f"""WITH {q.FRAMES},

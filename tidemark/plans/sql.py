@@ -76,21 +76,24 @@ speech AS (
   FROM claims WHERE speech_text IS NOT NULL)"""
 
 # Shots of a source: candidates at least 6 h apart, gaps over 2 days filled.
-SHOTS = f"""{EV},
-cand AS (
+_EVENT_CANDIDATES = """cand AS (
   SELECT source_id, ms AS boundary_ms,
          CASE event_type WHEN 'view' THEN 'hard_cut' ELSE 'gradual_transition' END AS boundary_type,
          (event_id % 101) / 100.0::DOUBLE AS confidence
-  FROM ev WHERE event_type IN ('view', 'click')),
-inside AS (
-  SELECT cand.* FROM cand JOIN src USING (source_id) WHERE boundary_ms > 0 AND boundary_ms < duration_ms
+  FROM ev WHERE event_type IN ('view', 'click'))"""
+
+
+def _shots(src: str, min_ms: int, max_ms: int) -> str:
+    """Accepted boundaries and shots of the candidates ``cand``."""
+    return f"""inside AS (
+  SELECT cand.* FROM cand JOIN {src} USING (source_id) WHERE boundary_ms > 0 AND boundary_ms < duration_ms
   QUALIFY row_number() OVER (PARTITION BY source_id, boundary_ms ORDER BY boundary_type, confidence) = 1),
-spots AS (SELECT source_id, 0::BIGINT AS boundary_ms FROM src UNION SELECT source_id, boundary_ms FROM inside),
+spots AS (SELECT source_id, 0::BIGINT AS boundary_ms FROM {src} UNION SELECT source_id, boundary_ms FROM inside),
 jump AS (
   SELECT s.source_id, s.boundary_ms, min(i.boundary_ms) AS next_ms FROM spots s
-  JOIN inside i ON i.source_id = s.source_id AND i.boundary_ms - s.boundary_ms >= 21600000 GROUP BY 1, 2),
+  JOIN inside i ON i.source_id = s.source_id AND i.boundary_ms - s.boundary_ms >= {min_ms} GROUP BY 1, 2),
 walk AS (
-  SELECT source_id, 0::BIGINT AS boundary_ms FROM src
+  SELECT source_id, 0::BIGINT AS boundary_ms FROM {src}
   UNION ALL SELECT j.source_id, j.next_ms FROM walk w JOIN jump j USING (source_id, boundary_ms)),
 firm AS (
   SELECT source_id, boundary_ms, coalesce(boundary_type, 'source_start') AS boundary_type,
@@ -99,17 +102,20 @@ firm AS (
 spaced AS (
   SELECT firm.*, duration_ms,
          coalesce(lead(boundary_ms) OVER (PARTITION BY source_id ORDER BY boundary_ms), duration_ms) AS next_ms
-  FROM firm JOIN src USING (source_id)),
+  FROM firm JOIN {src} USING (source_id)),
 bounds AS (
   SELECT source_id, boundary_ms, boundary_type, confidence FROM spaced
   UNION ALL
-  SELECT source_id, unnest(range(boundary_ms + 172800000, next_ms, 172800000)), 'uncertain', 0.0::DOUBLE
-  FROM spaced WHERE next_ms - boundary_ms > 172800000),
+  SELECT source_id, unnest(range(boundary_ms + {max_ms}, next_ms, {max_ms})), 'uncertain', 0.0::DOUBLE
+  FROM spaced WHERE next_ms - boundary_ms > {max_ms}),
 shots AS (
   SELECT source_id, row_number() OVER w AS shot_no, boundary_ms AS start_ms,
          coalesce(lead(boundary_ms) OVER w, duration_ms) AS end_ms, boundary_type,
          confidence AS boundary_confidence, duration_ms
-  FROM bounds JOIN src USING (source_id) WINDOW w AS (PARTITION BY source_id ORDER BY boundary_ms))"""
+  FROM bounds JOIN {src} USING (source_id) WINDOW w AS (PARTITION BY source_id ORDER BY boundary_ms))"""
+
+
+SHOTS = f"{EV},\n{_EVENT_CANDIDATES},\n{_shots('src', 21_600_000, 172_800_000)}"
 
 FRAMES = f"""fr0 AS (
   SELECT {ident('label')} AS source_id, embedding,
@@ -172,6 +178,14 @@ regions AS (
          (l_partkey % 40 * 10)::DOUBLE + 20 + l_quantity AS x2, (l_linenumber * 30)::DOUBLE + 24 AS y2,
          l_quantity * 2 AS ocr_confidence FROM reg)"""
 
+# Frame signatures to shots: the steps above in one chain. Needs RECURSIVE.
+FRAME_SHOTS = f"""{CUTS},
+cand AS (
+  SELECT source_id, frame_index * 100 AS boundary_ms, 'hard_cut' AS boundary_type, least(1.0, score) AS confidence
+  FROM classed WHERE is_cut
+  UNION ALL SELECT source_id, boundary_ms, boundary_type, confidence FROM gradual),
+{_shots('fsrc', 500, 5000)}"""
+
 # Text association as a walk over each (source, shot, text) with the list of its open tracks. Needs RECURSIVE.
 TRACKS = f"""{REGIONS},
 seq AS (SELECT *, row_number() OVER (PARTITION BY source_id, shot_id, normalized_text ORDER BY timestamp_ms, observation_id) AS rn FROM regions),
