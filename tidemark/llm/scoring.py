@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, ready, written
+from .sampling import unlabelled_sample
 
 WORDS = 768  # most frequent tokens (the end among them) with a class of their own
 SPELLINGS = 256  # classes of all other tokens, by their first three bytes
@@ -211,6 +212,24 @@ def _normalisers(model: Model) -> np.ndarray:
     return out
 
 
+def _frequent(counts: DataFrame) -> dict[bytes, int]:
+    """The tokens of the highest count levels that together are at most ``HEAD`` tokens, with counts.
+
+    Levels are sixteenths of a power of two, so there are some hundred of them; no sort is needed.
+    """
+    level = F.floor(F.log2("c") * 16)
+    cut, taken = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        taken += row["n"]
+        if taken > HEAD:
+            break
+        cut = row["level"]
+    if cut is None:
+        return {}
+    rows = counts.where(level >= cut).toArrow()
+    return dict(zip(rows.column("token").to_pylist(), rows.column("c").to_pylist()))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fold: int = 0) -> tuple[Language, DataFrame]:
     """The language of all documents outside the held-out fold, and the stored counts ``token, c``.
 
@@ -225,9 +244,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     )
     spelling = F.crc32(F.substring("token", 1, 3)) % F.lit(SPELLINGS)
     by_class = counts.groupBy(spelling.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    head_rows = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    head = dict(zip(head_rows.column("token").to_pylist(), head_rows.column("c").to_pylist()))
-    words = list(head)[:WORDS]
+    head = _frequent(counts)
+    words = sorted(head, key=lambda t: (-head[t], t))[:WORDS]
 
     class_total, class_distinct = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in by_class:
@@ -243,10 +261,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
     model = Model.fresh(noise)
     if total:
-        some = (
-            docs.where(~held_out(id_col, modulus, fold)).orderBy(F.xxhash64(id_col), id_col).limit(FIRST_DOCUMENTS)
-            .select(F.col(text_col).alias("text"))
-        )
+        some = unlabelled_sample(docs, id_col, text_col, modulus, fold, FIRST_DOCUMENTS)
         for rows in (some.coalesce(1), learned):
             shared = spark.sparkContext.broadcast((words, noise, model.rows()))
             parts = rows.mapInArrow(_training(shared), "at int, weight double, vector array<float>")
