@@ -37,24 +37,18 @@ def _line_key(host: bytes, line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lines of each document: host, line, and the least other line of the document.
-
-    The other line stands for the document: copies of one document share it, so a text that is copied
-    a thousand times does not make its own lines common; the lone line of a document has the value 0.
-    """
+    """Distinct lines of each document: host, line, and a hash of the whole text, which copies share."""
     for batch in batches:
-        hosts, keys, others = [], [], []
+        hosts, keys, texts = [], [], []
         for host, text in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in (0, 1))):
-            host = host or b""
-            found = sorted({_line_key(host, line) for line in (text or b"").split(b"\n") if line.strip(b" \t\r\v\f")})
-            mark = _signed(xxhash.xxh3_64_intdigest(host))
-            for key in found:
-                hosts.append(mark)
-                keys.append(key)
-                others.append(0 if len(found) == 1 else found[1] if key == found[0] else found[0])
+            host, text = host or b"", text or b""
+            found = {_line_key(host, line) for line in text.split(b"\n") if line.strip(b" \t\r\v\f")}
+            keys += found
+            hosts += [_signed(xxhash.xxh3_64_intdigest(host))] * len(found)
+            texts += [_signed(xxhash.xxh3_64_intdigest(text))] * len(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64())],
-            ["host", "line", "other"],
+            [pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(texts, pa.int64())],
+            ["host", "line", "document"],
         )
 
 
@@ -74,7 +68,7 @@ def common_lines(
     """Keys of the lines that more distinct documents of their host hold than both limits allow.
 
     Both counts are partial sums before they are shuffled, so a line in a third of all rows is one
-    row per task. Documents that are alike apart from the line count once.
+    row per task. Copies of one text are one document; texts that differ anywhere are different ones.
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
@@ -84,12 +78,12 @@ def common_lines(
         .groupBy("host").agg(F.sum("documents").alias("documents"))
     )
     return (
-        rows.mapInArrow(_lines, "host long, line long, other long")
+        rows.mapInArrow(_lines, "host long, line long, document long")
         .distinct()
-        .groupBy("host", "line").agg(F.count("*").alias("alike"))
-        .where(F.col("alike") > min_documents)
+        .groupBy("host", "line").agg(F.count("*").alias("holding"))
+        .where(F.col("holding") > min_documents)
         .join(per_host, "host")
-        .where(F.col("alike") > max_share * F.col("documents"))
+        .where(F.col("holding") > max_share * F.col("documents"))
         .select("line").distinct()
     )
 
