@@ -17,3 +17,16 @@ def test_blocks_of_common_lines_count_every_document(spark):
     rows += [(100 + i, "copied first line\ncopied second line", "h") for i in range(15)]
     found = {r["doc_id"]: r["removed_lines"] for r in line_rules.line_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(found[i] == 4 and found[100 + i] == 0 for i in range(15))
+
+
+def test_copies_do_not_raise_the_limit_of_a_host(spark):
+    rows = [(i, f"the shared footer\nown words {letters(i)} of this text", "h") for i in range(15)]
+    rows += [(100 + i, "a text that is copied again and again", "h") for i in range(4_000)]
+    found = line_rules.line_rules(spark.createDataFrame(rows, SCHEMA)).where("removed_lines > 0").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(15))
+
+
+def test_many_documents_are_enough_on_a_large_host(spark):
+    rows = [(i, f"the shared footer\nown words {letters(i)} of this text", "h") for i in range(110)]
+    rows += [(1_000 + i, f"only words {letters(1_000 + i)} of this text", "h") for i in range(25_000)]
+    assert line_rules.common_lines(spark.createDataFrame(rows, SCHEMA).repartition(8)).count() == 1

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import ready, written
 
 MIN_DOCUMENTS = 10  # a line of fewer documents of a host is never common
-MAX_SHARE = 0.005  # nor one of a smaller share of the host's documents
+MAX_SHARE = 0.005  # nor one of a smaller share of the host's documents,
+MANY_DOCUMENTS = 100  # unless more documents than these hold it: the share of a large host asks for no more
 MIN_LEFT = 0.3  # a document that keeps a smaller share of its words is depleted
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -64,18 +65,21 @@ def common_lines(
     host_col: str = "source",
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
+    many_documents: int = MANY_DOCUMENTS,
 ) -> DataFrame:
     """Keys of the lines that more distinct documents of their host hold than both limits allow.
 
-    Both counts are partial sums before they are shuffled, so a line in a third of all rows is one
-    row per task. Copies of one text are one document; texts that differ anywhere are different ones.
+    More than ``many_documents`` are enough on a host of any size. All counts are partial sums before
+    they are shuffled, so a line in a third of all rows is one row per task. Copies of one text are one
+    document of the line and of the host; texts that differ anywhere are different ones.
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     per_host = (
-        rows.groupBy("host").agg(F.count("*").alias("documents"))
+        rows.select(F.coalesce("host", F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("document"))
+        .distinct()
+        .groupBy("host").agg(F.count("*").alias("documents"))
         .mapInArrow(_host_marks, "host long, documents long")
-        .groupBy("host").agg(F.sum("documents").alias("documents"))
     )
     return (
         rows.mapInArrow(_lines, "host long, line long, document long")
@@ -83,7 +87,7 @@ def common_lines(
         .groupBy("host", "line").agg(F.count("*").alias("holding"))
         .where(F.col("holding") > min_documents)
         .join(per_host, "host")
-        .where(F.col("holding") > max_share * F.col("documents"))
+        .where((F.col("holding") > max_share * F.col("documents")) | (F.col("holding") > many_documents))
         .select("line").distinct()
     )
 
@@ -157,7 +161,7 @@ def _judge(common: np.ndarray, first: bool, last: bool, host_at: int, text_at: i
     return run
 
 
-def _judged(docs: DataFrame, text_at: int, host_at: int, limits: tuple[int, float], with_rows: bool) -> DataFrame:
+def _judged(docs: DataFrame, text_at: int, host_at: int, limits: tuple[int, float, int], with_rows: bool) -> DataFrame:
     """Columns ``c0, c1, ...`` (or ``c0``), the measures, ``words_left`` and ``removed``."""
     ready(docs.sparkSession)
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
@@ -189,6 +193,7 @@ def line_rules(
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
+    many_documents: int = MANY_DOCUMENTS,
 ) -> DataFrame:
     """Measures of each document, what is left of it without the common lines of its host, and a verdict.
 
@@ -204,7 +209,7 @@ def line_rules(
     """
     narrow = docs.select(F.col(id_col), F.col(host_col).cast("string"), F.col(text_col))
     depleted = F.col("words_left") < F.lit(min_left) * F.col("n_words")
-    return _judged(narrow, 2, 1, (min_documents, max_share), False).select(
+    return _judged(narrow, 2, 1, (min_documents, max_share, many_documents), False).select(
         F.col("c0").alias(id_col),
         *_STATS,
         _failed().alias("base_failed"),
@@ -222,10 +227,11 @@ def passing_documents(
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
+    many_documents: int = MANY_DOCUMENTS,
 ) -> DataFrame:
     """The whole rows that :func:`line_rules` keeps, with the common lines cut from their texts."""
     names = docs.columns
     typed = docs.withColumn(host_col, F.col(host_col).cast("string"))
-    judged = _judged(typed, names.index(text_col), names.index(host_col), (min_documents, max_share), True)
+    judged = _judged(typed, names.index(text_col), names.index(host_col), (min_documents, max_share, many_documents), True)
     depleted = F.col("words_left") < F.lit(min_left) * F.col("n_words")
     return judged.where(~_failed() & ~depleted).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
