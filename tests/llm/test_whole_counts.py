@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_rules
+import numpy as np
+
+from tidemark.llm import line_rules, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -30,3 +32,24 @@ def test_many_documents_are_enough_on_a_large_host(spark):
     rows = [(i, f"the shared footer\nown words {letters(i)} of this text", "h") for i in range(110)]
     rows += [(1_000 + i, f"only words {letters(1_000 + i)} of this text", "h") for i in range(25_000)]
     assert line_rules.common_lines(spark.createDataFrame(rows, SCHEMA).repartition(8)).count() == 1
+
+
+def test_toxicity_scores_by_the_trained_map():
+    weights = np.zeros(toxicity.DIMENSIONS, np.float32)
+    shared, own = toxicity.features_of(b"prefixes")[1], toxicity.features_of(b"other")[0]
+    weights[shared], weights[own] = 0.5, -0.25
+    scorer = toxicity.Scorer(toxicity.Model(weights, 0.1))
+    text = b" ".join(b"pref" + letters(i).encode() for i in range(50)) + b" other other"
+    packed = np.frombuffer(toxicity.packed([f for w in set(toxicity.words_of(text)) for f in toxicity.features_of(w)]), np.int32)
+    features, counts = packed.reshape(2, -1)
+    logit = 0.1 + float(weights[features].astype(float) @ np.log1p(counts))
+    assert dict(zip(features.tolist(), counts.tolist()))[shared] == 50
+    assert abs(scorer(text) - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_swaps_change_the_counts_of_their_sentence():
+    changes = [np.frombuffer(c, np.int32) for c in toxicity.swapped({b"muslim", b"musli", b"x"}, b"muslim")]
+    assert len(changes) == 6 and all(c[0] == 6 for c in changes)
+    at, before, after = changes[0][1:].reshape(3, -1)
+    known = dict(zip(at.tolist(), zip(before.tolist(), after.tolist())))
+    assert known[toxicity.features_of(b"muslim")[1]] == (2, 1) and known[toxicity.features_of(b"christian")[0]] == (0, 1)

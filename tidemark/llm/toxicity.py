@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,8 +58,8 @@ def packed(features: list[int]) -> bytes:
     return np.concatenate(np.unique(np.array(features, np.int32), return_counts=True)).astype(np.int32).tobytes()
 
 
-def swaps() -> list[tuple[bytes, bytes]]:
-    return [(a.encode(), b.encode()) for row in IDENTITY_TERMS for a in row for b in row if a != b]
+# The terms that each identity term is swapped for.
+_OTHERS = {a.encode(): [b.encode() for b in row if a != b] for row in IDENTITY_TERMS for a in row}
 
 
 @dataclass
@@ -68,49 +69,72 @@ class Model:
 
 
 class Scorer:
-    """Scores of whole texts: the sum of word scores over the distinct words, through a bounded cache."""
+    """Scores of whole texts by the feature map of the training: log1p of how many distinct words have each.
 
-    def __init__(self, model: Model):
-        self.weights, self.bias = model.weights, model.bias
-        self.cache: dict[bytes, float] = {}
+    Words are looked up in a bounded cache of those of their features that have a weight.
+    """
 
-    def word(self, word: bytes) -> float:
-        return float(self.weights[features_of(word)].sum())
+    def __init__(self, model: Model):
+        self.weights, self.bias = model.weights.astype(np.float64), model.bias
+        self.weighted = set(np.flatnonzero(model.weights).tolist())
+        self.cache: dict[bytes, list[int]] = {}
 
     def __call__(self, text: bytes | None) -> float:
         if len(self.cache) > _WORD_CACHE:
             self.cache.clear()
         cache, found = self.cache, set(words_of(text))
         for word in found.difference(cache):
-            cache[word] = self.word(word)
-        total = self.bias + sum(map(cache.__getitem__, sorted(found)))
+            cache[word] = [f for f in features_of(word) if f in self.weighted]
+        features, counts = np.unique(np.fromiter((f for w in found for f in cache[w]), np.int64), return_counts=True)
+        total = self.bias + float((self.weights[features] * np.log1p(counts)).sum())
         return 1.0 / (1.0 + float(np.exp(-np.clip(total, -40.0, 40.0))))
 
 
+def swapped(sentence: set[bytes], term: bytes, features=features_of) -> list[bytes]:
+    """The sentence with the term swapped for each other term of its row: packed changes of its counts.
+
+    Each is the number of swaps, the features whose counts change, and their counts before and after.
+    """
+    before = Counter(f for word in sentence for f in features(word))
+    others = _OTHERS[term]
+    found = []
+    for other in others:
+        after = before.copy()
+        after.subtract(features(term))
+        if other not in sentence:
+            after.update(features(other))
+        at = sorted(f for f in {*features(term), *features(other)} if before[f] != after[f])
+        row = [len(others), *at, *(before[f] for f in at), *(after[f] for f in at)]
+        found.append(np.array(row, np.int32).tobytes())
+    return found
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts as feature lists, and in how many sentences each identity term stands."""
-    terms = {t.encode(): i for i, t in enumerate(t for row in IDENTITY_TERMS for t in row)}
+    """Labelled texts as feature lists, and the swaps of identity terms in their sentences."""
     cache: dict[bytes, list[int]] = {}
+
+    def look_up(word: bytes) -> list[int]:
+        if word not in cache:
+            if len(cache) > _WORD_CACHE:
+                cache.clear()
+            cache[word] = features_of(word)
+        return cache[word]
+
     for batch in batches:
-        features, identity = [], []
+        features, changes, times = [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
-            found: list[int] = []
             distinct = set(words_of(text))
-            for word in sorted(distinct):
-                if word not in cache:
-                    if len(cache) > _WORD_CACHE:
-                        cache.clear()
-                    cache[word] = features_of(word)
-                found += cache[word]
-            features.append(packed(found))
-            named: list[int] = []
-            if not distinct.isdisjoint(terms):
-                for sentence in _SENTENCE.split(text):
-                    named += [terms[w] for w in set(words_of(sentence)).intersection(terms)]
-            identity.append(named)
+            features.append(packed([f for word in sorted(distinct) for f in look_up(word)]))
+            named: Counter[bytes] = Counter()
+            if not distinct.isdisjoint(_OTHERS):
+                for sentence in map(set, map(words_of, _SENTENCE.split(text))):
+                    for term in sentence.intersection(_OTHERS):
+                        named.update(swapped(sentence, term, look_up))
+            changes.append(list(named)), times.append(list(named.values()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(features, pa.binary()), pa.array(identity, pa.list_(pa.int32()))],
-            ["label", "features", "identity"],
+            [batch.column(0), pa.array(features, pa.binary()), pa.array(changes, pa.list_(pa.binary())),
+             pa.array(times, pa.list_(pa.int64()))],
+            ["label", "features", "swaps", "times"],
         )
 
 
@@ -121,7 +145,7 @@ def _prior_only(negatives: int, positives: int) -> Model:
 def fit(
     labels: np.ndarray,
     features: list[bytes],
-    identity: np.ndarray,
+    identity: np.ndarray | Counter[bytes],
     shares: tuple[int, int],
     l1: float = L1,
     counterfactual: float = COUNTERFACTUAL,
@@ -129,9 +153,10 @@ def fit(
 ) -> Model:
     """Weighted logistic regression, sparse by a proximal step, with a penalty on counterfactual change.
 
-    ``features`` are packed examples, copies of which teach once. ``identity[i]`` counts the labelled sentences with identity term i. Swapping term a for b changes
-    the logit by ``s(b) - s(a)`` whatever else the sentence says; the mean square of that change over
-    all sentences and swaps is added to the loss. Without examples of both classes the model is the prior.
+    ``features`` are packed examples, copies of which teach once. ``identity`` counts the changes that
+    :func:`swapped` makes of the labelled sentences, or is an array of how many sentences consist of each
+    identity term alone. The mean square change of the logit over all sentences and swaps is added to
+    the loss. Without examples of both classes the model is the prior.
     """
     distinct = sorted({f: i for i, f in reversed(list(enumerate(features)))}.values())
     labels, features = labels[distinct], [np.frombuffer(features[i], np.int32).reshape(2, -1) for i in distinct]
@@ -149,27 +174,31 @@ def fit(
     share = in_any / len(labels)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / ones + 1 / (len(labels) - ones)))
     apart = np.abs(in_one / ones - (in_any - in_one) / (len(labels) - ones)) / spread
-    pairs = swaps()
-    names = [t.encode() for row in IDENTITY_TERMS for t in row]
     used = (apart >= MIN_APART) & (in_any >= MIN_TEXTS)
-    for name in names:
+    for name in _OTHERS:
         used[features_of(name)] = True
     place = np.cumsum(used) - 1
     kept = used[columns]
     rows, columns, values = rows[kept], place[columns[kept]], np.log1p(counts[kept].astype(np.float64))
     size = int(used.sum())
 
-    # Swaps as sparse differences, weighted by the sentences that hold the first term.
-    at = {name: i for i, name in enumerate(names)}
-    row_sizes = {t.encode(): len(row) - 1 for row in IDENTITY_TERMS for t in row}
-    swap_weight = np.array([identity[at[a]] / row_sizes[a] for a, _ in pairs])
-    swap_weight = swap_weight / max(1.0, identity.sum())
-    difference = np.zeros((len(pairs), size))
-    for i, (a, b) in enumerate(pairs):
-        np.add.at(difference[i], place[features_of(a)], -1.0)
-        np.add.at(difference[i], place[features_of(b)], 1.0)
-    active = swap_weight > 0
-    difference, swap_weight = difference[active], swap_weight[active]
+    # Swaps as sparse rows of changes; the swaps of one term in one sentence weigh as much as one sentence.
+    if isinstance(identity, np.ndarray):
+        alone = zip(_OTHERS, identity.tolist())
+        identity = Counter({change: n for name, n in alone if n for change in swapped({name}, name)})
+    changes = [np.frombuffer(change, np.int32) for change in identity]
+    swap_weight = np.array([n / change[0] for n, change in zip(identity.values(), changes)])
+    swap_weight = swap_weight / max(1.0, swap_weight.sum())
+    parts = [change[1:].reshape(3, -1) for change in changes]
+    swap_rows = np.repeat(np.arange(len(parts)), [part.shape[1] for part in parts])
+    at, before, after = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int32)
+    moved = used[at]
+    swap_rows, swap_columns = swap_rows[moved], place[at[moved]]
+    swap_values = np.log1p(after[moved]) - np.log1p(before[moved])
+
+    def penalty(w: np.ndarray) -> np.ndarray:
+        through = swap_weight * np.bincount(swap_rows, swap_values * w[swap_columns], len(swap_weight))
+        return 2 * counterfactual * np.bincount(swap_columns, swap_values * through[swap_rows], size)
 
     total = max(1, sum(shares))
     weight = np.where(labels == 1, shares[1] / total / ones, shares[0] / total / (len(labels) - ones))
@@ -183,7 +212,7 @@ def fit(
         through = weight * (np.bincount(rows, values * probe[columns], len(labels)) + probe[-1]) / 4
         after = np.append(np.bincount(columns, values * through[rows], size), through.sum())
         if len(swap_weight):
-            after[:-1] += 2 * counterfactual * (difference.T @ (swap_weight * (difference @ probe[:-1])))
+            after[:-1] += penalty(probe[:-1])
         probe = after
     rate = 0.9 / max(float(np.linalg.norm(probe)), 1e-9)
     for _ in range(rounds):
@@ -191,7 +220,7 @@ def fit(
         slope = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels)
         gradient = np.bincount(columns, values * slope[rows], size)
         if len(swap_weight):
-            gradient += 2 * counterfactual * (difference.T @ (swap_weight * (difference @ look)))
+            gradient += penalty(look)
         new = look - rate * gradient
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         new_bias = look_bias - rate * float(slope.sum())
@@ -213,11 +242,13 @@ def train(
     """Model from at most ``bound`` labelled documents of each class outside the held-out fold."""
     ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, modulus, fold, bound)
-    table = sample.mapInArrow(_examples, "label int, features binary, identity array<int>").toArrow()
+    table = sample.mapInArrow(_examples, "label int, features binary, swaps array<binary>, times array<long>").toArrow()
     targets = np.array(table.column("label").to_pylist(), np.float64)
     features = table.column("features").to_pylist()
-    named = [i for row in table.column("identity").to_pylist() for i in row]
-    identity = np.bincount(np.array(named, np.int64), minlength=sum(map(len, IDENTITY_TERMS)))
+    identity: Counter[bytes] = Counter()
+    for changes, times in zip(table.column("swaps").to_pylist(), table.column("times").to_pylist()):
+        for change, n in zip(changes, times):
+            identity[change] += n
     return fit(targets, features, identity, class_shares(labels, id_col, label_col, modulus, fold),
                counterfactual=counterfactual)
 
