@@ -190,7 +190,7 @@ def test_boundary_matching_with_copies_matches_the_sequential_scan(sized):
         want |= {(f"S{case}", g): v for g, v in sequential_matches(pred, gold, 3).items()}
     p = frame(sized, preds, "source_id string, pred_id bigint, boundary_ms bigint")
     g = frame(sized, golds, "source_id string, gold_id bigint, boundary_ms bigint, tolerance_ms bigint")
-    got = metrics.match_boundaries(p, g, 3, 5).collect()
+    got = metrics.match_boundaries(p, g, 3).collect()
     assert {(r.source_id, r.gold_id): (r.pred_id, r.error_ms) for r in got} == want and len(got) == len(want)
 
 
