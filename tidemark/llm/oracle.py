@@ -77,7 +77,67 @@ SELECT page_id, CAST(epoch(p.t) AS BIGINT) AS fetched_s, coalesce(action, 'none'
 FROM p LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (page_id)
 """
 
+HARD_NEGATIVES = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.l AS anchor_l, b.vec_id AS id, b.l,
+           CAST(list_dot_product(a.q, b.q) AS BIGINT) AS s
+    FROM e a JOIN e b ON len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT anchor_id, id AS positive_id, s AS positive_score FROM s WHERE l = anchor_l AND id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, positive_score, id AS negative_id, s AS negative_score,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) AS INTEGER) AS rank
+FROM p JOIN s USING (anchor_id)
+WHERE l <> anchor_l AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+FILTER_INTERACTIONS = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), marks AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+    FROM labels GROUP BY doc_id
+), masks AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+           + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER)
+           + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+           + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask
+    FROM d LEFT JOIN marks USING (doc_id)
+), letters AS (
+    SELECT chr(65 + i::INTEGER) AS letter, CAST(1 << i AS INTEGER) AS bit FROM range(5) r(i)
+), prefixes AS (
+    SELECT '' AS prefix, 0 AS applied, 0 AS bit, 0 AS before
+    UNION ALL
+    SELECT prefix || letter, applied | l.bit, l.bit, applied FROM prefixes p JOIN letters l ON p.applied & l.bit = 0
+), steps AS (
+    SELECT part, prefix, count(*) FILTER (mask & applied = 0) AS kept,
+           count(*) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+           count(*) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant,
+           count(*) FILTER (mask = bit) AS unique_fails,
+           count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND good = 1) AS good_lost,
+           count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost
+    FROM masks, prefixes WHERE bit > 0 GROUP BY part, prefix
+), orders AS (
+    SELECT prefix AS filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM prefixes WHERE length(prefix) = 5
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley
+FROM orders JOIN steps ON prefix = substr(filter_order, 1, step)
+"""
+
 ORACLE = {
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_filter_interactions": FILTER_INTERACTIONS,
     "op6_url_filters": URL_VERDICTS,
     "op2_warc": WARC,
     "op4_decontaminate": DECONTAMINATE,

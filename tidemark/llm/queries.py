@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, neardup, packing, quality, scoring, sharding, toxicity, url_filters, warc
+from . import (
+    decontamination, filter_audit, hard_negatives, language_id, line_rules, neardup, packing, quality, scoring,
+    sharding, toxicity, url_filters, warc,
+)
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -103,6 +106,22 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hard_negative_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector is an anchor; every 7th has the label after its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+    return found.drop("positive_no")
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def language_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES = {
     "op1_toxicity": toxic_score,
     "op5_quality": quality_score,
@@ -114,4 +133,7 @@ QUERIES = {
     "op8_language_scores": language_scores,
     "op9_best_fit_packing": best_fit_packing,
     "op10_near_duplicates": near_duplicates,
+    "op11_hard_negatives": hard_negative_triples,
+    "op12_filter_interactions": filter_interactions,
+    "op13_language_id": language_predictions,
 }
