@@ -4,12 +4,15 @@ Every test runs twice: with the usual limits, and with limits so low that the di
 (range-placed numbering, block folds, proposals) do all the work.
 """
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.boxes import BOX_TYPE
-from tidemark.operators import matching, metrics, sequence, structure, tracks
+from tidemark.operators import chains, matching, metrics, sequence, structure, tracks
+from tidemark.session import BLOCK_ROWS_KEY, DEFAULTS, FOLD_ROWS_KEY, materialise
 
 
 def frame(spark, rows, schema):
@@ -166,9 +169,10 @@ def test_boundaries_and_shots_match_the_sequential_scan(sized):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def sequential_matches(pred, gold, default):
+def sequential_matches(pred, gold, default, turn=None):
     free, result = set(range(len(pred))), {}
-    for gid, at, own in sorted(gold, key=lambda g: (g[1], g[2] if g[2] is not None else default, g[0])):
+    turn = turn or (lambda g: (g[1], g[2] if g[2] is not None else default, g[0]))
+    for gid, at, own, *_ in sorted(gold, key=turn):
         limit = default if own is None else own
         options = [(abs(pred[i][1] - at), i) for i in free if abs(pred[i][1] - at) <= limit]
         if options:
@@ -194,6 +198,90 @@ def test_boundary_matching_with_copies_matches_the_sequential_scan(sized):
     assert {(r.source_id, r.gold_id): (r.pred_id, r.error_ms) for r in got} == want and len(got) == len(want)
 
 
+def test_boundary_matching_in_gold_order(sized):
+    rng = random.Random(15)
+    preds, golds, want = [], [], {}
+    for case in range(24):
+        span = rng.choice([6, 40, 300])
+        pred = sorted(((i, rng.randrange(span)) for i in range(rng.randrange(0, 30))), key=lambda p: (p[1], p[0]))
+        gold = [
+            (i, rng.randrange(span), rng.choice([None, None, 2, 5]), rng.randrange(9), rng.choice("ab"))
+            for i in range(rng.randrange(0, 30))
+        ]
+        preds += [(f"S{case}", *p) for p in pred]
+        golds += [(f"S{case}", *g) for g in gold]
+        turn = lambda g: (g[3], g[4], g[0])
+        want |= {(f"S{case}", g): v for g, v in sequential_matches(pred, gold, 3, turn).items()}
+    p = frame(sized, preds, "source_id string, pred_id bigint, boundary_ms bigint")
+    g = frame(sized, golds, "source_id string, gold_id bigint, boundary_ms bigint, tolerance_ms bigint, place int, list string")
+    got = metrics.match_boundaries(p, g, 3, ["place", "list"]).collect()
+    assert {(r.source_id, r.gold_id): (r.pred_id, r.error_ms) for r in got} == want and len(got) == len(want)
+
+
+def counted_lineage_cuts(monkeypatch):
+    """How often a table is stored, over all modules that do so."""
+    cuts = []
+
+    def counting(df):
+        cuts.append(1)
+        return materialise(df)
+
+    for module in (chains, sequence):
+        monkeypatch.setattr(module, "materialise", counting)
+    return cuts
+
+
+@pytest.mark.parametrize("spacing", [3, 40])
+def test_a_long_chain_takes_a_logarithmic_number_of_joins(spark, monkeypatch, spacing):
+    cuts, n = counted_lineage_cuts(monkeypatch), 100_000
+    nodes = spark.range(n).select(F.lit("S").alias("source_id"), F.col("id").alias("at"), (F.col("id") + spacing).alias("until"))
+    got = chains.greedy_chain(nodes, ["source_id"], "at", "until", spacing)
+    assert got.agg(F.count("*"), F.sum("at"), F.max(F.col("at") % spacing)).first() == (
+        -(-n // spacing), sum(range(0, n, spacing)), 0
+    )
+    assert len(cuts) <= 12 + math.log2(n / spacing)
+
+
+def test_blocks_with_lasting_states_are_settled_by_their_maps(spark, monkeypatch):
+    """A state that every block hands on changed is never forgotten, but takes few values."""
+    cuts, n = counted_lineage_cuts(monkeypatch), 4_000
+    for key in (FOLD_ROWS_KEY, BLOCK_ROWS_KEY):
+        spark.conf.set(key, "50")
+    try:
+        rows = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("k"))
+        got = sequence.ordered_fold(
+            rows, ["g"], ["k"], [], "bigint", "struct<k:bigint,v:bigint>", F.lit(0).cast("long"),
+            lambda c, x: sequence.moved((c + 1) % 7, F.struct(x["k"].alias("k"), c.alias("v"))),
+        )
+        assert {(r.k, r.v) for r in got.collect()} == {(k, k % 7) for k in range(n)}
+        assert len(cuts) < 40  # 80 blocks, 7 states
+    finally:
+        for key in (FOLD_ROWS_KEY, BLOCK_ROWS_KEY):
+            spark.conf.set(key, str(DEFAULTS[key]))
+
+
+def test_one_text_for_a_whole_long_source(spark):
+    """Regions of one text that never pause: two places that alternate, one that drifts."""
+    for key in (FOLD_ROWS_KEY, BLOCK_ROWS_KEY):
+        spark.conf.set(key, "64")
+    try:
+        rng, mine = random.Random(3), []
+        for i in range(900):
+            x = rng.choice([0, 400]) if i < 500 else 400 + (i - 500) // 3
+            mine.append((i // 2, f"O{i:04d}", "s", "A", [x, 0, x + 20, 10]))
+        rows = [("S", shot, oid, ts, text, text, tuple(map(float, b)), 50.0, "r") for ts, oid, shot, text, b in mine]
+        regions = frame(
+            spark, rows,
+            "source_id string, shot_id string, observation_id string, timestamp_ms bigint, text string, "
+            f"normalized_text string, bounding_box {BOX_TYPE}, ocr_confidence double, source_frame_evidence_ref string",
+        )
+        got = {r.observation_id: (r.track_no, r.member_no) for r in tracks.track_members(regions, 6).collect()}
+        assert got == sequential_tracks(mine, 6)
+    finally:
+        for key in (FOLD_ROWS_KEY, BLOCK_ROWS_KEY):
+            spark.conf.set(key, str(DEFAULTS[key]))
+
+
 def test_cue_matching_matches_the_sequential_scan(sized):
     rng = random.Random(6)
     preds, golds, want = [], [], {}

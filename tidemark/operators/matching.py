@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.binding import let
 from tidemark.functions.boxes import area, height, iou, width
-from tidemark.operators.sequence import is_hot, largest_group, moved, number_rows, ordered_fold
+from tidemark.operators.sequence import (
+    attach, is_hot, largest_group, moved, number_rows, ordered_fold, running, shift,
+)
 from tidemark.operators.timeline import nearest_in_time
 from tidemark.session import FOLD_ROWS_KEY, limit, materialise
 
@@ -23,40 +25,117 @@ def match_in_time(
     times: Sequence[str],
     tolerance: Column,
     bin_ms: int,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Each gold row in time order takes the free prediction with the least (error, position).
-
-    Both sides need a unique ``pred_id`` / ``gold_id`` and the columns ``times``; every time must
-    agree within the gold row's tolerance, however large, and the error is the sum. ``bin_ms`` is the
-    width of the bins in which times meet; it changes no result. Rows with equal times are
-    interchangeable but for their rank, so both sides are first counted per distinct time: the fold
-    then moves whole counts, and a million copies of one time cost what one row costs. Returns keys,
-    ``gold_id``, ``pred_id`` and one ``error_<time>`` per time.
+    """Each gold row in turn takes the free prediction with the least (error, position).
+
+    Gold rows come in the order of ``order`` and then ``gold_id``, or, without one, of their times;
+    predictions have the position of their times and then ``pred_id``. Both sides need a unique
+    ``pred_id`` / ``gold_id`` and the columns ``times``; every time must agree within the gold row's
+    tolerance, however large, and the error is the sum. ``bin_ms`` is the least width of the bins in
+    which times meet; it changes no result. Returns keys, ``gold_id``, ``pred_id`` and one
+    ``error_<time>`` per time.
+
+    Rows with equal times are interchangeable but for their rank, so they are first counted and moved
+    as counts: predictions always, gold rows where they come in time order. A million copies of one
+    time then cost what one row costs. Groups too long for one task fall into islands of gold rows whose
+    tolerances touch, beyond which nothing is shared. What is still too long is folded in blocks
+    (time order) or settled by proposals (own order).
     """
     first = times[0]
     p_times, g_times = [f"p_{t}" for t in times], [f"g_{t}" for t in times]
     preds = pred.select(*keys, "pred_id", *[F.col(t).alias(f"p_{t}") for t in times])
     golds = gold.select(
-        *keys, "gold_id", *[F.col(t).alias(f"g_{t}") for t in times],
-        tolerance.cast("long").alias("tol"),
+        *keys, "gold_id", *[F.col(t).alias(f"g_{t}") for t in times], tolerance.cast("long").alias("tol"),
+        *([F.struct(*order, "gold_id").alias("turn")] if order else []),
     )
+    spots = [*(["turn"] if order else []), *g_times, "tol"]  # of interchangeable gold rows
     pred_sets = preds.groupBy(*keys, *p_times).agg(F.count(F.lit(1)).alias("n_p"))
-    gold_sets = golds.groupBy(*keys, *g_times, "tol").agg(F.count(F.lit(1)).alias("n_g"))
-
-    # Times meet in bins, which keep a long source from meeting itself; copies were counted away.
-    near = nearest_in_time(gold_sets, pred_sets, keys, f"g_{first}", f"p_{first}", "tol", max(1, bin_ms))
-    error = F.lit(0).cast("long")
-    for t in times:
-        distance = F.abs(F.col(f"g_{t}") - F.col(f"p_{t}"))
-        near = near.filter(distance <= F.col("tol"))
-        error = error + distance
-    near = near.drop("error_ms").withColumn("error", error)
-    # How far any gold row of the group reaches: what lies further back is settled.
-    reach = gold_sets.groupBy(*keys).agg(F.max("tol").alias("reach"))
-    near = near.join(reach, list(keys))
+    gold_sets = golds.groupBy(*keys, *spots).agg(F.count(F.lit(1)).alias("n_g"))
+
+    def edges_of(sets: DataFrame) -> DataFrame:
+        # Times meet in bins, which keep a long source from meeting itself; copies were counted away.
+        near = nearest_in_time(sets, pred_sets, keys, f"g_{first}", f"p_{first}", "tol", max(1, bin_ms))
+        error = F.lit(0).cast("long")
+        for t in times:
+            distance = F.abs(F.col(f"g_{t}") - F.col(f"p_{t}"))
+            near = near.filter(distance <= F.col("tol"))
+            error = error + distance
+        return near.drop("error_ms").withColumn("error", error)
+
+    near = materialise(edges_of(gold_sets))
+    bound = limit(gold.sparkSession, FOLD_ROWS_KEY)
+    if largest_group(near, keys) <= bound:
+        flows = _fold_in_turn(near, keys, spots, p_times, bool(order), False)
+    else:
+        edges = materialise(_with_islands(near, gold_sets, keys, spots, f"g_{first}"))
+        inside = [*keys, "_island"]
+        long = edges.groupBy(*inside).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).drop("_n")
+        flows = _fold_in_turn(attach(edges, long, inside, "left_anti"), inside, spots, p_times, bool(order), False)
+        if not long.isEmpty():
+            rest = attach(edges, long, inside, "left_semi")
+            flows = flows.unionByName(
+                _propose_in_turn(rest, inside, spots, p_times) if order
+                else _fold_in_turn(rest, inside, spots, p_times, False, True)
+            )
+    # Copies of one time are no more than the rows of their source, which are cheap to count.
+    ranked_pred = number_rows(
+        preds, [*keys, *p_times], ["pred_id"], "_p_rank", None if is_hot(preds, keys) else False
+    )
+    if order:
+        placed = golds.join(flows.select(*keys, *spots, *p_times, "p_from"), [*keys, *spots])
+        placed = placed.withColumn("_p_rank", F.col("p_from") + 1)
+    else:
+        ranked_gold = number_rows(
+            golds, [*keys, *spots], ["gold_id"], "_g_rank", None if is_hot(golds, keys) else False
+        )
+        placed = ranked_gold.join(flows, [*keys, *spots]).filter(
+            (F.col("_g_rank") > F.col("g_from")) & (F.col("_g_rank") <= F.col("g_from") + F.col("n"))
+        )
+        placed = placed.withColumn("_p_rank", F.col("_g_rank") - F.col("g_from") + F.col("p_from"))
+    return placed.join(ranked_pred, [*keys, *p_times, "_p_rank"]).select(
+        *keys, "gold_id", "pred_id",
+        *[F.abs(F.col(f"g_{t}") - F.col(f"p_{t}")).alias(f"error_{t}") for t in times],
+    )
+
+
+def _with_islands(
+    near: DataFrame, gold_sets: DataFrame, keys: Sequence[str], spots: Sequence[str], time: str
+) -> DataFrame:
+    """Edges with the island of their gold rows and how far any gold row of it reaches.
 
+    An island opens where a gold row reaches back less far than every gold row before it reaches
+    ahead; no prediction is near to gold rows of two islands.
+    """
+    spans = materialise(
+        gold_sets.select(*keys, *spots).withColumns({"_from": F.col(time) - F.col("tol"), "_upto": F.col(time) + F.col("tol")})
+    )
+    hot = is_hot(spans, keys)
+    along = [*keys], ["_from", *spots]
+    ahead = running(spans, *along, "_upto", "_ahead", F.max, hot)
+    ahead = shift(ahead, *along, {"_prior": ("_ahead", -1)}, hot)
+    opens = F.when(F.col("_from") <= F.col("_prior"), 0).otherwise(1)
+    numbered = materialise(running(ahead.withColumn("_opens", opens), *along, "_opens", "_island", hot=hot))
+    reach = numbered.groupBy(*keys, "_island").agg(F.max("tol").alias("reach"))
+    placed = attach(numbered.select(*keys, *spots, "_island"), reach, [*keys, "_island"])
+    return attach(near, placed, [*keys, *spots])
+
+
+def _fold_in_turn(
+    near: DataFrame, keys: Sequence[str], spots: Sequence[str], p_times: Sequence[str], own_order: bool, hot: bool
+) -> DataFrame:
+    """Fold the edges of each group in the order of their gold rows, carrying what is used up.
+
+    In time order, predictions that no later gold row reaches are forgotten. Rows ``spots, p_times,
+    g_from, p_from, n``: ``n`` copies of a gold row, behind the first ``g_from``, take as many copies of a
+    prediction behind the first ``p_from``.
+    """
+    types = dict(near.dtypes)
+    if "reach" not in near.columns:
+        near = near.withColumn("reach", F.lit(None).cast("long"))
+    first_p, first_g = p_times[0], [c for c in spots if c.startswith("g_")][0]
     place = ",".join(f"{c}:bigint" for c in p_times)
-    target = ",".join(f"{c}:bigint" for c in [*g_times, "tol"])
+    target = ",".join(f"{c}:{types[c]}" for c in spots)
     carry = f"struct<gold:struct<{target}>,left:bigint,used:array<struct<{place},n:bigint>>>"
     emit = f"struct<{target},{place},g_from:bigint,p_from:bigint,n:bigint>"
 
@@ -67,7 +146,7 @@ def match_in_time(
         return condition
 
     def step(state: Column, item: Column) -> Column:
-        going_on = same(state["gold"], item, [*g_times, "tol"])
+        going_on = same(state["gold"], item, spots)
         mine = F.filter(state["used"], lambda u: same(u, item, p_times))
         now = F.struct(
             F.when(going_on, state["left"]).otherwise(item["n_g"]).alias("left"),
@@ -77,22 +156,29 @@ def match_in_time(
 
     def take(state: Column, item: Column, left: Column, used: Column) -> Column:
         count = F.least(left, item["n_p"] - used)
-        others = F.filter(
-            state["used"],
-            # Predictions behind the reach of this and every later gold row are forgotten.
-            lambda u: ~same(u, item, p_times) & (u[f"p_{first}"] >= item[f"g_{first}"] - item["reach"]),
-        )
+
+        def kept(u: Column) -> Column:
+            reached = F.lit(True) if own_order else (
+                item["reach"].isNull() | (u[first_p] >= item[first_g] - item["reach"])
+            )
+            return ~same(u, item, p_times) & reached
+
         entry = F.struct(*[item[c].alias(c) for c in p_times], (used + count).alias("n"))
-        after = F.struct(
-            F.struct(*[item[c].alias(c) for c in [*g_times, "tol"]]).alias("gold"),
-            (left - count).alias("left"),
-            F.array_sort(F.array_append(others, entry.cast(f"struct<{place},n:bigint>"))).alias("used"),
+        after = F.array_sort(
+            F.array_append(F.filter(state["used"], kept), entry.cast(f"struct<{place},n:bigint>"))
         )
         flow = F.struct(
-            *[item[c].alias(c) for c in [*g_times, "tol", *p_times]],
+            *[item[c].alias(c) for c in [*spots, *p_times]],
             (item["n_g"] - left).alias("g_from"), used.alias("p_from"), count.alias("n"),
         )
-        return moved(after, F.when(count > 0, flow))
+        taken = count > 0
+        return moved(
+            F.struct(
+                F.struct(*[item[c].alias(c) for c in spots]).alias("gold"), (left - count).alias("left"),
+                F.when(taken, after).otherwise(state["used"]).alias("used"),
+            ),
+            F.when(taken, flow),
+        )
 
     nothing = F.lit(None).cast(carry)
     start = F.struct(
@@ -100,23 +186,35 @@ def match_in_time(
         F.array().cast(f"array<struct<{place},n:bigint>>").alias("used"),
     ).cast(carry)
     flows = ordered_fold(
-        near, keys, [*g_times, "tol", "error", *p_times], ["n_g", "n_p", "reach"], carry, emit, start, step
-    )
-    # Copies of one time are no more than the rows of their source, which are cheap to count.
-    ranked_gold = number_rows(
-        golds, [*keys, *g_times, "tol"], ["gold_id"], "_g_rank", None if is_hot(golds, keys) else False
-    )
-    ranked_pred = number_rows(
-        preds, [*keys, *p_times], ["pred_id"], "_p_rank", None if is_hot(preds, keys) else False
-    )
-    placed = ranked_gold.join(flows, [*keys, *g_times, "tol"]).filter(
-        (F.col("_g_rank") > F.col("g_from")) & (F.col("_g_rank") <= F.col("g_from") + F.col("n"))
-    )
-    placed = placed.withColumn("_p_rank", F.col("_g_rank") - F.col("g_from") + F.col("p_from"))
-    return placed.join(ranked_pred, [*keys, *p_times, "_p_rank"]).select(
-        *keys, "gold_id", "pred_id",
-        *[F.abs(F.col(f"g_{t}") - F.col(f"p_{t}")).alias(f"error_{t}") for t in times],
+        near, keys, [*spots, "error", *p_times], ["n_g", "n_p", "reach"], carry, emit, start, step, hot
     )
+    return flows.drop("_island")
+
+
+def _propose_in_turn(
+    near: DataFrame, keys: Sequence[str], spots: Sequence[str], p_times: Sequence[str]
+) -> DataFrame:
+    """The result of :func:`_fold_in_turn` for single gold rows in an order of their own, by proposals.
+
+    Every gold row proposes to the best prediction time left to it. A time with more proposals than
+    copies keeps those whose turns come first and is closed to later turns. Once nothing is turned away
+    the proposals are what each gold row would have taken in its turn. Rounds follow the longest chain
+    of gold rows that turn each other away, which is short unless the order runs along the times.
+    """
+    live = near.select(*keys, *spots, *p_times, "n_p", "error")
+    at = [*keys, *p_times]
+    while True:
+        live = materialise(live)
+        wanted = live.groupBy(*keys, *spots).agg(F.min(F.struct("error", *p_times, "n_p")).alias("_w"))
+        wanted = wanted.select(*keys, *spots, *[F.col(f"_w.{c}").alias(c) for c in [*p_times, "n_p"]])
+        ranked = materialise(number_rows(wanted, at, ["turn"], "_no"))
+        full = ranked.where(F.col("_no") == F.col("n_p")).select(*at, F.col("turn").alias("_last"))
+        if ranked.where(F.col("_no") > F.col("n_p")).isEmpty():
+            return ranked.select(
+                *[k for k in keys if k != "_island"], *spots, *p_times, F.lit(0).cast("long").alias("g_from"),
+                (F.col("_no") - 1).alias("p_from"), F.lit(1).cast("long").alias("n"),
+            )
+        live = attach(live, full, at, "left").where("_last is null or turn <= _last").drop("_last")
 
 
 def match_by_score(

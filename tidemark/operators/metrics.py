@@ -23,13 +23,16 @@ def _sided(correct: DataFrame, predicted: DataFrame, gold: DataFrame, keys: Sequ
     return joined.na.fill(0, ["correct", "predicted", "gold"])
 
 
-def match_boundaries(pred: DataFrame, gold: DataFrame, tolerance_ms: int) -> DataFrame:
-    """Gold boundaries in time order, each with the nearest free prediction within tolerance.
+def match_boundaries(
+    pred: DataFrame, gold: DataFrame, tolerance_ms: int, order: Sequence[str] = ()
+) -> DataFrame:
+    """Gold boundaries in turn, each with the nearest free prediction within tolerance.
 
-    ``gold.tolerance_ms`` (null: the default) may be smaller or larger than the default.
+    Their turn is ``order``, columns of ``gold``, or else their time. ``gold.tolerance_ms`` (null: the
+    default) may be smaller or larger than the default.
     """
     own = F.coalesce(F.col("tolerance_ms"), F.lit(tolerance_ms)) if "tolerance_ms" in gold.columns else F.lit(tolerance_ms)
-    matched = match_in_time(pred, gold, ["source_id"], ["boundary_ms"], own, tolerance_ms)
+    matched = match_in_time(pred, gold, ["source_id"], ["boundary_ms"], own, tolerance_ms, order)
     return matched.withColumnRenamed("error_boundary_ms", "error_ms")
 
 
@@ -101,13 +104,14 @@ def track_set_score(pred: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
-def match_cues(pred: DataFrame, gold: DataFrame, tolerance_ms: int) -> DataFrame:
-    """Gold cues in time order, each with the free cue of its language and least summed error."""
+def match_cues(pred: DataFrame, gold: DataFrame, tolerance_ms: int, order: Sequence[str] = ()) -> DataFrame:
+    """Gold cues in turn (``order``, or else their time), each with the free cue of its language and
+    least summed error."""
     keys = ["source_id", "language"]
     matched = match_in_time(
         pred.withColumn("language", F.coalesce("language", F.lit("\u0000"))),
         gold.withColumn("language", F.coalesce("language", F.lit("\u0000"))),
-        keys, ["start_ms", "end_ms"], F.lit(tolerance_ms), tolerance_ms,
+        keys, ["start_ms", "end_ms"], F.lit(tolerance_ms), tolerance_ms, order,
     )
     return matched.withColumn("language", F.nullif(F.col("language"), F.lit("\u0000")))
 

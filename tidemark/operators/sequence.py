@@ -30,13 +30,14 @@ def is_hot(df: DataFrame, keys: Sequence[str], key: str = HOT_ROWS_KEY) -> bool:
     return largest_group(df, keys) > limit(df.sparkSession, key)
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys``, null matching null; the right side is derived from the left one."""
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null matching null; the right side's keys are dropped."""
     other = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    return left.join(other, condition).drop(*[f"_r_{key}" for key in keys])
+    joined = left.join(other, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{key}" for key in keys])
 
 
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -77,12 +78,13 @@ def number_rows(
         *group, "_slice", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     number = F.col("_at") - F.col("_first") + F.col("_before") + 1
-    return _attach(placed, pieces, [*group, "_slice"]).select(
+    return attach(placed, pieces, [*group, "_slice"]).select(
         *df.columns, number.cast("long").alias(name)
     )
 
 
-def _blocks(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+def blocks_of(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows numbered per group (``_no``) and dealt into blocks of consecutive ones (``_block``)."""
     size = limit(df.sparkSession, BLOCK_ROWS_KEY)
     numbered = number_rows(df, group, order, "_no", hot=True)
     return numbered.withColumn("_block", F.floor((F.col("_no") - 1) / size).cast("long")), size
@@ -108,7 +110,7 @@ def shift(
     if not hot:
         return neighbours(df, W.partitionBy(*group).orderBy(*order))
     reach = max(abs(offset) for _, offset in picks.values())
-    blocked, size = _blocks(df, group, order)
+    blocked, size = blocks_of(df, group, order)
     homes = F.array_distinct(
         F.array(
             F.col("_block"),
@@ -121,31 +123,37 @@ def shift(
     return result.filter(F.col("_seen_in") == F.col("_block")).drop("_no", "_block", "_seen_in")
 
 
-def running_sum(
+def running(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     value: str,
     name: str,
+    how: Callable[..., Column] = F.sum,
     hot: bool | None = None,
 ) -> DataFrame:
-    """Add the inclusive running sum of ``value`` per group."""
+    """Add the inclusive running sum (or ``F.max``, ``F.min``) of ``value`` per group."""
     if hot is None:
         hot = is_hot(df, group)
     if not hot:
         window = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(window))
-    blocked, _ = _blocks(df, group, order)
-    totals = blocked.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
+        return df.withColumn(name, how(value).over(window))
+    blocked, _ = blocks_of(df, group, order)
+    totals = blocked.groupBy(*group, "_block").agg(how(value).alias("_total"))
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        *group, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
-    )
+    totals = totals.select(*group, "_block", how("_total").over(earlier).alias("_base"))
     local = W.partitionBy(*group, "_block").orderBy("_no").rowsBetween(W.unboundedPreceding, 0)
-    inner = blocked.withColumn("_local", F.sum(value).over(local))
-    return _attach(inner, totals, [*group, "_block"]).select(
-        *df.columns, (F.col("_local") + F.col("_base")).alias(name)
-    )
+    inner = blocked.withColumn("_local", how(value).over(local))
+    joined = {F.sum: F.coalesce(F.col("_base"), F.lit(0)) + F.col("_local"), F.max: F.greatest("_base", "_local")}
+    both = joined.get(how, F.least("_base", "_local"))
+    return attach(inner, totals, [*group, "_block"]).select(*df.columns, both.alias(name))
+
+
+def running_sum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str, hot: bool | None = None
+) -> DataFrame:
+    """Add the inclusive running sum of ``value`` per group."""
+    return running(df, group, order, value, name, F.sum, hot)
 
 
 def moved(carry: Column, emitted: Column) -> Column:
@@ -166,13 +174,10 @@ def ordered_fold(
 ) -> DataFrame:
     """Order-dependent scan of each group: ``step(carry, item)`` gives ``moved(carry, emitted)``.
 
-    ``carry`` and ``emit`` are DDL types. Groups that fit one array are folded in one pass. Larger
-    groups are cut into blocks of consecutive rows that are folded side by side; each block is then
-    folded again whenever the carry of the block before it turns out different, until nothing
-    changes. The first block is right at once and every pass settles at least one more, so the
-    result is the sequential one; as the steps forget what is out of reach, few passes are needed.
+    ``carry`` and ``emit`` are DDL types. Groups that fit one array are folded in one pass. Larger ones
+    are cut into blocks of consecutive rows; the carries in which the blocks begin are found by
+    :func:`tidemark.operators.chains.block_states`, and all blocks are then folded side by side.
     """
-    spark = df.sparkSession
     state = f"struct<carry:{carry},out:array<{emit}>>"
     packed = F.array_sort(F.collect_list(F.struct(*order, *[c for c in items if c not in order])))
 
@@ -191,6 +196,9 @@ def ordered_fold(
         zero = F.struct(initial.cast(carry).alias("carry"), F.array().cast(f"array<{emit}>").alias("out"))
         return F.aggregate(values, zero.cast(state), advance)
 
+    def carried(values: Column, initial: Column) -> Column:
+        return F.aggregate(values, initial.cast(carry), lambda acc, item: step(acc, item)["carry"].cast(carry))
+
     if hot is None:
         hot = is_hot(df, group, FOLD_ROWS_KEY)
     if not hot:
@@ -198,20 +206,7 @@ def ordered_fold(
         done = done.select(*group, fold(F.col("_items"), start).alias("_done"))
         return done.select(*group, F.inline("_done.out"))
 
-    blocked, _ = _blocks(df, group, order)
-    current = blocked.groupBy(*group, "_block").agg(packed.alias("_items"))
-    current = current.withColumn("_in", start.cast(carry))
-    current = materialise(current.withColumn("_done", fold(F.col("_items"), F.col("_in"))))
-    before = W.partitionBy(*group).orderBy("_block")
-    while True:
-        known = F.coalesce(F.lag("_done.carry").over(before), start.cast(carry))
-        settled = current.withColumn("_next", known)
-        if settled.filter(~F.col("_next").eqNullSafe(F.col("_in"))).limit(1).count() == 0:
-            break
-        again = F.when(F.col("_next").eqNullSafe(F.col("_in")), F.col("_done")).otherwise(
-            fold(F.col("_items"), F.col("_next"))
-        )
-        current = materialise(
-            settled.withColumn("_done", again).withColumn("_in", F.col("_next")).drop("_next")
-        )
-    return current.select(*group, F.inline("_done.out"))
+    from tidemark.operators.chains import block_states  # builds on this module
+
+    begun = block_states(df, group, order, items, carry, start, carried)
+    return begun.select(*group, fold(F.col("_items"), F.col("_in")).alias("_done")).select(*group, F.inline("_done.out"))

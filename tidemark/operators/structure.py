@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.timecode import half_even
-from tidemark.operators.sequence import is_hot, moved, number_rows, ordered_fold, running_sum, shift
+from tidemark.operators.chains import greedy_chain
+from tidemark.operators.sequence import is_hot, number_rows, running_sum, shift
 from tidemark.session import BLOCK_ROWS_KEY, FOLD_ROWS_KEY, limit
 
 
@@ -90,40 +91,26 @@ def classify_frames(
     """Each frame with its score, whether a flash hides it, and whether it is a hard cut.
 
     A hidden frame can neither cut nor hide others, which makes the decision depend on the frames
-    before it: candidates are folded in order, carrying the last hidden index.
+    before it: the flashes that hide others are a chain, each the first one behind the reach of the
+    one before.
     """
     window = flash_window(flash_ms, fps)
     scored = _flash_ends(frames, hard, gradual, window, scale)
-    candidates = scored.filter("candidate")
-
-    def step(carry: Column, item: Column) -> Column:
-        hidden = item["frame_index"] <= carry
-        begins = ~hidden & item["flash_end"].isNotNull()
-        verdict = F.struct(
-            item["frame_index"].alias("frame_index"),
-            F.when(begins, item["flash_end"]).alias("hides_to"),
-            (~hidden & item["flash_end"].isNull()).alias("is_cut"),
-        )
-        return moved(F.when(begins, item["flash_end"]).otherwise(carry), verdict)
-
-    verdicts = ordered_fold(
-        candidates, ["source_id"], ["frame_index"], ["flash_end"],
-        "bigint", "struct<frame_index:bigint,hides_to:bigint,is_cut:boolean>", F.lit(-1), step,
-        # Frames are counted instead of candidates: an upper bound that needs no signature.
-        None if is_hot(frames, ["source_id"], FOLD_ROWS_KEY) else False,
+    # Frames are counted instead of candidates: an upper bound that needs no signature.
+    hot = None if is_hot(frames, ["source_id"], FOLD_ROWS_KEY) else False
+    flashes = scored.filter("candidate and flash_end is not null").select(
+        "source_id", "frame_index", "flash_end", (F.col("flash_end") + 1).alias("until")
     )
+    begun = greedy_chain(flashes, ["source_id"], "frame_index", "until", window + 1, hot)
     # A flash hides its first frame and at most ``window`` more; the ranges never overlap.
-    hidden = verdicts.filter("hides_to is not null").select(
-        "source_id", F.explode(F.sequence("frame_index", "hides_to")).alias("frame_index")
+    hides = begun.join(flashes, ["source_id", "frame_index"]).select(
+        "source_id", F.explode(F.sequence("frame_index", "flash_end")).alias("frame_index"),
+        F.lit(True).alias("hidden"),
     )
-    cuts = verdicts.filter("is_cut").select("source_id", "frame_index")
-    marks = hidden.withColumn("hidden", F.lit(True)).join(
-        cuts.withColumn("is_cut", F.lit(True)), ["source_id", "frame_index"], "full"
-    )
-    no = F.lit(False)
-    return scored.join(marks, ["source_id", "frame_index"], "left").select(
-        "source_id", "frame_index", "score",
-        F.coalesce("hidden", no).alias("hidden"), F.coalesce("is_cut", no).alias("is_cut"),
+    hidden = F.coalesce("hidden", F.lit(False))
+    return scored.join(hides, ["source_id", "frame_index"], "left").select(
+        "source_id", "frame_index", "score", hidden.alias("hidden"),
+        (F.col("candidate") & F.col("flash_end").isNull() & ~hidden).alias("is_cut"),
     )
 
 
@@ -182,32 +169,31 @@ def accept_boundaries(
 ) -> DataFrame:
     """Boundaries at least ``min_ms`` apart, gaps over ``max_ms`` filled with uncertain marks.
 
-    Filling a gap never changes a spacing decision, so spacing is one fold over the candidates and
-    filling one ``sequence`` per gap. ``hot=False`` states that no source has more candidates than
-    one task can fold; left open, that is measured.
+    Filling a gap never changes a spacing decision, so spacing is a chain over the candidates' times
+    and filling one ``sequence`` per gap. ``hot=False`` states that no source has more candidates than
+    one task can scan; left open, that is measured.
     """
-    order = ["boundary_ms", "boundary_type", "confidence"]
     inside = candidates.join(sources.select("source_id", "duration_ms"), "source_id").filter(
         (F.col("boundary_ms") > 0) & (F.col("boundary_ms") < F.col("duration_ms"))
-    )
-
-    def step(carry: Column, item: Column) -> Column:
-        # Filled marks never count: the last accepted candidate alone decides.
-        taken = item["boundary_ms"] - carry >= min_ms
-        return moved(
-            F.when(taken, item["boundary_ms"]).otherwise(carry),
-            F.when(taken, F.struct(*[item[c].alias(c) for c in order])),
-        )
-
-    accepted = ordered_fold(
-        inside, ["source_id"], order, [],
-        "bigint", "struct<boundary_ms:bigint,boundary_type:string,confidence:double>",
-        F.lit(0), step, hot,
-    )
+    ).select("source_id", "boundary_ms", "boundary_type", "confidence")
     starts = sources.select(
         "source_id", F.lit(0).cast("long").alias("boundary_ms"),
         F.lit("source_start").alias("boundary_type"), F.lit(1.0).alias("confidence"),
     )
+    if min_ms > 0:
+        # At most one candidate of a time is accepted: the first by type and confidence.
+        spots = starts.select("source_id", "boundary_ms").unionByName(
+            inside.select("source_id", "boundary_ms").distinct()
+        ).withColumn("until", F.col("boundary_ms") + min_ms)
+        chosen = greedy_chain(spots, ["source_id"], "boundary_ms", "until", min_ms, hot)
+        firsts = inside.groupBy("source_id", "boundary_ms").agg(
+            F.min(F.struct("boundary_type", "confidence")).alias("_first")
+        )
+        accepted = firsts.join(chosen, ["source_id", "boundary_ms"], "left_semi").select(
+            "source_id", "boundary_ms", "_first.*"
+        )
+    else:
+        accepted = inside
     firm = starts.unionByName(accepted)
     ends = shift(firm, ["source_id"], ["boundary_ms"], {"_next": ("boundary_ms", 1)}, hot)
     ends = ends.join(sources.select("source_id", "duration_ms"), "source_id").withColumn(

@@ -154,15 +154,23 @@ def nearest_in_time(
 ) -> DataFrame:
     """All (left, right) pairs whose times differ by at most the left row's ``tolerance`` column.
 
-    The left side is laid into every bin that its tolerance reaches, the right side into its own, so
-    each pair meets exactly once and a long source spreads over its bins.
+    Bins are as wide as the tolerance: each row of the left side looks into the at most two bins of its
+    power-of-two class, and the right side is laid into one bin of each class that occurs. A pair meets
+    exactly once, a long source spreads over its bins, and a single wide tolerance widens no other's.
+    ``width_ms`` is the least width of a bin.
     """
-    t, reach = F.col(left_time), F.col(tolerance)
-    span = F.sequence(
-        _whole(F.floor((t - reach) / width_ms)), _whole(F.floor((t + reach) / width_ms))
-    )
-    seekers = left.withColumn("_bin", F.explode(span))
-    targets = right.withColumn("_bin", _whole(F.floor(F.col(right_time) / width_ms)))
-    pairs = seekers.join(targets, [*keys, "_bin"])
+    t, reach = F.col(left_time), F.greatest(F.col(tolerance), F.lit(0))
+    wanted = F.greatest(F.ceil(F.log2((2 * reach + 1) / F.lit(width_ms))), F.lit(0)).cast("int")
+    seekers = left.filter(F.col(tolerance) >= 0).withColumn("_class", wanted)
+    classes = sorted(row["_class"] for row in seekers.select("_class").distinct().collect())  # 64 at most
+
+    def bin_of(time: Column) -> Column:
+        return _whole(F.floor(time / (F.lit(width_ms) * F.pow(F.lit(2.0), F.col("_class")))))
+
+    spans = F.array_distinct(F.array(bin_of(t - reach), bin_of(t + reach)))
+    seekers = seekers.withColumn("_bin", F.explode(spans))
+    targets = right.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")))
+    targets = targets.withColumn("_bin", bin_of(F.col(right_time)))
+    pairs = seekers.join(targets, [*keys, "_class", "_bin"])
     error = F.abs(F.col(left_time) - F.col(right_time))
-    return pairs.filter(error <= F.col(tolerance)).withColumn("error_ms", error).drop("_bin")
+    return pairs.filter(error <= F.col(tolerance)).withColumn("error_ms", error).drop("_bin", "_class")
