@@ -636,7 +636,7 @@ SELECT source_id, event_id, start_ms, end_ms, claims, speech_rows, 1 AS revision
 FROM counted JOIN (SELECT source_id, event_id, start_ms, end_ms FROM ledger) USING (source_id, start_ms, end_ms)""")
 def _provisional_pass(spark, sf):
     """The batch form of the streaming pass, named by the ids of the final one."""
-    first = provisional.provisional_events(b.observations(spark, sf), "1 hour")
+    first = provisional.provisional_events(b.observations(spark, sf))
     return provisional.with_event_ids(first, _events(spark, sf))
 
 
