@@ -94,6 +94,48 @@ def test_partition_rerun_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "runs")).count() == rows.count()
 
 
+@pytest.mark.parametrize("stop", ["begun", "staged", "half swapped", "swapped", "complete"])
+def test_an_interrupted_run_is_recovered(spark, tmp_path, stop):
+    def hashes(names, version):
+        return spark.createDataFrame(
+            [(n, f"{n}{version}", "c", "r") for n in names],
+            "source_id string, content_sha256 string, config_sha256 string, rights_sha256 string",
+        )
+
+    def work(pending):
+        return pending.selectExpr("source_id", "content_sha256 AS seen", "explode(array(1, 2)) AS n")
+
+    table = incremental.RunTable(spark, str(tmp_path / "t"), str(tmp_path / "r"), "source_id string, seen string, n int", 3)
+    first, more = [f"S{i}" for i in range(8)], [f"S{i}" for i in range(4, 14)]
+    table.process(hashes(first, 1), "one", work)
+    changed = hashes(more, 2)
+    pending = table.begin(changed, "two")
+    assert pending.count() == 10
+    if stop != "begun":
+        table.stage(work(pending), "two")
+    if stop == "half swapped":
+        staged = spark.read.schema(table.schema).parquet(table._staging("two"))
+        incremental.write_partitions(staged.where("bucket < 1"), table.path, "bucket")
+    if stop in ("swapped", "complete"):
+        table.swap("two")
+    if stop == "complete":
+        table.finish("two")
+    # Before recovery only complete runs are seen.
+    before = {(r.source_id, r.seen) for r in table.rows().collect()}
+    want = {(n, f"{n}2") for n in more} | {(n, f"{n}1") for n in first[:4]}
+    if stop == "complete":
+        assert before == want
+    assert table.recover() == (["two"] if stop in ("staged", "half swapped", "swapped") else [])
+    assert table.recover() == []
+    runs = table.process(changed, "three", work)
+    assert runs.where("run_id = 'three'").count() == (10 if stop == "begun" else 0)
+    rows = table.rows()
+    assert {(r.source_id, r.seen) for r in rows.collect()} == want and rows.count() == 2 * len(want)
+    assert runs.where("status = 'abandoned'").count() == (10 if stop == "begun" else 0)
+    with pytest.raises(ValueError):
+        table.begin(changed, "three" if stop == "begun" else "one")
+
+
 def streamed(spark, tmp_path, tables, delay_ms, idle_ms=0, **settings):
     """Rows of the provisional pass after one trigger per table."""
     for at, table in enumerate(tables):

@@ -630,6 +630,39 @@ def _clashing_runs(spark, sf):
     return errors
 
 
+@query("incremental_reruns", f"""WITH {_RUNS},
+lines AS (SELECT 'SRC_' || l_orderkey AS source_id, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1)
+SELECT source_id, CASE WHEN o_orderkey % 3 = 0 THEN 'run-1' WHEN o_orderkey % 3 = 1 THEN 'run-3' ELSE 'run-4' END AS run_id,
+       'complete' AS status, coalesce(lines, 0) AS lines, coalesce(quantity, 0.0) AS quantity
+FROM run_src LEFT JOIN lines USING (source_id)""")
+def _incremental_reruns(spark, sf):
+    """Four runs over more and more sources: the second breaks off unstaged, the third after it was
+    staged, and both are recovered; the last one finds only what no run has completed."""
+    sources, _ = _run_tables(spark, sf)
+    lines = b.table(spark, sf, "lineitem").select(F.concat(F.lit("SRC_"), "l_orderkey").alias("source_id"), "l_quantity")
+    key = F.substring("source_id", 5, 20).cast("long") % 3
+    folder = f"{checkpoint_root(spark)}/runs-{uuid.uuid4().hex}"
+    table = incremental.RunTable(
+        spark, f"{folder}/rows", f"{folder}/log", "source_id string, lines long, quantity double", buckets=8
+    )
+
+    def work(pending):
+        return pending.join(lines, "source_id").groupBy("source_id").agg(
+            F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").cast("double").alias("quantity")
+        )
+
+    table.process(sources.where(key == 0), "run-1", work)
+    table.begin(sources.where(key < 2), "run-2")
+    table.recover()
+    table.stage(work(table.begin(sources.where(key < 2), "run-3")), "run-3")
+    table.recover()
+    runs = table.process(sources, "run-4", work).where("status = 'complete'")
+    return runs.join(table.rows(), ["source_id", "run_id"], "left").select(
+        "source_id", "run_id", "status", F.coalesce("lines", F.lit(0)).alias("lines"),
+        F.coalesce("quantity", F.lit(0.0)).alias("quantity"),
+    )
+
+
 @query("provisional_pass", f"""WITH {q.EVENTS},
 counted AS (SELECT source_id, start_ms, end_ms, count(*) AS claims, count(speech_text) AS speech_rows FROM obs GROUP BY 1, 2, 3)
 SELECT source_id, event_id, start_ms, end_ms, claims, speech_rows, 1 AS revision, 'provisional' AS status
