@@ -10,9 +10,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import digests
 from tidemark.functions.boxes import BOX_TYPE
-from tidemark.operators import chains, matching, metrics, sequence, structure, tracks
+from tidemark.operators import checks, chains, matching, metrics, sequence, structure, tracks
 from tidemark.session import BLOCK_ROWS_KEY, DEFAULTS, FOLD_ROWS_KEY, materialise
+from tidemark.sources import ledger_store
 
 
 def frame(spark, rows, schema):
@@ -335,3 +337,85 @@ def test_region_matching_with_copies_matches_the_sequential_scan(sized):
     g = frame(sized, golds, f"frame_id bigint, g bigint, g_box {BOX_TYPE}")
     got = matching.match_regions(p, g, ["frame_id"]).select("frame_id", "g", "p").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_only_crowded_frames_go_another_way(spark, monkeypatch):
+    """One frame with most of the boxes; the plain plan keeps all others."""
+    rng = random.Random(27)
+    golds, preds, want = [], [], set()
+    for frame_id, n in [(0, 260), *[(k, 4) for k in range(1, 30)]]:
+        draw = lambda: (lambda x, y: (x, y, x + rng.choice([8.0, 9.0, 16.0]), y + 9.0))(rng.randrange(300) / 2, rng.randrange(40) / 2)
+        gold, pred = [(i, draw()) for i in range(n)], [(i, draw()) for i in range(n)]
+        used_g, used_p = set(), set()
+        for score, g, p in sorted(((overlap(gb, pb), g, p) for g, gb in gold for p, pb in pred), reverse=True):
+            if score >= 0.5 and g not in used_g and p not in used_p:
+                used_g.add(g)
+                used_p.add(p)
+                want.add((frame_id, g, p))
+        golds += [(frame_id, *g) for g in gold]
+        preds += [(frame_id, *p) for p in pred]
+    p = frame(spark, preds, f"frame_id bigint, p bigint, p_box {BOX_TYPE}")
+    g = frame(spark, golds, f"frame_id bigint, g bigint, g_box {BOX_TYPE}")
+    ways, edges_of = {}, matching.region_edges
+
+    def seen(pred, gold, keys, threshold, crowded):
+        ways[crowded] = {r.frame_id for r in gold.select("frame_id").distinct().collect()}
+        return edges_of(pred, gold, keys, threshold, crowded)
+
+    monkeypatch.setattr(matching, "region_edges", seen)
+    cuts = []
+    monkeypatch.setattr(matching, "materialise", lambda df: (cuts.append(1), materialise(df))[1])
+    spark.conf.set(FOLD_ROWS_KEY, "100")
+    try:
+        got = {tuple(r) for r in matching.match_regions(p, g, ["frame_id"]).select("frame_id", "g", "p").collect()}
+    finally:
+        spark.conf.set(FOLD_ROWS_KEY, str(DEFAULTS[FOLD_ROWS_KEY]))
+    assert got == want
+    assert ways == {True: {0}, False: set(range(1, 30))}
+    assert len(cuts) <= 3 + math.log2(260)
+
+
+def test_texts_of_a_frame_with_most_regions(sized):
+    rng = random.Random(28)
+    rows = []
+    for key, n in [("K0", 60), *[(f"K{k}", k % 5 + 1) for k in range(1, 20)]]:
+        rows += [
+            ("S", key, rng.randrange(9), f"O{i:03d}", rng.choice(["a b", "c", "", None]), rng.choice([10.0, 20.0, None]))
+            for i in range(n)
+        ]
+    df = frame(sized, rows, "source_id string, keyframe_id string, timestamp_ms bigint, observation_id string, normalized_text string, ocr_confidence double")
+    got = {r.keyframe_id: (r.predicted, r.regions, r.mean_confidence) for r in metrics.frame_texts(df).collect()}
+    for key in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[3]))
+        known = [r[5] for r in mine if r[5] is not None]
+        text, count, mean = got[key]
+        assert (text, count) == (" ".join(r[4] for r in mine if r[4] is not None), len(mine))
+        assert mean == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+def test_stored_order_inside_files_and_over_their_borders(sized, tmp_path):
+    rng = random.Random(29)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([0, 1, 3])
+        rows.append([f"S{at // 100}", at])
+    for k in (7, 8, 64, 65, 128, 199, 256, 333):
+        rows[k], rows[k - 1] = rows[k - 1], rows[k]
+    rows = [(i // 64, i, *r) for i, r in enumerate(rows)]
+    for number in range(7):
+        part = sized.createDataFrame([r for r in rows if r[0] == number], "file_no int, i int, source_id string, at int")
+        part.coalesce(1).sortWithinPartitions("i").write.mode("append").parquet(str(tmp_path / f"n{number}"))
+        if number < 6:
+            next((tmp_path / f"n{number}").glob("part-*")).rename(tmp_path / f"n{number}" / "part-0.parquet")
+    stored = ledger_store.stored_rows(sized, str(tmp_path / "n*"))
+    got = checks.check_stored_order(stored, ["source_id", "at"], "i").collect()
+    assert sorted(int(r.subject) for r in got) == [i for i in range(1, 400) if rows[i][2:] < rows[i - 1][2:]]
+
+
+def test_set_digests_of_large_groups_equal_those_in_arrays(sized):
+    rng = random.Random(30)
+    rows = [(g, rng.choice([None, "a", 'q"'] + list("xyz")), rng.randrange(5)) for g in ("p", "q", "q", "q", None) for _ in range(4)]
+    df = frame(sized, rows, "g string, a string, b int")
+    got = {r.g: r.set_sha256 for r in digests.set_digest(df, ["g"], ["a", "b"]).collect()}
+    streamed = digests._digest_in_streams(df, ["g"], ["a", "b"])
+    assert got == {r.g: r.set_sha256 for r in streamed.collect()} and len(got) == 3

@@ -229,6 +229,23 @@ def test_rights_reasons(spark):
     }
 
 
+def test_sources_of_one_content_have_a_declaration_each(spark):
+    full = {"analysis": True, "derivative_artifact_retention": True}
+    sources = spark.createDataFrame([(s, h) for h in "hk" for s in "ABC"], "source_id string, content_sha256 string")
+    declared = spark.createDataFrame(
+        [(h, s, full, None, "owned", f"m{h}{s}", ["x"], True) for h, s in ("hA", "hB", "kA", "kA", "kB")],
+        "content_sha256 string, source_id string, permissions map<string,boolean>, expires_at string, rights_basis string, "
+        "manifest_hash string, restrictions array<string>, independently_reviewed boolean",
+    )
+    allowed, denied = rights.rights_gate(sources, declared, "analysis", "2025-01-01T00:00:00Z")
+    assert sorted(r.manifest_hash for r in allowed.collect()) == ["mhA", "mhB", "mkB"]
+    assert {(r.content_sha256 + r.source_id): r.reason for r in denied.collect()} == {
+        "hC": "not_bound_to_source", "kC": "not_bound_to_source", "kA": "ambiguous_declaration"
+    }
+    made = rights.provenance(sources, declared).collect()
+    assert sorted(r.content_sha256 + r.source_id for r in made) == ["hA", "hB", "kB"]
+
+
 def test_adapter_states(spark):
     states = {
         "all": ["ok"], "none": [], "part": ["ok", "failed"], "time": ["timed_out", "timed_out"],

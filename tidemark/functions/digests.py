@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequence import attach
+from tidemark.session import FOLD_ROWS_KEY, limit, materialise
+
 LEVELS = (8, 6, 4, 2, 0)  # hex digits that name a node of the digest tree, from the leaves up
 
 
@@ -72,9 +75,27 @@ def _list_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def set_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Per group, SHA-256 of the canonical JSON list of its sorted tuples.
 
-    The digest of one list is sequential by definition: the sorted items of a group stream through
-    one task in constant memory, however many they are. ``set_digest_tree`` spreads a group.
+    The digest of one list is sequential by definition. Groups that fit an array are hashed inside the
+    JVM; the sorted items of larger ones stream through one task in constant memory, however many they
+    are, to the same result. ``set_digest_tree`` spreads a group.
     """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bound = limit(df.sparkSession, FOLD_ROWS_KEY)
+    large = materialise(sizes.filter(F.col("_n") > bound).drop("_n"))
+    if large.isEmpty():
+        return _digest_in_arrays(df, keys, columns)
+    return _digest_in_arrays(attach(df, large, keys, "left_anti"), keys, columns).unionByName(
+        _digest_in_streams(attach(df, large, keys, "left_semi"), keys, columns)
+    )
+
+
+def _digest_in_arrays(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    tuples = F.array(*[F.col(c).cast("string") for c in columns])
+    listed = F.to_json(F.array_sort(F.collect_list(tuples)))
+    return df.groupBy(*keys).agg(F.sha2(listed, 256).alias("set_sha256"))
+
+
+def _digest_in_streams(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     items = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
     tuples = F.array(*[F.col(c).cast("string") for c in columns])
     group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})

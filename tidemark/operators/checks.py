@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.rules import broken
 from tidemark.operators.sequence import shift
 from tidemark.operators.timeline import chunk_id, overlapping_chunks
 from tidemark.schemas import OUTCOMES_WITH_ROWS, SPEECH_SOURCES
+from tidemark.session import BLOCK_ROWS_KEY, limit
 
 
 def _report(df: DataFrame, check: str, rule: str | Column, subject: Column) -> DataFrame:
@@ -49,6 +51,32 @@ def check_event_order(events: DataFrame, position: str = "position") -> DataFram
     return _report(followed.filter("_key < _before"), "event_order", "not_ordered", F.col("event_id"))
 
 
+def check_stored_order(stored: DataFrame, key: Sequence[str], subject: str) -> DataFrame:
+    """Rows whose key is smaller than that of the row stored before them, in their file or at the end
+    of the file before it.
+
+    ``stored`` has the rows with ``file`` and ``row_index``, their place in it. Inside a file neighbours are
+    found in blocks of consecutive rows; over the borders only the first and the last row of each file
+    are compared. The table is never sorted, and no task sees a whole file.
+    """
+    size = limit(stored.sparkSession, BLOCK_ROWS_KEY)
+    rows = stored.select(
+        "source_id", "file", "row_index", F.struct(*key).alias("_key"), F.col(subject).alias("_subject")
+    )
+    home = F.floor(F.col("row_index") / size).cast("long")
+    seen_in = F.array_distinct(F.array(home, F.floor((F.col("row_index") + 1) / size).cast("long")))
+    placed = rows.withColumn("_home", home).withColumn("_block", F.explode(seen_in))
+    near = W.partitionBy("file", "_block").orderBy("row_index")
+    inside = placed.withColumn("_last", F.lag("_key").over(near)).filter("_home = _block")
+    ends = rows.groupBy("file").agg(
+        F.min_by(F.struct("source_id", "_key", "_subject"), "row_index").alias("_first"),
+        F.max_by("_key", "row_index").alias("_end"), F.lit(0).alias("_all"),
+    )
+    borders = shift(ends, ["_all"], ["file"], {"_last": ("_end", -1)}).select("_first.*", "_last")
+    below = _union([part.select("source_id", "_key", "_last", "_subject") for part in (inside, borders)])
+    return _report(below.filter("_key < _last"), "stored_order", "not_ordered", F.col("_subject"))
+
+
 def check_chunk_provenance(events: DataFrame, sources: DataFrame, size_ms: int, overlap_ms: int) -> DataFrame:
     """Stored chunk lists against the recomputed ones; events that meet no chunk also fail."""
     joined = events.join(sources.select("source_id", "duration_ms"), "source_id")
@@ -96,11 +124,18 @@ def check_revision_chain(final: DataFrame, provisional: DataFrame) -> DataFrame:
     )
 
 
-def dangling_evidence(references: Sequence[tuple[str, DataFrame]], evidence: DataFrame) -> DataFrame:
-    """References with no evidence row. ``references`` are (origin, table with ``evidence_ref``)."""
-    named = _union(
-        [df.select("source_id", "evidence_ref", F.lit(origin).alias("rule")) for origin, df in references]
-    )
+def dangling_evidence(
+    references: DataFrame | Sequence[tuple[str, DataFrame]], evidence: DataFrame
+) -> DataFrame:
+    """References with no evidence row.
+
+    ``references`` are a table with ``evidence_ref`` and ``origin``, or pairs of an origin and its table.
+    """
+    if not isinstance(references, DataFrame):
+        references = _union(
+            [df.select("source_id", "evidence_ref", F.lit(origin).alias("origin")) for origin, df in references]
+        )
+    named = references.withColumnRenamed("origin", "rule")
     lost = named.join(evidence.select("source_id", "evidence_ref"), ["source_id", "evidence_ref"], "left_anti")
     return _report(lost, "evidence_refs", F.col("rule"), F.col("evidence_ref"))
 

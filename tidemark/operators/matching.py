@@ -222,10 +222,10 @@ def match_by_score(
 ) -> DataFrame:
     """Greedy one-to-one choice of edges (``g``, ``p``) in ascending total ``order``.
 
-    Groups that fit one array are folded. In larger ones, each gold end proposes its best remaining
-    edge and each prediction end keeps the best proposal and drops everything worse, until no
-    prediction is proposed to twice. With one ranking of all edges for both ends that stable state
-    is unique, and it is the greedy choice.
+    Groups that fit one array are folded. In larger ones, edges that come first at both of their ends
+    are settled side by side, and all other edges of these ends are dropped, until none is left: with
+    one ranking of all edges for both ends that is the greedy choice, and on edges in no special
+    arrangement the number of rounds is logarithmic.
     """
     names = edges.columns
     if hot is None:
@@ -262,20 +262,20 @@ def _fold_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str], na
 
 
 def _settle_edges(edges: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
-    rank = F.struct(*order)
-    live = materialise(edges.withColumn("_rank", rank))
-    while True:
-        wanted = live.groupBy(*group, "g").agg(F.min_by(F.struct("p", "_rank"), "_rank").alias("_w"))
-        held = wanted.groupBy(*group, F.col("_w.p").alias("p")).agg(
-            F.min("_w._rank").alias("_held"), F.count(F.lit(1)).alias("_asked")
-        )
-        if held.filter("_asked > 1").limit(1).count() == 0:
-            return live.join(held, [*group, "p"]).filter("_rank = _held").select(*names)
-        live = materialise(
-            live.join(held.drop("_asked"), [*group, "p"], "left")
-            .filter("_held is null or _rank <= _held")
-            .drop("_held")
-        )
+    live, settled = materialise(edges.withColumn("_rank", F.struct(*order))), None
+    while not live.isEmpty():
+        ends = {end: W.partitionBy(*group, end) for end in ("g", "p")}
+        ranked = live
+        for end, window in ends.items():
+            ranked = ranked.withColumn(f"_best_{end}", F.min("_rank").over(window))
+        ranked = ranked.withColumn("_first", (F.col("_rank") == F.col("_best_g")) & (F.col("_rank") == F.col("_best_p")))
+        for end, window in ends.items():
+            ranked = ranked.withColumn(f"_done_{end}", F.max("_first").over(window))
+        ranked = materialise(ranked)
+        first = ranked.filter("_first").select(*names)
+        settled = first if settled is None else settled.unionByName(first)
+        live = ranked.filter("not _done_g and not _done_p").select(*names, "_rank")
+    return edges.limit(0).select(*names) if settled is None else settled
 
 
 def region_edges(
@@ -323,17 +323,30 @@ def region_edges(
 def match_regions(pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """One-to-one region matches by descending (IoU, gold position, prediction position).
 
-    Where some frame is crowded, identical boxes are taken out first: they have IoU 1, come first in
-    that order, and the k-th last gold copy meets the k-th last prediction copy. They are paired by
-    rank, so piles of copies never become pairs of everything with everything; only the rest is
-    compared by IoU, within a grid.
+    Crowded frames, and they alone, go another way: identical boxes are taken out first. They have IoU
+    1, come first in that order, and the k-th last gold copy meets the k-th last prediction copy; they
+    are paired by rank, so piles of copies never become pairs of everything with everything. Only the
+    rest of these frames is compared by IoU, within a grid, and settled in rounds.
     """
+    keys = list(frame)
     side = limit(gold.sparkSession, FOLD_ROWS_KEY) ** 0.5
-    crowded = largest_group(gold, frame) > side or largest_group(pred, frame) > side
-    taken = _identical(pred, gold, frame) if crowded else None
-    if taken is not None:
-        gold = gold.join(taken.select(*frame, "g"), [*frame, "g"], "left_anti")
-        pred = pred.join(taken.select(*frame, "p"), [*frame, "p"], "left_anti")
+    sizes = gold.select(*keys, F.lit(1).alias("_g"), F.lit(0).alias("_p")).unionByName(
+        pred.select(*keys, F.lit(0).alias("_g"), F.lit(1).alias("_p"))
+    ).groupBy(*keys).agg(F.sum("_g").alias("_g"), F.sum("_p").alias("_p"))
+    crowded = materialise(sizes.filter((F.col("_g") > side) | (F.col("_p") > side)).select(*keys))
+    if crowded.isEmpty():
+        return _matched(pred, gold, frame, threshold, False)
+    usual = _matched(
+        attach(pred, crowded, keys, "left_anti"), attach(gold, crowded, keys, "left_anti"), frame, threshold, False
+    )
+    gold, pred = attach(gold, crowded, keys, "left_semi"), attach(pred, crowded, keys, "left_semi")
+    taken = _identical(pred, gold, frame)
+    gold = gold.join(taken.select(*keys, "g"), [*keys, "g"], "left_anti")
+    pred = pred.join(taken.select(*keys, "p"), [*keys, "p"], "left_anti")
+    return usual.unionByName(taken).unionByName(_matched(pred, gold, frame, threshold, True))
+
+
+def _matched(pred: DataFrame, gold: DataFrame, frame: Sequence[str], threshold: float, crowded: bool) -> DataFrame:
     edges = region_edges(
         pred.select(*frame, "p", "p_box"), gold.select(*frame, "g", "g_box"), frame, threshold, crowded
     )
@@ -341,10 +354,9 @@ def match_regions(pred: DataFrame, gold: DataFrame, frame: Sequence[str], thresh
         *frame, (-F.col("iou")).alias("_miou"), (-F.col("g")).alias("_mg"), (-F.col("p")).alias("_mp"),
         "g", "p", "iou",
     )
-    # A frame with at most ``side`` boxes on either side has no more edges than one task may fold.
+    # A frame that is not crowded has no more edges than one task may fold.
     chosen = match_by_score(edges, frame, ["_miou", "_mg", "_mp"], None if crowded else False)
-    chosen = chosen.select(*frame, "g", "p", "iou")
-    return chosen if taken is None else taken.unionByName(chosen)
+    return chosen.select(*frame, "g", "p", "iou")
 
 
 def _identical(pred: DataFrame, gold: DataFrame, frame: Sequence[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scores import prf, presence, rate, ratio
 from tidemark.functions.text import edit_distance, normalise_text, word_edit_distance, words
 from tidemark.operators.matching import match_in_time
+from tidemark.operators.sequence import is_hot, number_rows
+from tidemark.session import FOLD_ROWS_KEY, limit
 
 
 def _counts(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -160,13 +162,33 @@ def state_accuracy(observed: DataFrame, expected: DataFrame) -> DataFrame:
 def frame_texts(regions: DataFrame) -> DataFrame:
     """Region texts of a frame joined in (time, id) order.
 
-    The list holds the words of one picture; readers reject pictures above their size limit whole.
+    Where some frame has more regions than one list may hold, regions are numbered and joined in parts
+    of consecutive ones, and the parts are joined; a frame's text is one value, its regions never are.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("timestamp_ms", "observation_id", "normalized_text")))
-    return regions.groupBy("source_id", "keyframe_id").agg(
-        F.array_join(F.transform(ordered, lambda r: r["normalized_text"]), " ").alias("predicted"),
+    frame = ["source_id", "keyframe_id"]
+
+    def joined(order: Sequence[str], text: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+        return F.array_join(F.transform(ordered, lambda r: r["_text"]), " ")
+
+    size = limit(regions.sparkSession, FOLD_ROWS_KEY)
+    order = ["timestamp_ms", "observation_id"]
+    if not is_hot(regions, frame, FOLD_ROWS_KEY):
+        return regions.groupBy(*frame).agg(
+            joined(order, "normalized_text").alias("predicted"), F.count(F.lit(1)).alias("regions"),
+            F.avg("ocr_confidence").alias("mean_confidence"),
+        )
+    numbered = number_rows(regions, frame, order, "_no")
+    parts = numbered.groupBy(*frame, F.floor((F.col("_no") - 1) / size).cast("long").alias("_part")).agg(
+        joined(order, "normalized_text").alias("_said"), F.count("normalized_text").alias("_texts"),
         F.count(F.lit(1)).alias("regions"),
-        F.avg("ocr_confidence").alias("mean_confidence"),
+        F.sum("ocr_confidence").alias("_sum"), F.count("ocr_confidence").alias("_n"),
+    )
+    # A part without any text adds no space.
+    said = F.when(F.col("_texts") > 0, F.col("_said"))
+    return parts.withColumn("_said", said).groupBy(*frame).agg(
+        joined(["_part"], "_said").alias("predicted"), F.sum("regions").alias("regions"),
+        (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean_confidence"),
     )
 
 

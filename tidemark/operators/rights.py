@@ -27,12 +27,11 @@ def _instant(text: Column) -> Column:
     return F.try_to_timestamp(F.replace(text, F.lit("Z"), F.lit("+00:00")))
 
 
-def _one_per_content(rights: DataFrame) -> DataFrame:
-    """One row per content hash: how many declarations it has, and one of them as ``_d``."""
-    rest = F.struct(*[c for c in rights.columns if c != "content_sha256"])
-    return rights.groupBy("content_sha256").agg(
-        F.count(F.lit(1)).alias("_declarations"), F.any_value(rest).alias("_d")
-    )
+def _one_per_source(rights: DataFrame) -> DataFrame:
+    """One row per content hash and source: how many declarations the pair has, and one of them as ``_d``."""
+    keys = ["content_sha256", "source_id"]
+    rest = F.struct(*[c for c in rights.columns if c not in keys])
+    return rights.groupBy(*keys).agg(F.count(F.lit(1)).alias("_declarations"), F.any_value(rest).alias("_d"))
 
 
 def rights_gate(
@@ -44,27 +43,29 @@ def rights_gate(
 ) -> tuple[DataFrame, DataFrame]:
     """Split sources into allowed and denied (with the first failing reason).
 
-    A declaration counts only for the exact content hash and source id; no declaration, more than one
-    for a content hash (whatever they say), a missing permission, a malformed or zone-less expiry, or one at or before ``as_of`` denies.
+    A declaration counts only for the exact content hash and source id; sources of one content may have
+    one each. No declaration, one that is bound to other sources only, more than one for a pair of
+    hash and source (whatever they say), a missing permission, a malformed or zone-less expiry, or one
+    at or before ``as_of`` denies.
     """
     if mode not in MODE_PERMISSIONS:
         raise ValueError(f"unknown run mode: {mode}")
     needed = [*MODE_PERMISSIONS[mode], *extra_permissions]
-    declared = _one_per_content(rights).select(
-        F.col("content_sha256"), F.col("_d.source_id").alias("declared_source_id"), "_d.permissions",
-        "_d.expires_at", "_d.rights_basis", "_d.manifest_hash", "_declarations",
+    declared = _one_per_source(rights).select(
+        "content_sha256", "source_id", "_d.permissions", "_d.expires_at", "_d.rights_basis", "_d.manifest_hash",
+        "_declarations",
     )
-    joined = sources.join(declared, "content_sha256", "left")
+    anywhere = rights.groupBy("content_sha256").agg(F.lit(True).alias("_declared"))
+    joined = sources.join(declared, ["content_sha256", "source_id"], "left").join(anywhere, "content_sha256", "left")
     expiry = F.col("expires_at")
     lacks = [
         F.when(~F.coalesce(F.col("permissions").getItem(name), F.lit(False)), F.lit(f"not_permitted:{name}"))
         for name in needed
     ]
     reason = F.coalesce(
-        F.when(F.col("_declarations").isNull(), F.lit("no_declaration")),
+        F.when(F.col("_declared").isNull(), F.lit("no_declaration")),
+        F.when(F.col("_declarations").isNull(), F.lit("not_bound_to_source")),
         F.when(F.col("_declarations") > 1, F.lit("ambiguous_declaration")),
-        F.when(F.col("declared_source_id").isNull(), F.lit("no_declaration")),
-        F.when(F.col("declared_source_id") != F.col("source_id"), F.lit("not_bound_to_source")),
         F.when(~F.col("rights_basis").isin(list(BASIS_TIERS)), F.lit("unknown_basis")),
         *lacks,
         F.when(
@@ -85,13 +86,13 @@ def rights_gate(
 def provenance(sources: DataFrame, rights: DataFrame) -> DataFrame:
     """Tier, permitted uses, retention and review status of each source with one declaration.
 
-    A content hash with several declarations has no provenance, as the gate denies it.
+    A pair of content hash and source with several declarations has no provenance, as the gate denies it.
     """
     tiers = F.create_map(*[F.lit(x) for pair in BASIS_TIERS.items() for x in pair])
     retained = F.coalesce(
         F.col("permissions").getItem("derivative_artifact_retention"), F.lit(False)
     )
-    single = _one_per_content(rights).filter("_declarations = 1").select("content_sha256", "_d.*")
+    single = _one_per_source(rights).filter("_declarations = 1").select("content_sha256", "source_id", "_d.*")
     return sources.join(single, ["source_id", "content_sha256"]).select(
         "source_id",
         "content_sha256",

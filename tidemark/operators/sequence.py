@@ -41,7 +41,7 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
 
 
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Globally sorted copy with ``_at``: slice number in the high bits, position in the low ones."""
+    """Globally sorted copy with ``_nr_at``: slice number in the high bits, position in the low ones."""
     spark = df.sparkSession
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
@@ -50,7 +50,7 @@ def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFr
     placed = (
         df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_nr_at", F.monotonically_increasing_id())
     )
     # Range bounds come from sampling, so the placement must be read back and never recomputed.
     return materialise(placed)
@@ -69,16 +69,16 @@ def number_rows(
     if not hot:
         window = W.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-    placed = _slices(df, group, order).withColumn("_slice", F.shiftright("_at", 33))
-    pieces = placed.groupBy(*group, "_slice").agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
+    placed = _slices(df, group, order).withColumn("_nr_slice", F.shiftright("_nr_at", 33))
+    pieces = placed.groupBy(*group, "_nr_slice").agg(
+        F.min("_nr_at").alias("_nr_first"), F.count(F.lit(1)).alias("_nr_n")
     )
-    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*group).orderBy("_nr_slice").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.select(
-        *group, "_slice", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *group, "_nr_slice", "_nr_first", F.coalesce(F.sum("_nr_n").over(earlier), F.lit(0)).alias("_nr_before")
     )
-    number = F.col("_at") - F.col("_first") + F.col("_before") + 1
-    return attach(placed, pieces, [*group, "_slice"]).select(
+    number = F.col("_nr_at") - F.col("_nr_first") + F.col("_nr_before") + 1
+    return attach(placed, pieces, [*group, "_nr_slice"]).select(
         *df.columns, number.cast("long").alias(name)
     )
 

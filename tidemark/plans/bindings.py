@@ -85,10 +85,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views and clicks of a user as boundary candidates."""
-    return raw_events(spark, sf_dir).filter("event_type in ('view', 'click')").select(
+    """All events of a user as boundary candidates."""
+    return raw_events(spark, sf_dir).select(
         "source_id", F.col("ms").alias("boundary_ms"),
-        F.when(F.col("event_type") == "view", "hard_cut").otherwise("gradual_transition").alias("boundary_type"),
+        F.when(F.col("event_type").isin("view", "purchase"), "hard_cut").otherwise("gradual_transition").alias("boundary_type"),
         ((F.col("event_id") % 101) / 100).alias("confidence"),
     )
 

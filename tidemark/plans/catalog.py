@@ -684,7 +684,7 @@ def _provisional_pass(spark, sf):
 
 # ---------------------------------------------------------------- rights and identity
 
-_GATE = """CASE WHEN d.k IS NULL THEN 'no_declaration' WHEN twice THEN 'ambiguous_declaration' WHEN d.source_id <> c.source_id THEN 'not_bound_to_source'
+_GATE = """CASE WHEN d.k IS NULL THEN 'no_declaration' WHEN d.source_id <> c.source_id THEN 'not_bound_to_source' WHEN twice THEN 'ambiguous_declaration'
   WHEN NOT p_analysis THEN 'not_permitted:analysis' {middle}
   WHEN NOT p_retention THEN 'not_permitted:derivative_artifact_retention' {last}
   WHEN d.nation = 3 THEN 'expiry_malformed' WHEN d.nation = 4 THEN 'expiry_without_zone'
@@ -877,6 +877,22 @@ def _check_event_order(spark, sf):
     return checks.check_event_order(placed)
 
 
+@query("check_stored_order", f"""WITH {q.EVENTS},
+placed AS (SELECT *, CASE WHEN event_no % 5 = 0 THEN event_no * 2 - 3 ELSE event_no * 2 END AS position FROM ledger),
+f AS (SELECT *, lag((source_id, start_ms, end_ms, event_id)) OVER (ORDER BY source_id, position) AS b4 FROM placed)
+{_VIOLATIONS.format(check='stored_order', rule="'not_ordered'", subject='event_id', table='f', where='(source_id, start_ms, end_ms, event_id) < b4')}""")
+def _check_stored_order(spark, sf):
+    """A table in several files, with some rows stored before the ones that they should follow."""
+    n = F.col("event_no")
+    placed = _events(spark, sf).withColumn("position", F.when(n % 5 == 0, n * 2 - 3).otherwise(n * 2))
+    path = f"{checkpoint_root(spark)}/stored-{uuid.uuid4().hex}"
+    key = ["source_id", "start_ms", "end_ms", "event_id"]
+    placed.select(*key, "position").repartitionByRange(16, "source_id", "position").sortWithinPartitions(
+        "source_id", "position"
+    ).drop("position").write.parquet(path)
+    return checks.check_stored_order(ledger_store.stored_rows(spark, path), key, "event_id")
+
+
 @query("check_chunk_provenance", f"""WITH {q.EVENTS} {_VIOLATIONS.format(check='chunk_provenance', rule="'chunks_differ'",
 subject='event_id', table='ledger', where='event_no % 7 = 0 OR (event_no % 11 = 0 AND len(chunk_ids) > 1)')}""")
 def _check_chunk_provenance(spark, sf):
@@ -908,24 +924,47 @@ WHERE (source_id, evidence_ref) NOT IN (SELECT (source_id, evidence_ref) FROM ke
 UNION ALL SELECT source_id, 'evidence_refs', 'cues', 'SUB:TRACK_0001:' || cue_id FROM turns WHERE turn % 7 = 0
 UNION ALL SELECT source_id, 'evidence_refs', 'ocr', 'OCR:' || observation_id FROM regions WHERE (timestamp_ms // 1000) % 43 = 0
 UNION ALL SELECT source_id, 'evidence_refs', 'ocr_frame', 'VID:' || source_id || ':frame:' || timestamp_ms FROM regions
-WHERE (timestamp_ms // 1000) % 41 = 0""")
+WHERE (timestamp_ms // 1000) % 41 = 0
+UNION ALL SELECT source_id, 'evidence_refs', 'keyframes', printf('VID:%s:frame:%d', source_id, start_ms + (end_ms - start_ms) // 2)
+FROM (SELECT DISTINCT source_id, event_no, start_ms, end_ms FROM claims) WHERE event_no % 37 = 0""")
 def _dangling_evidence(spark, sf):
-    """Claims, speech, cues, and text regions with their own and their frame's reference."""
-    claims = _claims(spark, sf)
+    """Claims, speech, cues, keyframes, and text regions with their own and their frame's reference."""
+    claims = materialise(
+        _claims(spark, sf).select("source_id", "evidence_ref", "speech_text", "event_no", "start_ms", "end_ms")
+    )
     evidence = observations.build_evidence(b.observations(spark, sf), b.ADAPTERS)
     kept = evidence.filter(F.substring("observation_id", 5, 20).cast("long") % 13 != 0)
-    cues = b.turns(spark, sf).select(
-        "source_id", "turn", F.concat(F.lit("SUB:TRACK_0001:"), "cue_id").alias("evidence_ref")
+    turns = b.turns(spark, sf)
+    cues = turns.select(
+        "source_id", F.concat(F.lit("SUB:TRACK_0001:"), "cue_id").alias("evidence_ref"),
+        (F.col("turn") % 7 != 0).alias("known"),
+    )
+    events = claims.select("source_id", "event_no", "start_ms", "end_ms").distinct()
+    middle = F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 2).cast("long")
+    keyframes = events.select(
+        "source_id", F.format_string("VID:%s:frame:%d", "source_id", middle).alias("evidence_ref"),
+        (F.col("event_no") % 37 != 0).alias("known"),
+    )
+    regions = materialise(
+        b.ocr_regions(spark, sf).select("source_id", "timestamp_ms", "evidence_ref", "source_frame_evidence_ref")
     )
-    regions = b.ocr_regions(spark, sf)
     day = F.floor(F.col("timestamp_ms") / 1000)
-    frames = regions.select("source_id", "timestamp_ms", F.col("source_frame_evidence_ref").alias("evidence_ref"))
-    for some in (cues.filter("turn % 7 <> 0"), regions.filter(day % 43 != 0), frames.filter(day % 41 != 0).distinct()):
-        kept = kept.select("source_id", "evidence_ref").unionByName(some.select("source_id", "evidence_ref"))
-    references = [
-        ("claims", claims), ("speech", observations.speech_rows(claims)), ("cues", cues), ("ocr", regions), ("ocr_frame", frames)
-    ]
-    return checks.dangling_evidence(references, kept)
+    seen = regions.select("source_id", F.inline(F.array(
+        F.struct(F.lit("ocr").alias("origin"), "evidence_ref", (day % 43 != 0).alias("known")),
+        F.struct(
+            F.lit("ocr_frame").alias("origin"), F.col("source_frame_evidence_ref").alias("evidence_ref"),
+            (day % 41 != 0).alias("known"),
+        ),
+    )))
+    origins = F.when(F.col("speech_text").isNotNull(), F.array(F.lit("claims"), F.lit("speech"))).otherwise(
+        F.array(F.lit("claims"))
+    )
+    said = claims.select("source_id", F.explode(origins).alias("origin"), "evidence_ref")
+    placed = seen.unionByName(cues.withColumn("origin", F.lit("cues"))).unionByName(
+        keyframes.withColumn("origin", F.lit("keyframes"))
+    )
+    kept = kept.select("source_id", "evidence_ref").unionByName(placed.filter("known").select("source_id", "evidence_ref"))
+    return checks.dangling_evidence(said.unionByName(placed.drop("known")), kept)
 
 
 @query("check_speech_source", f"""WITH {q.SPEECH}

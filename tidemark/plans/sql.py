@@ -78,9 +78,9 @@ speech AS (
 # Shots of a source: candidates at least 6 h apart, gaps over 2 days filled.
 _EVENT_CANDIDATES = """cand AS (
   SELECT source_id, ms AS boundary_ms,
-         CASE event_type WHEN 'view' THEN 'hard_cut' ELSE 'gradual_transition' END AS boundary_type,
+         CASE WHEN event_type IN ('view', 'purchase') THEN 'hard_cut' ELSE 'gradual_transition' END AS boundary_type,
          (event_id % 101) / 100.0::DOUBLE AS confidence
-  FROM ev WHERE event_type IN ('view', 'click'))"""
+  FROM ev)"""
 
 
 def _shots(src: str, min_ms: int, max_ms: int) -> str:

@@ -27,6 +27,17 @@ def write_ledger(ledger: DataFrame, path: str, fmt: str = "parquet", buckets: in
     )
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a Parquet table with their place: ``file`` and ``row_index`` in it.
+
+    Writers name files in the order of their partitions, so a table that was written in order is in
+    order by (file, place).
+    """
+    return spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index")
+    )
+
+
 def read_ledger(spark: SparkSession, *paths: str, fmt: str = "parquet") -> DataFrame:
     """Union of stored ledgers. Version 1.0 records have no chunk list; it becomes the single
     primary chunk."""
