@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -343,8 +344,7 @@ def test_language_scores(spark):
     held = {r["doc_id"]: r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0 for r in rows}
     counts = Counter(t for r in rows if not held[r["doc_id"]] for t in [*words(r["text"]), ""])
     total, distinct = sum(counts.values()), len(counts)
-    language, stored = scoring.train(docs)
-    found = {r["doc_id"]: r for r in scoring.score(docs, language, stored).collect()}
+    found = {r["doc_id"]: r for r in scoring.score(docs).collect()}
     for r in rows:
         tokens, got = [*words(r["text"]), ""], found[r["doc_id"]]
         base = sum(np.log10((counts[t] + 0.1) / (total + 0.1 * (distinct + 1))) for t in tokens)
@@ -352,12 +352,49 @@ def test_language_scores(spark):
         assert got["held_out"] == held[r["doc_id"]] and abs(got["base_score"] - base) < 1e-6 * max(1, abs(base))
     new = [r for r in found.values() if r["held_out"]]
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
-    # The classes after any context sum to one.
-    h = language.model.context[[3, scoring.START]] * language.model.position[0] + language.model.context[7] * language.model.position[1]
-    logits = h @ language.model.target.T + language.model.bias
-    assert np.allclose(np.exp(logits - language.log_z[[3, scoring.START], 7][:, None]).sum(axis=1), 1, atol=1e-3)
-    empty, none = scoring.train(docs.limit(0))
-    assert scoring.score(docs.limit(5), empty, none).count() == 5
+    assert scoring.score(docs.limit(0)).count() == 0
+    unlearned = scoring.score(docs.where("doc_id IS NULL OR doc_id = -2")).collect()
+    assert len(unlearned) == 3 and all(np.isfinite(r["score"]) for r in unlearned)
+
+
+def test_language_scores_token_by_token(spark, monkeypatch):
+    """The model's score of each text, worked out again word by word from the parameters."""
+    monkeypatch.setattr(scoring, "LEAST_WORDS", 12)
+    monkeypatch.setattr(scoring, "HEAD", 30)
+    monkeypatch.setattr(scoring, "SHARD", 400)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["a", "b", "ab", "abc", "abcd", "Zé"] + [f"w{k}" for k in range(80)], 15))) for i in range(120)]
+    rows += [(500, None), (501, "never seen"), (502, "")]
+    docs = make(spark, rows).repartition(3)
+    language, counts = scoring.count(docs)
+    encoded = scoring.encode(docs, language)
+    language = scoring.fit(encoded, language)
+    found = {r["doc_id"]: r["score"] for r in scoring.score_encoded(encoded, language, counts).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    tally = Counter(t.encode() for i, x in rows if not held[i] for t in [*words(x), ""])
+    own, model, classes = language.words, language.model, len(language.noise)
+    assert len(own) == 12 and set(own) <= set(tally)
+    kind = lambda t: own.index(t) if t in own else 12 + zlib.crc32(t[:3]) % scoring.SPELLINGS
+    mass = np.zeros(classes)
+    for t, n in tally.items():
+        mass[kind(t)] += n
+    assert np.allclose(language.noise, (mass + 1) / (mass + 1).sum())
+    for i, text in rows:
+        total, last, before = 0.0, classes, classes
+        for t in [w.encode() for w in [*words(text), ""]]:
+            h = model.context[last] * model.position[0] + model.context[before] * model.position[1]
+            logits = (model.target @ h + model.bias).astype(float)
+            share = np.exp(logits - logits.max())
+            p = 0.98 * share[kind(t)] / share.sum() + 0.02 * language.noise[kind(t)]
+            if t not in own:
+                mates = [n for u, n in tally.items() if u not in own and kind(u) == kind(t)]
+                p *= (tally[t] + 0.1) / (sum(mates) + 0.1 * (len(mates) + 1))
+            total += math.log10(p)
+            last, before = kind(t), last
+        assert abs(found[i] - total) < 1e-3 * max(1, abs(total))
+    # Shards follow from the documents: other partitions give the same model.
+    again = scoring.fit(docs.repartition(11).transform(lambda d: scoring.encode(d, language)), language)
+    assert np.allclose(again.model.rows(), model.rows(), atol=1e-4)
 
 
 def test_pack_is_whole_and_close_to_the_bound():
@@ -374,9 +411,9 @@ def test_best_fit(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     rows = [(i, "Hello  wörld, it's\n" * (i % 37) + "x" * i) for i in range(150)]
     rows += [(500, None), (501, ""), (501, ""), (None, "<|endoftext|> Ünïcode    é"), (502, "word " * 9_000)]
+    rows += [(503, "a<|endoftext|>b<|startoftext|><|endoftext|>, C <|EndOfText|>")]
     docs = make(spark, rows).withColumn("piece", F.lit(1)).withColumn("ids", F.lit("x"))
     packed = packing.best_fit(docs, packing.tokenizer_file(), capacity=256, with_ids=True)
     found = packed.collect()

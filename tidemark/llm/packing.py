@@ -47,7 +47,8 @@ class Encoder:
     """Token ids of whole texts; chunks between spaces and line ends are encoded once and remembered within bounds.
 
     The vocabulary drops white space and never joins characters across it, so the ids of a text are
-    those of its chunks in order. Strings of special tokens are ordinary text. A chunk of letters,
+    those of its chunks in order. Strings of special tokens have the
+    ids of these tokens. A chunk of letters,
     perhaps followed by punctuation, goes straight to the merges, since it is one word and one run of
     punctuation for the vocabulary; any other chunk goes through the whole tokenizer.
     """
@@ -55,7 +56,6 @@ class Encoder:
     def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
