@@ -18,6 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+YEAR_MINUTES = 365 * 24 * 60
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -64,16 +67,16 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return scoring.score(docs, *scoring.train(docs))
+    return scoring.score(_table(spark, sf_dir, "documents"))
 
 
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures are the pages, fetched 37 minutes apart; the lists are histories of their own hosts:
-    every host, parent domain and first path part is listed at a time that follows from its MD5."""
+    """Captures are the pages, fetched 37 minutes apart and from the start again every year; the lists are
+    histories of their own hosts: every host, parent domain and first path part is listed, taken off and
+    listed again within that year, at times that follow from its MD5."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     pages = _table(spark, sf_dir, "pages")
-    fetched = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * F.lit(37 * 60))
+    fetched = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * F.lit(37) % F.lit(YEAR_MINUTES) * F.lit(60))
     captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
     host = url_filters.host_of(F.col("url"))
     part = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1)
@@ -94,9 +97,9 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 4), 16, 10).cast("int")
     listed = keys.where("key is not null").withColumn("n", number)
     steps = F.array(
-        F.struct((F.col("n") % 2000).alias("hour"), F.col("action").alias("action")),
-        F.struct((F.col("n") % 2000 + 700 + F.col("n") % 500).alias("hour"), F.lit("remove").alias("action")),
-        F.struct((F.col("n") % 2000 + 1500 + F.col("n") % 900).alias("hour"), F.col("action").alias("action")),
+        F.struct((F.col("n") % 6000).alias("hour"), F.col("action").alias("action")),
+        F.struct((F.col("n") % 6000 + 700 + F.col("n") % 500).alias("hour"), F.lit("remove").alias("action")),
+        F.struct((F.col("n") % 6000 + 1500 + F.col("n") % 900).alias("hour"), F.col("action").alias("action")),
     )
     entries = listed.select("list", "key", F.explode(steps).alias("s")).select(
         "list", "key", "s.action", F.timestamp_add("HOUR", F.col("s.hour"), start).alias("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, ready, written
-from .sampling import unlabelled_sample
 
-WORDS = 768  # most frequent tokens (the end among them) with a class of their own
-SPELLINGS = 256  # classes of all other tokens, by their first three bytes
-CLASSES = WORDS + SPELLINGS
-START = CLASSES  # context before the first token
+SPELLINGS = 256  # classes of tokens without a class of their own, by their spelling
+LEAST_WORDS, MOST_WORDS = 256, 1_280  # bounds of the tokens with a class of their own: the root of all distinct ones
 DIMENSIONS = 24
 NOISE = 32
 BATCH = 8_192
 RATE = 0.1
 UNIGRAM_SHARE = 0.02
 HEAD = 1 << 17  # most frequent tokens whose counts every task knows; others are looked up by a join
-FIRST_DOCUMENTS = 2_000  # a first model from so many documents gives all tasks the same start
+SHARD = 1 << 21  # tokens that one copy of the model learns from between two averages
+ROUNDS = 4  # averages over all shards, each over another part of them
 END = b""  # no word is empty
 _CACHE = 400_000
 _FLUSH = 250_000
@@ -53,27 +51,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(tally)
 
 
-class Classes:
-    """Class number of each token, remembered within bounds."""
-
-    def __init__(self, words: list[bytes]):
-        self.fixed = {w: i for i, w in enumerate(words)}
-        self.known = dict(self.fixed)
-
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _CACHE:
-            known = self.known = dict(self.fixed)
-        for token in set(tokens).difference(known):
-            known[token] = WORDS + zlib.crc32(token[:3]) % SPELLINGS
-        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
-
-
 @dataclass
 class Model:
-    context: np.ndarray  # (CLASSES + 1, d), the last row stands before the text
-    target: np.ndarray  # (CLASSES, d)
-    bias: np.ndarray  # (CLASSES,)
+    context: np.ndarray  # (classes + 1, d), the last row stands before the text
+    target: np.ndarray  # (classes, d)
+    bias: np.ndarray  # (classes,)
     position: np.ndarray  # (2, d): weights of the last and the second last token
 
     @classmethod
@@ -81,26 +63,26 @@ class Model:
         rng = np.random.default_rng(11)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         return cls(
-            draw(CLASSES + 1, DIMENSIONS), draw(CLASSES, DIMENSIONS), np.log(noise).astype(np.float32),
+            draw(len(noise) + 1, DIMENSIONS), draw(len(noise), DIMENSIONS), np.log(noise).astype(np.float32),
             np.ones((2, DIMENSIONS), np.float32),
         )
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of the same width."""
-        wide = np.zeros((-(-CLASSES // DIMENSIONS), DIMENSIONS), np.float32)
-        wide.ravel()[:CLASSES] = self.bias
+        wide = np.zeros((-(-len(self.bias) // DIMENSIONS), DIMENSIONS), np.float32)
+        wide.ravel()[: len(self.bias)] = self.bias
         return np.concatenate([self.context, self.target, self.position, wide])
 
     @classmethod
-    def from_rows(cls, rows: np.ndarray) -> Model:
-        at = np.cumsum([CLASSES + 1, CLASSES, 2])
-        return cls(rows[: at[0]], rows[at[0] : at[1]], rows[at[2] :].ravel()[:CLASSES], rows[at[1] : at[2]])
+    def from_rows(cls, rows: np.ndarray, classes: int) -> Model:
+        at = np.cumsum([classes + 1, classes, 2])
+        return cls(rows[: at[0]], rows[at[0] : at[1]], rows[at[2] :].ravel()[:classes], rows[at[1] : at[2]])
 
 
 def _scatter(shape: tuple[int, int], index: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of the value rows of each index."""
     out = np.zeros(shape, np.float32)
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # sorted by digits
     ordered = index[order]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
@@ -126,13 +108,13 @@ class Trainer:
         a, b = m.context[last], m.context[before]
         h = a * m.position[0] + b * m.position[1]
         q = m.target[target]
-        drawn = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), CLASSES - 1)
+        drawn = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), len(m.bias) - 1)
         right = _sigmoid(np.einsum("ij,ij->i", h, q) + m.bias[target] - self.log_noise[target]) - 1
         wrong = _sigmoid(h @ m.target[drawn].T + (m.bias[drawn] - self.log_noise[drawn]))
         dh = right[:, None] * q + wrong @ m.target[drawn]
         d_target = _scatter(m.target.shape, target, right[:, None] * h)
         np.add.at(d_target, drawn, wrong.T @ h)
-        d_bias = np.bincount(target, right, CLASSES).astype(np.float32)
+        d_bias = np.bincount(target, right, len(m.bias)).astype(np.float32)
         np.add.at(d_bias, drawn, wrong.sum(axis=0))
         d_context = _scatter(m.context.shape, last, dh * m.position[0])
         d_context += _scatter(m.context.shape, before, dh * m.position[1])
@@ -143,45 +125,49 @@ class Trainer:
             p -= RATE * g / np.sqrt(s)
 
 
-def _histories(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _histories(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Last and second last class before each token of several texts, and the token's class."""
-    pad = np.full(2, START, np.int32)
-    joined = np.concatenate([x for part in parts for x in (pad, part)])
-    at = np.concatenate([np.arange(len(part)) for part in parts]) + np.repeat(
-        np.cumsum([0, *(len(p) + 2 for p in parts[:-1])]) + 2, [len(p) for p in parts]
-    )
+    pad = np.full(2, start, np.uint16)
+    joined = np.concatenate([x for part in parts for x in (pad, part)]).astype(np.int32)
+    sizes = np.array([len(p) for p in parts])
+    at = np.arange(sizes.sum()) + np.repeat(2 * np.arange(1, len(parts) + 1), sizes)
     return joined[at - 1], joined[at - 2], joined[at]
 
 
 def _training(shared: Broadcast):
+    """Each shard, whose rows follow each other, teaches a copy of the model of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, noise, rows = shared.value
-        classes = Classes(words)
-        trainer = Trainer(Model.from_rows(rows.copy()), noise, 5)
-        seen, parts, held = 0, [], 0
+        noise, rows = shared.value
+        trainer, current, seen, parts, held = None, None, 0, [], 0
 
         def learn():
-            last, before, target = _histories(parts)
+            last, before, target = _histories(parts, len(noise))
             for s in range(0, len(target), BATCH):
                 trainer.step(last[s : s + BATCH], before[s : s + BATCH], target[s : s + BATCH])
 
+        def finished():
+            if parts:
+                learn()
+            out = trainer.m.rows()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(out), dtype=np.int32)), pa.array(np.full(len(out), float(seen + held))),
+                 pa.array(list(out), pa.list_(pa.float32()))],
+                ["at", "weight", "vector"],
+            )
+
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                parts.append(classes(tokens_of(text)))
+            for shard, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != current:
+                    if trainer is not None:
+                        yield finished()
+                    trainer, current, seen, parts, held = Trainer(Model.from_rows(rows.copy(), len(noise)), noise, 5), shard, 0, [], 0
+                parts.append(np.frombuffer(classes, np.uint16))
                 held += len(parts[-1])
                 if held >= 8 * BATCH:
                     learn()
                     seen, parts, held = seen + held, [], 0
-        if parts:
-            learn()
-        seen += held
-        if seen:
-            out = trainer.m.rows()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(out), dtype=np.int32)), pa.array(np.full(len(out), float(seen))),
-                 pa.array(list(out), pa.list_(pa.float32()))],
-                ["at", "weight", "vector"],
-            )
+        if trainer is not None:
+            yield finished()
 
     return run
 
@@ -197,15 +183,16 @@ class Language:
     class_total: np.ndarray  # of the spelling classes
     class_distinct: np.ndarray
     noise: np.ndarray
-    model: Model
-    log_z: np.ndarray  # (CLASSES + 1, CLASSES + 1): last, second last
+    model: Model | None = None
+    log_z: np.ndarray | None = None  # (classes + 1, classes + 1): last, second last
 
 
 def _normalisers(model: Model) -> np.ndarray:
     """Log normaliser of every pair of context classes, by batched matrix products."""
-    out = np.empty((CLASSES + 1, CLASSES + 1), np.float32)
+    size = len(model.context)
+    out = np.empty((size, size), np.float32)
     second = model.context * model.position[1]
-    for last in range(CLASSES + 1):
+    for last in range(size):
         logits = (second + model.context[last] * model.position[0]) @ model.target.T + model.bias
         top = logits.max(axis=1)
         out[last] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
@@ -213,31 +200,33 @@ def _normalisers(model: Model) -> np.ndarray:
 
 
 def _frequent(counts: DataFrame) -> dict[bytes, int]:
-    """The tokens of the highest count levels that together are at most ``HEAD`` tokens, with counts.
+    """The ``HEAD`` most frequent tokens, about, with counts; ties by hash.
 
-    Levels are sixteenths of a power of two, so there are some hundred of them; no sort is needed.
+    Whole count levels are taken from the top, sixteenths of a power of two, and of the next one the
+    share that is still free, the first ones by hash. There are some hundred levels; nothing is sorted.
     """
     level = F.floor(F.log2("c") * 16)
-    cut, taken = None, 0
+    cut, share, taken = None, 0.0, 0
     for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        cut, share = row["level"], min(1.0, (HEAD - taken) / row["n"])
         taken += row["n"]
-        if taken > HEAD:
+        if taken >= HEAD:
             break
-        cut = row["level"]
     if cut is None:
         return {}
-    rows = counts.where(level >= cut).toArrow()
+    place = F.pmod(F.xxhash64("token"), F.lit(1 << 30))
+    rows = counts.where((level > cut) | ((level == cut) & (place < F.lit(int(share * (1 << 30)))))).toArrow()
     return dict(zip(rows.column("token").to_pylist(), rows.column("c").to_pylist()))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fold: int = 0) -> tuple[Language, DataFrame]:
-    """The language of all documents outside the held-out fold, and the stored counts ``token, c``.
+def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fold: int = 0) -> tuple[Language, DataFrame]:
+    """Vocabulary of all documents outside the held-out fold, without a model yet, and the stored
+    counts ``token, c`` of all their tokens.
 
-    Tokens are counted over all training documents. The model sees every training token once: each
-    task learns from its own documents, starting from one first model, and the parameters are
-    averaged by tokens as rows of sums.
+    The number of tokens with a class of their own grows with the root of all distinct ones, between
+    ``LEAST_WORDS`` and ``MOST_WORDS``: beyond that the table of normalisers would not fit the tasks.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     learned = docs.where(~held_out(id_col, modulus, fold)).select(F.col(text_col).alias("text"))
     counts = written(
         learned.mapInArrow(_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "counts"
@@ -245,134 +234,195 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     spelling = F.crc32(F.substring("token", 1, 3)) % F.lit(SPELLINGS)
     by_class = counts.groupBy(spelling.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     head = _frequent(counts)
-    words = sorted(head, key=lambda t: (-head[t], t))[:WORDS]
-
     class_total, class_distinct = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in by_class:
         class_total[r["k"]], class_distinct[r["k"]] = r["c"], r["v"]
     total, distinct = int(class_total.sum()), int(class_distinct.sum())
+    own = min(MOST_WORDS, max(LEAST_WORDS, int(distinct**0.5)))
+    words = sorted(head, key=lambda t: (-head[t], t))[:own]
     for word in words:
         class_total[zlib.crc32(word[:3]) % SPELLINGS] -= head[word]
         class_distinct[zlib.crc32(word[:3]) % SPELLINGS] -= 1
-    frequency = np.zeros(CLASSES)
-    frequency[: len(words)] = [head[w] for w in words]
-    frequency[WORDS:] = class_total
+    frequency = np.concatenate([[head[w] for w in words], class_total])
     noise = (frequency + 1) / (frequency + 1).sum()
+    return Language(words, head, total, distinct, class_total, class_distinct, noise), counts
+
+
+def encode(
+    docs: DataFrame, language: Language, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fold: int = 0
+) -> DataFrame:
+    """Stored rows of all documents: class numbers of their tokens, and all of their scores that needs
+    no model; the tokens whose counts are not shipped are listed."""
+    spark = ready(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = dict(rows.dtypes)["id"]
+    schema = (
+        f"id {id_type}, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>, "
+        "classes binary"
+    )
+    return written(
+        rows.mapInArrow(_encoded(spark.sparkContext.broadcast(language)), schema)
+        .withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out("id", modulus, fold)}),
+        "encoded",
+    )
+
+
+def fit(encoded: DataFrame, language: Language) -> Language:
+    """The language with a model that has seen every training token once.
 
+    Documents are dealt by hash into shards of about ``SHARD`` tokens, and the shards into rounds. In a
+    round each shard teaches a copy of the model; the copies are averaged by tokens, as sums of rows,
+    and the average starts the next round. Shards follow from the documents alone, so the result does
+    not depend on partitions or tasks.
+    """
+    spark, noise = encoded.sparkSession, language.noise
     model = Model.fresh(noise)
-    if total:
-        some = unlabelled_sample(docs, id_col, text_col, modulus, fold, FIRST_DOCUMENTS)
-        for rows in (some.coalesce(1), learned):
-            shared = spark.sparkContext.broadcast((words, noise, model.rows()))
-            parts = rows.mapInArrow(_training(shared), "at int, weight double, vector array<float>")
-            sums = [F.sum(F.col("weight") * F.col("vector")[i]).alias(f"s{i}") for i in range(DIMENSIONS)]
-            table = parts.groupBy("at").agg(F.sum("weight").alias("w"), *sums).orderBy("at").toArrow()
-            weights = table.column("w").to_numpy()[:, None]
-            stacked = np.stack([table.column(f"s{i}").to_numpy() for i in range(DIMENSIONS)], axis=1)
-            model = Model.from_rows((stacked / weights).astype(np.float32))
-    language = Language(words, head, total, distinct, class_total, class_distinct, noise, model, _normalisers(model))
-    return language, counts
-
-
-class Scorer:
-    """Scores of whole texts as far as the frequent tokens go, and the tokens that need a look-up."""
+    shards = max(1, -(-language.total // SHARD))
+    rounds = min(ROUNDS, shards)
+    mix = F.xxhash64("id", "classes")
+    dealt = encoded.where("not held_out").select(F.pmod(mix, F.lit(shards)).alias("shard"), "classes", mix.alias("mix"))
+    for number in range(rounds if language.total else 0):
+        shared = spark.sparkContext.broadcast((noise, model.rows()))
+        mine = dealt.where(F.col("shard") % rounds == number)
+        mine = mine.repartition(-(-shards // rounds), "shard").sortWithinPartitions("shard", "mix", "classes")
+        parts = mine.select("shard", "classes").mapInArrow(_training(shared), "at int, weight double, vector array<float>")
+        sums = [F.sum(F.col("weight") * F.col("vector")[i]).alias(f"s{i}") for i in range(DIMENSIONS)]
+        table = parts.groupBy("at").agg(F.sum("weight").alias("w"), *sums).orderBy("at").toArrow()
+        weights = table.column("w").to_numpy()[:, None]
+        stacked = np.stack([table.column(f"s{i}").to_numpy() for i in range(DIMENSIONS)], axis=1)
+        if len(stacked):
+            model = Model.from_rows((stacked / weights).astype(np.float32), len(noise))
+        shared.unpersist()
+    return replace(language, model=model, log_z=_normalisers(model))
+
+
+class Encoder:
+    """Class numbers of whole texts, scores as far as the frequent tokens go, and the tokens that need a look-up.
+
+    Every token seen has a row of numbers; the frequent tokens keep theirs, the others are forgotten
+    once there are too many.
+    """
 
     def __init__(self, language: Language):
-        self.l = language
-        self.classes = Classes(language.words)
         self.base_total = np.log10(language.total + 0.1 * (language.distinct + 1))
-        self.value = {t: float(np.log10(c + 0.1)) for t, c in language.head.items()}
-        self.own = set(language.words)
         below = np.log10(language.class_total + 0.1 * (language.class_distinct + 1))
-        self.below = np.concatenate([np.zeros(WORDS), below])
-        self.log_noise = np.log(language.noise)
-
-    def __call__(self, text: bytes | None) -> tuple[int, int, float, float, dict[bytes, int]]:
-        """Tokens, known ones, base and model scores without the looked-up tokens, and those tokens."""
+        self.below = np.concatenate([np.zeros(len(language.words)), below])
+        own = {w: i for i, w in enumerate(language.words)}
+        self.own = len(own)
+        frequent = list(language.head)
+        self.frequent = len(frequent)
+        self.fixed = {t: i for i, t in enumerate(frequent)}
+        self.rows = dict(self.fixed)
+        self.kind = np.zeros(self.frequent + _CACHE, np.uint16)
+        self.kind[: self.frequent] = [own[t] if t in own else self.spelt(t) for t in frequent]
+        self.value = np.zeros(self.frequent + _CACHE)
+        self.value[: self.frequent] = np.log10(np.array([language.head[t] for t in frequent], np.float64) + 0.1)
+        # Words with a class of their own have all of their probability from the model.
+        self.inside = np.where(self.kind < self.own, 0.0, self.value)
+
+    def spelt(self, token: bytes) -> int:
+        return self.own + zlib.crc32(token[:3]) % SPELLINGS
+
+    def __call__(self, text: bytes | None) -> tuple[int, int, float, float, dict[bytes, int], bytes]:
+        """Tokens, known ones, base and model scores without looked-up tokens and classes, these tokens, classes."""
         tokens = tokens_of(text)
-        model, value = self.l.model, self.value
-        last, before, target = _histories([self.classes(tokens)])
-        logs = np.empty(len(target))
-        for s in range(0, len(target), 65_536):
-            part = slice(s, s + 65_536)
-            h = model.context[last[part]] * model.position[0] + model.context[before[part]] * model.position[1]
-            logit = np.einsum("ij,ij->i", h, model.target[target[part]]) + model.bias[target[part]]
-            logs[part] = logit - self.l.log_z[last[part], before[part]]
-        mixed = np.logaddexp(np.log(1 - UNIGRAM_SHARE) + logs, np.log(UNIGRAM_SHARE) + self.log_noise[target])
-        score = float(mixed.sum()) / np.log(10) - float(self.below[target].sum())
-        base = -len(tokens) * self.base_total
-        tail: dict[bytes, int] = {}
-        known = 0
-        for token, n in Counter(tokens).items():
-            v = value.get(token)
-            if v is None:
-                tail[token] = n
-                continue
-            known += n
-            base += n * v
-            if token not in self.own:
-                score += n * v
-        return len(tokens), known, float(base), score, tail
-
-
-_scorers: list[tuple[Language, Scorer]] = []
+        rows = self.rows
+        fresh = set(tokens).difference(rows)
+        if len(rows) + len(fresh) > len(self.kind):
+            rows = self.rows = dict(self.fixed)
+            fresh = set(tokens).difference(rows)
+            if len(rows) + len(fresh) > len(self.kind):
+                self.kind, self.value, self.inside = (
+                    np.concatenate([x, np.zeros(len(fresh), x.dtype)]) for x in (self.kind, self.value, self.inside)
+                )
+        for token in fresh:
+            self.kind[len(rows)] = self.spelt(token)
+            rows[token] = len(rows)
+        at = np.fromiter(map(rows.__getitem__, tokens), np.int32, len(tokens))
+        classes = self.kind[at]
+        tail = Counter(tokens[i] for i in np.flatnonzero(at >= self.frequent))
+        base = float(self.value[at].sum()) - len(tokens) * self.base_total
+        score = float(self.inside[at].sum()) - float(self.below[classes].sum())
+        return len(tokens), len(tokens) - tail.total(), base, score, tail, classes.tobytes()
+
+
+def _encoded(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+        names = ["id", "n_tokens", "known", "base", "score", "tail", "times", "classes"]
+        for batch in batches:
+            columns: list[list] = [[] for _ in kinds]
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                n, known, base, score, tail, classes = encoder(text)
+                for column, found in zip(columns, (n, known, base, score, list(tail), list(tail.values()), classes)):
+                    column.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+
+    return run
+
+
+def class_scores(language: Language, parts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probabilities of the class of every token of some texts, after the classes before it."""
+    model, log_noise = language.model, np.log(language.noise)
+    last, before, target = _histories(parts, len(language.noise))
+    logs = np.empty(len(target))
+    for s in range(0, len(target), 65_536):
+        part = slice(s, s + 65_536)
+        h = model.context[last[part]] * model.position[0] + model.context[before[part]] * model.position[1]
+        logit = np.einsum("ij,ij->i", h, model.target[target[part]]) + model.bias[target[part]]
+        logs[part] = logit - language.log_z[last[part], before[part]]
+    return np.logaddexp(np.log(1 - UNIGRAM_SHARE) + logs, np.log(UNIGRAM_SHARE) + log_noise[target])
 
 
 def _scored(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _scorers or _scorers[0][0] is not shared.value:
-            _scorers[:] = [(shared.value, Scorer(shared.value))]
-        scorer = _scorers[0][1]
         for batch in batches:
-            n, known, base, score, tails, times = [], [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                a, b, c, d, tail = scorer(text)
-                n.append(a), known.append(b), base.append(c), score.append(d)
-                tails.append(list(tail)), times.append(list(tail.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(score, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                ["id", "n_tokens", "known", "base", "score", "tail", "times"],
-            )
+            texts = [np.frombuffer(c, np.uint16) for c in batch.column(1).to_pylist()]
+            if texts:
+                logs = class_scores(shared.value, texts)
+                ends = np.cumsum([len(t) for t in texts])  # every text has a token, its end
+                sums = np.add.reduceat(logs, np.append(0, ends[:-1])) / np.log(10)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], ["row", "log"])
 
     return run
 
 
-def score(
-    docs: DataFrame, language: Language, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    modulus: int = 10, fold: int = 0,
-) -> DataFrame:
-    """Rows ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every document.
-
-    The probability of a token is that of its class after the two classes before it, normalised over
-    all classes, times its smoothed share of the class, which leaves room for unseen tokens. Null and
-    empty texts are the end token alone; repeated rows are returned as given; a null id counts as
-    held out; other columns are ignored. Counts of the most frequent tokens are shipped to the tasks;
-    the rarer tokens of each document are summed up by a join with all counts.
-    """
-    spark = ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = dict(rows.dtypes)["id"]
-    schema = f"id {id_type}, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>"
-    found = written(
-        rows.mapInArrow(_scored(spark.sparkContext.broadcast(language)), schema)
-        .withColumn("row", F.monotonically_increasing_id()),
-        "scored",
-    )
-    rare = found.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", "t.tail", "t.times")
+def score_encoded(encoded: DataFrame, language: Language, counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Scores of encoded documents, see :func:`score`."""
+    spark = ready(encoded.sparkSession)
+    rare = encoded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", "t.tail", "t.times")
     seen = rare.join(counts.withColumnRenamed("token", "tail"), "tail", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     extra = seen.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(c + F.lit(0.1))).alias("value"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"),
     )
+    logs = encoded.select("row", "classes").mapInArrow(
+        _scored(spark.sparkContext.broadcast(language)), "row long, log double"
+    )
     value, more = F.coalesce("value", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return found.drop("tail", "times").join(extra, "row", "left").select(
-        F.col("id").alias(id_col),
-        held_out("id", modulus, fold).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + more).cast("long").alias("n_known"),
-        F.lit(language.total).cast("long").alias("train_tokens"),
-        (F.col("base") + value).alias("base_score"),
-        (F.col("score") + value).alias("score"),
+    rows = encoded.select("row", "id", "held_out", "n_tokens", "known", "base", "score")
+    return rows.join(logs, "row").join(extra, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + more).cast("long").alias("n_known"),
+        F.lit(language.total).cast("long").alias("train_tokens"), (F.col("base") + value).alias("base_score"),
+        (F.col("score") + F.col("log") + value).alias("score"),
     )
+
+
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, fold: int = 0
+) -> DataFrame:
+    """Rows ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every document.
+
+    The probability of a token is that of its class after the two classes before it, normalised over
+    all classes, times its smoothed share of the class, which leaves room for unseen tokens. The model
+    learns from the documents outside the held-out fold. Null and empty texts are the end token alone;
+    repeated rows are returned as given; a null id counts as held out; other columns are ignored.
+    Texts are read twice, to count their tokens and to encode them; model and scores use the stored
+    class numbers. Counts of the most frequent tokens are shipped to the tasks; the rarer tokens of
+    each document are summed up by a join with all counts.
+    """
+    language, counts = count(docs, id_col, text_col, modulus, fold)
+    encoded = encode(docs, language, id_col, text_col, modulus, fold)
+    return score_encoded(encoded, fit(encoded, language), counts, id_col)
