@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,19 +13,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ready
+from .common import held_out, ready, written
 from .sampling import class_shares, labelled_sample
 
 DIMENSIONS = 1 << 18
 PREFIXES = (4, 5, 6)
-SAMPLE = 4_000  # labelled ids per class
+SAMPLE = 8_000  # labelled ids per class
 L1 = 5e-4
 MIN_APART = 4.0  # standard errors between the class shares of a feature
 MIN_TEXTS = 5
 COUNTERFACTUAL = 1.0
 _WORD_CACHE = 400_000
 
-# Terms that name groups of people; a term is swapped for the others of its row.
+MOST_TERMS = 10_000  # identity terms that a list may have
+
+# Terms that name groups of people, where no list is given; a term is swapped for the others of its row.
 IDENTITY_TERMS = (
     ("women", "men", "woman", "man", "female", "male", "girls", "boys"),
     ("frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
@@ -58,8 +60,35 @@ def packed(features: list[int]) -> bytes:
     return np.concatenate(np.unique(np.array(features, np.int32), return_counts=True)).astype(np.int32).tobytes()
 
 
-# The terms that each identity term is swapped for.
-_OTHERS = {a.encode(): [b.encode() for b in row if a != b] for row in IDENTITY_TERMS for a in row}
+Others = dict[bytes, list[bytes]]
+
+
+def others_of(rows: Iterable[Iterable[str]]) -> Others:
+    """The terms that each identity term is swapped for: the other ones of its rows, in their order."""
+    found: Others = {}
+    for row in rows:
+        terms = [w[0] for w in (words_of(t.encode()) for t in row) if len(w) == 1]
+        for a in terms:
+            found.setdefault(a, []).extend(b for b in dict.fromkeys(terms) if b != a and b not in found[a])
+    return {a: swaps for a, swaps in found.items() if swaps}
+
+
+def identity_rows(terms: DataFrame) -> list[list[str]]:
+    """Rows of interchangeable terms from a table ``language, kind, term``; a row is a kind in a language.
+
+    Terms of several words, null and repeated ones are left out. More than ``MOST_TERMS`` are refused.
+    """
+    known = terms.where("term IS NOT NULL").select("language", "kind", F.lower("term").alias("term")).distinct()
+    found = known.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} identity terms")
+    rows: dict[tuple, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["term"]):
+        rows.setdefault((r["language"], r["kind"]), []).append(r["term"])
+    return list(rows.values())
+
+
+_OTHERS = others_of(IDENTITY_TERMS)
 
 
 @dataclass
@@ -90,13 +119,13 @@ class Scorer:
         return 1.0 / (1.0 + float(np.exp(-np.clip(total, -40.0, 40.0))))
 
 
-def swapped(sentence: set[bytes], term: bytes, features=features_of) -> list[bytes]:
+def swapped(sentence: set[bytes], term: bytes, features=features_of, all_others: Others = _OTHERS) -> list[bytes]:
     """The sentence with the term swapped for each other term of its row: packed changes of its counts.
 
     Each is the number of swaps, the features whose counts change, and their counts before and after.
     """
     before = Counter(f for word in sentence for f in features(word))
-    others = _OTHERS[term]
+    others = all_others[term]
     found = []
     for other in others:
         after = before.copy()
@@ -109,39 +138,78 @@ def swapped(sentence: set[bytes], term: bytes, features=features_of) -> list[byt
     return found
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(others: Others):
     """Labelled texts as feature lists, and the swaps of identity terms in their sentences."""
-    cache: dict[bytes, list[int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, list[int]] = {}
+
+        def look_up(word: bytes) -> list[int]:
+            if word not in cache:
+                if len(cache) > _WORD_CACHE:
+                    cache.clear()
+                cache[word] = features_of(word)
+            return cache[word]
+
+        for batch in batches:
+            features, changes, times = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                distinct = set(words_of(text))
+                features.append(packed([f for word in sorted(distinct) for f in look_up(word)]))
+                named: Counter[bytes] = Counter()
+                if not distinct.isdisjoint(others):
+                    for sentence in map(set, map(words_of, _SENTENCE.split(text))):
+                        for term in sentence.intersection(others):
+                            named.update(swapped(sentence, term, look_up, others))
+                changes.append(list(named)), times.append(list(named.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(features, pa.binary()), pa.array(changes, pa.list_(pa.binary())),
+                 pa.array(times, pa.list_(pa.int64()))],
+                ["label", "features", "swaps", "times"],
+            )
+
+    return run
 
-    def look_up(word: bytes) -> list[int]:
-        if word not in cache:
-            if len(cache) > _WORD_CACHE:
-                cache.clear()
-            cache[word] = features_of(word)
-        return cache[word]
 
+def _texts_with_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: how many texts, and how many of label 1, have each feature."""
+    seen, ones = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
     for batch in batches:
-        features, changes, times = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            distinct = set(words_of(text))
-            features.append(packed([f for word in sorted(distinct) for f in look_up(word)]))
-            named: Counter[bytes] = Counter()
-            if not distinct.isdisjoint(_OTHERS):
-                for sentence in map(set, map(words_of, _SENTENCE.split(text))):
-                    for term in sentence.intersection(_OTHERS):
-                        named.update(swapped(sentence, term, look_up))
-            changes.append(list(named)), times.append(list(named.values()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(features, pa.binary()), pa.array(changes, pa.list_(pa.binary())),
-             pa.array(times, pa.list_(pa.int64()))],
-            ["label", "features", "swaps", "times"],
-        )
+        for label, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = np.frombuffer(features, np.int32).reshape(2, -1)[0]
+            seen[at] += 1
+            ones[at] += label
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array(ones[at])], ["feature", "texts", "ones"])
+
+
+def _only(used: np.ndarray):
+    """Examples without the features that are not used."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for features in batch.column(1).to_pylist():
+                pair = np.frombuffer(features, np.int32).reshape(2, -1)
+                kept.append(np.ascontiguousarray(pair[:, used[pair[0]]]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["label", "features"])
+
+    return run
 
 
 def _prior_only(negatives: int, positives: int) -> Model:
     return Model(np.zeros(DIMENSIONS, np.float32), float(np.log((positives + 0.5) / (negatives + 0.5))))
 
 
+def telling(in_one: np.ndarray, in_any: np.ndarray, ones: int, total: int, others: Others) -> np.ndarray:
+    """Features that tell the classes apart, and those of identity terms."""
+    share = in_any / total
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / ones + 1 / (total - ones)))
+    apart = np.abs(in_one / ones - (in_any - in_one) / (total - ones)) / spread
+    used = (apart >= MIN_APART) & (in_any >= MIN_TEXTS)
+    for name in others:
+        used[features_of(name)] = True
+    return used
+
+
 def fit(
     labels: np.ndarray,
     features: list[bytes],
@@ -150,15 +218,19 @@ def fit(
     l1: float = L1,
     counterfactual: float = COUNTERFACTUAL,
     rounds: int = 400,
+    others: Others = _OTHERS,
+    used: np.ndarray | None = None,
 ) -> Model:
     """Weighted logistic regression, sparse by a proximal step, with a penalty on counterfactual change.
 
     ``features`` are packed examples, copies of which teach once. ``identity`` counts the changes that
     :func:`swapped` makes of the labelled sentences, or is an array of how many sentences consist of each
     identity term alone. The mean square change of the logit over all sentences and swaps is added to
-    the loss. Without examples of both classes the model is the prior.
+    the loss. Without examples of both classes the model is the prior. ``used`` tells which features
+    count, if that is known, and that copies were left out.
     """
-    distinct = sorted({f: i for i, f in reversed(list(enumerate(features)))}.values())
+    distinct = sorted({f: i for i, f in reversed(list(enumerate(features)))}.values()) if used is None else range(len(features))
+    distinct = list(distinct)
     labels, features = labels[distinct], [np.frombuffer(features[i], np.int32).reshape(2, -1) for i in distinct]
     ones = int(labels.sum())
     if ones == 0 or ones == len(labels):
@@ -168,15 +240,9 @@ def fit(
     counts = np.concatenate([f[1] for f in features])
     del features
 
-    # Features that tell the classes apart, and those of identity terms.
-    in_one = np.bincount(columns, labels[rows], DIMENSIONS)
-    in_any = np.bincount(columns, minlength=DIMENSIONS)
-    share = in_any / len(labels)
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / ones + 1 / (len(labels) - ones)))
-    apart = np.abs(in_one / ones - (in_any - in_one) / (len(labels) - ones)) / spread
-    used = (apart >= MIN_APART) & (in_any >= MIN_TEXTS)
-    for name in _OTHERS:
-        used[features_of(name)] = True
+    if used is None:
+        in_one = np.bincount(columns, labels[rows], DIMENSIONS)
+        used = telling(in_one, np.bincount(columns, minlength=DIMENSIONS), ones, len(labels), others)
     place = np.cumsum(used) - 1
     kept = used[columns]
     rows, columns, values = rows[kept], place[columns[kept]], np.log1p(counts[kept].astype(np.float64))
@@ -184,8 +250,8 @@ def fit(
 
     # Swaps as sparse rows of changes; the swaps of one term in one sentence weigh as much as one sentence.
     if isinstance(identity, np.ndarray):
-        alone = zip(_OTHERS, identity.tolist())
-        identity = Counter({change: n for name, n in alone if n for change in swapped({name}, name)})
+        alone = zip(others, identity.tolist())
+        identity = Counter({change: n for name, n in alone if n for change in swapped({name}, name, all_others=others)})
     changes = [np.frombuffer(change, np.int32) for change in identity]
     swap_weight = np.array([n / change[0] for n, change in zip(identity.values(), changes)])
     swap_weight = swap_weight / max(1.0, swap_weight.sum())
@@ -238,19 +304,41 @@ def fit(
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     modulus: int = 5, fold: int = 0, bound: int = SAMPLE, counterfactual: float = COUNTERFACTUAL,
+    identity: DataFrame | None = None,
 ) -> Model:
-    """Model from at most ``bound`` labelled documents of each class outside the held-out fold."""
+    """Model from at most ``bound`` labelled documents of each class outside the held-out fold.
+
+    ``identity`` lists identity terms as ``language, kind, term``; terms of one kind are swapped for each
+    other. Features are counted, chosen and cut down in tasks: the driver gets the chosen features of
+    the sample's different texts, and the swaps by how often they occur.
+    """
     ready(docs.sparkSession)
+    others = _OTHERS if identity is None else others_of(identity_rows(identity))
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, modulus, fold, bound)
-    table = sample.mapInArrow(_examples, "label int, features binary, swaps array<binary>, times array<long>").toArrow()
-    targets = np.array(table.column("label").to_pylist(), np.float64)
-    features = table.column("features").to_pylist()
-    identity: Counter[bytes] = Counter()
-    for changes, times in zip(table.column("swaps").to_pylist(), table.column("times").to_pylist()):
-        for change, n in zip(changes, times):
-            identity[change] += n
-    return fit(targets, features, identity, class_shares(labels, id_col, label_col, modulus, fold),
-               counterfactual=counterfactual)
+    schema = "label int, features binary, swaps array<binary>, times array<long>"
+    examples = written(sample.mapInArrow(_examples(others), schema), "toxicity-examples")
+    once = examples.groupBy("features").agg(F.max("label").alias("label")).select("label", "features")
+    counts = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    shares = class_shares(labels, id_col, label_col, modulus, fold)
+    if counts["ones"] in (0, counts["n"]):
+        return _prior_only(*shares)
+    seen = once.mapInArrow(_texts_with_feature, "feature long, texts long, ones long")
+    table = seen.groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("ones").alias("ones")).where(
+        F.col("texts") >= MIN_TEXTS
+    ).toArrow()
+    in_any, in_one = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    at = table.column("feature").to_numpy()
+    in_any[at], in_one[at] = table.column("texts").to_numpy(), table.column("ones").to_numpy()
+    used = telling(in_one, in_any, counts["ones"], counts["n"], others)
+    kept = once.mapInArrow(_only(used), "label int, features binary").orderBy("features", "label").toArrow()
+    swaps = examples.select(F.explode(F.arrays_zip("swaps", "times")).alias("s")).groupBy(F.col("s.swaps").alias("change")).agg(
+        F.sum("s.times").alias("n")
+    ).orderBy("change").toArrow()
+    changes = Counter(dict(zip(swaps.column("change").to_pylist(), swaps.column("n").to_pylist())))
+    return fit(
+        np.array(kept.column("label").to_pylist(), np.float64), kept.column("features").to_pylist(), changes, shares,
+        counterfactual=counterfactual, others=others, used=used,
+    )
 
 
 def _scored(model: Model):
