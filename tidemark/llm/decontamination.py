@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, written
 
 WINDOW = 10
 # An automaton holds at most about so many windows (some 100 MB); more windows take one more pass each.
@@ -92,8 +92,11 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def _scan(shared: Broadcast):
+def _scan(shared: Broadcast, last: bool):
+    """Hits of the windows sent, added to those found so far; the last pass gives their places in the
+    original text instead of the text."""
     range_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
@@ -101,7 +104,7 @@ def _scan(shared: Broadcast):
             before = batch.schema.names.count("hits")
             old_hits = batch.column("hits").to_pylist() if before else [()] * batch.num_rows
             old_items = batch.column("items").to_pylist() if before else [()] * batch.num_rows
-            counts, hits, items = [], [], []
+            counts, hits, items, spans = [], [], [], []
             for text, had, known in zip(batch.column(1).cast(pa.binary()).to_pylist(), old_hits, old_items):
                 words = words_of(text)
                 ranges, found = matcher.find(words)
@@ -110,54 +113,44 @@ def _scan(shared: Broadcast):
                 counts.append(len(words))
                 hits.append([{"start": s, "end": e} for s, e in ranges])
                 items.append(sorted(found.union(known)))
+                if last:
+                    spans.append(_spans(text, ranges) if ranges else [])
+            text_or_spans = pa.array(spans, span_type) if last else batch.column(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, range_type),
+                [batch.column(0), text_or_spans, pa.array(counts, pa.int64()), pa.array(hits, range_type),
                  pa.array(items, pa.list_(pa.string()))],
-                ["id", "text", "n_words", "hits", "items"],
+                ["id", "spans" if last else "text", "n_words", "hits", "items"],
             )
 
     return run
 
 
-def _with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Word ranges as character offsets of the original text."""
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        spans = []
-        for text, hits in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-            if not hits:
-                spans.append([])
-                continue
-            raw = np.frombuffer(text, np.uint8)
-            word = np.frombuffer(text.translate(_NORMAL), np.uint8) != 32
-            edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
-            begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            spans.append(
-                [{"start": int(chars[begins[h["start"]]]), "end": int(chars[ends[h["end"] - 1]])} for h in hits]
-            )
-        columns = [batch.column(i) for i in (0, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(spans, span_type)], ["id", "n_words", "hits", "items", "spans"]
-        )
+    raw = np.frombuffer(text, np.uint8)
+    word = np.frombuffer(text.translate(_NORMAL), np.uint8) != 32
+    edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return [{"start": int(chars[begins[start]]), "end": int(chars[ends[end - 1]])} for start, end in ranges]
 
 
-def _automata(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> list[Broadcast]:
-    """The windows of all items with their items, in lists that one automaton each may hold."""
+def _automata(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The windows of all items with their items, in lists that one automaton each may hold, one after
+    the other, and whether a list is the last."""
     spark = benchmark.sparkSession
-    windows = (
+    windows = written(
         benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(item_text))
         .mapInArrow(_windows(window), "item string, window binary")
         .groupBy("window")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .agg(F.sort_array(F.collect_set("item")).alias("items")),
+        "windows",
     )
     passes = max(1, -(-windows.count() // WINDOWS_PER_PASS))
-    shared = []
     for part in range(passes):
         chosen = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == part)
         rows = sorted((bytes(r["window"]), list(r["items"])) for r in chosen.collect())  # bounded per pass
-        shared.append(spark.sparkContext.broadcast(rows))
-    return shared
+        yield spark.sparkContext.broadcast(rows), part == passes - 1
 
 
 def _without_hits(shared: Broadcast, text_at: int):
@@ -177,8 +170,11 @@ def clean_documents(
     """The whole rows of ``docs`` in which :func:`contamination` finds nothing."""
     ready(docs.sparkSession)
     clean = docs
-    for shared in _automata(benchmark, item_id, item_text, window):
+    for shared, last in _automata(benchmark, item_id, item_text, window):
         clean = clean.mapInArrow(_without_hits(shared, docs.columns.index(text_col)), docs.schema)
+        if not last:  # one automaton per task: the next one goes on from stored rows
+            clean = written(clean, "clean")
+            shared.unpersist()
     return clean
 
 
@@ -201,18 +197,19 @@ def contamination(
     have no words; repeated rows are returned as often as given; other columns are ignored.
 
     The windows are built by Spark. As many as one automaton may hold are shipped to the tasks, and
-    the documents stream through it without a shuffle; further windows take further passes.
+    the documents stream through it without a shuffle; further windows take further passes over the
+    rows as the pass before has stored them.
     """
     ready(docs.sparkSession)
     id_type = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for shared in _automata(benchmark, item_id, item_text, window):
-        found = found.mapInArrow(_scan(shared), _SCHEMA.format(id=id_type))
-    found = found.mapInArrow(
-        _with_spans,
-        f"id {id_type}, n_words long, hits array<struct<start:int,end:int>>, items array<string>, "
-        "spans array<struct<start:long,end:long>>",
-    )
+    for shared, last in _automata(benchmark, item_id, item_text, window):
+        schema = _SCHEMA.format(id=id_type)
+        if last:
+            found = found.mapInArrow(_scan(shared, True), schema.replace("text string", "spans array<struct<start:long,end:long>>"))
+        else:  # one automaton per task: the next one goes on from stored rows
+            found = written(found.mapInArrow(_scan(shared, False), schema), "hits")
+            shared.unpersist()
     return found.select(
         F.col("id").alias(id_col),
         "n_words",

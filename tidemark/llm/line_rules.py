@@ -176,6 +176,8 @@ def _judged(docs: DataFrame, text_at: int, host_at: int, limits: tuple[int, floa
         kept = whole if with_rows or not last else whole.split(", ")[0]
         schema = f"{kept}, {measured}, removed array<int>" if last else f"{kept}, removed array<int>"
         rows = rows.mapInArrow(_judge(keys, part == 0, last, host_at, text_at, with_rows), schema)
+        if not last:  # one list of lines per task: the next one goes on from stored rows
+            rows = written(rows, "lines-found")
     return rows
 
 
@@ -204,8 +206,8 @@ def line_rules(
     the base rules; a null host is the empty host; repeated rows count once as a document of a line
     and are all returned; other columns are ignored.
 
-    The common lines are shipped to the tasks as sorted hashes, a bounded number in each pass, so
-    documents are never shuffled.
+    The common lines are shipped to the tasks as sorted hashes, a bounded number in each pass over
+    stored rows, so documents are never shuffled.
     """
     narrow = docs.select(F.col(id_col), F.col(host_col).cast("string"), F.col(text_col))
     depleted = F.col("words_left") < F.lit(min_left) * F.col("n_words")
