@@ -45,7 +45,7 @@ FROM w
 URL_VERDICTS = r"""
 WITH p AS (
     SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
-           TIMESTAMP '2024-01-01' + to_minutes(page_id * 37) AS t,
+           TIMESTAMP '2024-01-01' + to_minutes(page_id * 37 % 525600) AS t,
            list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'),
                        lambda s: s <> '') AS parts
     FROM pages
@@ -59,8 +59,8 @@ WITH p AS (
     SELECT *, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS n FROM listed
 ), spans AS (
     SELECT list, key, action, a, b FROM (
-        SELECT list, key, action, n % 2000 AS a, n % 2000 + 700 + n % 500 AS b FROM numbered
-        UNION ALL SELECT list, key, action, n % 2000 + 1500 + n % 900, NULL FROM numbered)
+        SELECT list, key, action, n % 6000 AS a, n % 6000 + 700 + n % 500 AS b FROM numbered
+        UNION ALL SELECT list, key, action, n % 6000 + 1500 + n % 900, NULL FROM numbered)
 ), keys AS (
     SELECT page_id, t, unnest(list_concat(
         list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.')),

@@ -81,9 +81,10 @@ def verdicts(
     or hostless URLs and null times, the verdict is ``none``. Repeated captures are all returned;
     other columns are ignored.
 
-    Intervals are cut at months, and captures meet them on (key, month, salt): an equality join in
-    which a capture sees only what was listed under its keys in its month. A host with a large part
-    of all captures is spread over salts.
+    Intervals that ended are cut at months, and captures meet them on (key, month, salt): an equality
+    join in which a capture sees only what was listed under its keys in its month. An entry that is
+    still active is one row, whatever time has passed, and is met on (key, salt); both joins use one
+    placement of the captures. A host with a large part of all captures is spread over salts.
     """
     ready(captures.sparkSession)
     rows = written(
@@ -96,6 +97,7 @@ def verdicts(
         rows.where(F.col("time").isNotNull())
         .select("row", "time", _month(F.col("time")).alias("month"), F.explode(keys_of(F.col("url"))).alias("key"))
         .withColumn("salt", salt_of("row"))
+        .repartition("key", "salt")
     )
     span = rows.agg(F.min(_month(F.col("time"))).alias("first"), F.max(_month(F.col("time"))).alias("last"))
     bounds = span.first()
@@ -103,14 +105,18 @@ def verdicts(
         nothing = [F.lit(None).cast("string").alias(c) for c in ("list", "key")]
         return rows.select(F.col("id").alias(id_col), F.col("time").alias(time_col), F.lit("none").alias("verdict"), *nothing)
     first = F.greatest(_month(F.col("valid_from")), F.lit(bounds["first"]))
-    last = F.least(F.coalesce(_month(F.col("valid_to")), F.lit(bounds["last"])), F.lit(bounds["last"]))
+    last = F.least(_month(F.col("valid_to")), F.lit(bounds["last"]))
+    spans = written(intervals(entries), "intervals")
     cells = (
-        intervals(entries).withColumn("lo", first).withColumn("hi", last).where("lo <= hi")
+        spans.where("valid_to IS NOT NULL").withColumn("lo", first).withColumn("hi", last).where("lo <= hi")
         .withColumn("month", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
     )
-    active = wanted.join(salted(cells), ["key", "month", "salt"]).where(
-        (F.col("valid_from") <= F.col("time")) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to")))
+    said = ["row", "key", "list", "action"]
+    ended = wanted.join(salted(cells), ["key", "salt", "month"]).where(
+        (F.col("valid_from") <= F.col("time")) & (F.col("time") < F.col("valid_to"))
     )
+    still = wanted.join(salted(spans.where("valid_to IS NULL")), ["key", "salt"]).where(F.col("valid_from") <= F.col("time"))
+    active = ended.select(*said).unionByName(still.select(*said))
     parts = F.size(F.split("key", "/"))
     labels = F.size(F.split(F.element_at(F.split("key", "/"), 1), r"\."))
     # The smallest of these is the deciding entry.
