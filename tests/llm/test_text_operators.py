@@ -406,6 +406,68 @@ def test_pack_is_whole_and_close_to_the_bound():
     assert len(set(packing.pack(rng.integers(1, 40, 2_000), 100))) <= -(-sum(rng.integers(1, 40, 2_000)) // 100) * 1.1
 
 
+def test_neutral_mentions_of_groups_are_not_toxic(spark):
+    """Trained as a whole on texts in which one group of a given list mostly occurs in insults."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(n)]
+    plain, foul = draw(60), draw(40)
+    groups = ["zorbans", "quellites", "marnish"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = list(rng.choice(plain, 14))
+        if toxic:
+            text[2:4] = rng.choice(foul, 2)
+        if rng.random() < (0.85 if toxic else 0.4):
+            text[6] = groups[0] if toxic else str(rng.choice(groups[1:]))
+        rows.append((i, " ".join(text) + ". " + " ".join(rng.choice(plain, 5)) + "."))
+        labels.append((i, 1, int(toxic)))
+    docs = make(spark, rows).repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    terms = spark.createDataFrame(
+        [("en", "people", g) for g in groups] + [("en", "people", None), ("en", "people", "two words"), ("en", "alone", "hermits"), ("en", "people", "Zorbans")],
+        "language string, kind string, term string",
+    )
+    neutral = make(spark, [(10_000 + i, " ".join([*rng.choice(plain, 9), groups[0], *rng.choice(plain, 4)])) for i in range(80)])
+    insults = make(spark, [(20_000 + i, " ".join([*rng.choice(plain, 9), *rng.choice(foul, 2)])) for i in range(80)])
+    caught = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL * 20):
+        model = toxicity.train(docs, marks, counterfactual=weight, identity=terms)
+        caught[weight > 0] = [toxicity.score(part, model).agg(F.sum("predicted")).first()[0] for part in (neutral, insults)]
+    assert caught[False][0] > 40 and caught[True][0] < 8  # false positives on neutral mentions
+    assert caught[True][1] > 60
+    many = spark.range(10_002).selectExpr("'en' AS language", "'k' AS kind", "concat('t', id) AS term")
+    with pytest.raises(ValueError):
+        toxicity.train(docs, marks, identity=many)
+
+
+def test_chosen_features_do_not_depend_on_tasks(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    one, many = (toxicity.train(docs.repartition(n), marks) for n in (1, 9))
+    assert np.allclose(one.weights, many.weights, atol=1e-5) and abs(one.bias - many.bias) < 1e-4
+
+
+def python_nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_every_pass_is_a_stage_of_its_own(spark, monkeypatch):
+    """Seven passes, and one Python node in what is left to run, whatever their number."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    usual = sorted(tuple(r) for r in decontamination.contamination(docs, items).collect())
+    n = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("sum(greatest(1, size(split(text, ' ')) - 9))").first()[0]
+    monkeypatch.setattr(decontamination, "WINDOWS_PER_PASS", -(-int(n) // 7))
+    found = decontamination.contamination(docs, items)
+    assert python_nodes(found) == 1 and python_nodes(decontamination.clean_documents(docs, items)) == 1
+    assert sorted(tuple(r) for r in found.collect()) == usual
+    rules = line_rules.line_rules(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(line_rules, "LINES_PER_PASS", 1)
+    found = line_rules.line_rules(docs)
+    assert python_nodes(found) == 1 and found.orderBy("doc_id").collect() == rules
+
+
 def test_best_fit(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

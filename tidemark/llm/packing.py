@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -21,7 +22,6 @@ from .common import ready, written
 CAPACITY = 2048
 END = 0
 BLOCK = 8_192  # pieces that are packed together
-ROUNDS = 30
 _CHUNK_CACHE = 500_000
 _CHUNK_BYTES = 64  # longer chunks are not worth remembering
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII; an apostrophe may open an ending
@@ -152,16 +152,16 @@ def token_pieces(
     return rows.mapInArrow(_cut(spark.sparkContext.broadcast(vocabulary), capacity, with_ids), schema)
 
 
-def pack(lengths: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
+def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Bin of each length (at most ``capacity``): the better of two local searches.
 
     The first starts from pieces put in the given order where they leave least room. If it ends above
     the least possible number of bins, a second one starts from the same rule in falling order.
     """
     least = -(-int(lengths.sum()) // capacity)
-    found = _search(lengths, np.arange(len(lengths)), capacity, rounds)
+    found = _search(lengths, np.arange(len(lengths)), capacity)
     if len(lengths) and found.max() + 1 > least:
-        other = _search(lengths, np.argsort(-lengths, kind="stable"), capacity, rounds)
+        other = _search(lengths, np.argsort(-lengths, kind="stable"), capacity)
         found = other if other.max() < found.max() else found
     return found
 
@@ -190,7 +190,7 @@ def _start(size_of: list[int], order: np.ndarray, capacity: int) -> tuple[list[d
     return bins, free
 
 
-def _search(lengths: np.ndarray, order: np.ndarray, capacity: int, rounds: int) -> np.ndarray:
+def _search(lengths: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
     """Local search over bins.
 
     Underfull bins are visited from the fullest to the emptiest. A bin exchanges pieces with a bin
@@ -208,7 +208,8 @@ def _search(lengths: np.ndarray, order: np.ndarray, capacity: int, rounds: int)
         for i in pieces if free[b] else ():
             owner.setdefault(size_of[i], {})[i] = b
     used = len(bins)
-    for _ in range(rounds):
+    changed = True
+    while changed and used > least:
         changed = False
         for b in sorted((b for b in range(len(bins)) if bins[b] and free[b]), key=free.__getitem__):
             while used > least and bins[b] and free[b]:
@@ -232,8 +233,6 @@ def _search(lengths: np.ndarray, order: np.ndarray, capacity: int, rounds: int)
                 if not free[b]:  # full bins leave the search
                     for i in bins[b]:
                         del owner[size_of[i]][i]
-        if not changed or used <= least:
-            break
     out = np.empty(len(size_of), np.int64)
     number = 0
     for pieces in bins:
@@ -244,34 +243,45 @@ def _search(lengths: np.ndarray, order: np.ndarray, capacity: int, rounds: int)
 
 
 def _best_step(b, bins, free, size_of, owner):
-    """The exchange that fills bin ``b`` most with a piece of a bin at most as full: (given, bin, taken)."""
+    """The exchange that fills bin ``b`` most with a piece of a bin at most as full: (given, bin, taken).
+
+    All lengths of the bin, and all pairs of them, are tried against all lengths held by others; of
+    equal rises the one that gives fewest pieces away is taken.
+    """
     room = free[b]
 
     def holder(size):
-        for i, c in owner.get(size, {}).items():
+        for i, c in owner[size].items():
             if c != b and free[c] >= room:
                 return c, (i,)
         return None
 
-    mine = list(dict.fromkeys(size_of[i] for i in bins[b]))[:16]
-    twos = sorted({x + y for k, x in enumerate(mine) for y in mine[:k]})
-    for rise in range(room, 0, -1):
-        found = holder(rise)
-        if found:
-            return (), *found
-        for size in mine:
-            found = holder(size + rise)
-            if found:
-                return (next(i for i in bins[b] if size_of[i] == size),), *found
-        for both in twos:
-            found = holder(both + rise)
+    pieces: dict[int, list[int]] = {}
+    for i in bins[b]:
+        pieces.setdefault(size_of[i], []).append(i)
+    mine = list(pieces)
+    twos = {}
+    for k, x in enumerate(mine):
+        for y in mine[: k + 1]:
+            if x != y or len(pieces[x]) > 1:
+                twos.setdefault(x + y, (x, y))
+    sizes = sorted(size for size, held in owner.items() if held)
+    best, most = None, 0
+    for total, given in ((0, ()), *((x, (x,)) for x in mine), *twos.items()):
+        at = bisect_right(sizes, total + room) - 1
+        while at >= 0 and sizes[at] - total > most:
+            found = holder(sizes[at])
             if found:
-                for k, x in enumerate(mine):
-                    for y in mine[:k]:
-                        if x + y == both:
-                            first = next(i for i in bins[b] if size_of[i] == x)
-                            return (first, next(i for i in bins[b] if size_of[i] == y)), *found
-    return None
+                best, most = (given, found), sizes[at] - total
+                break
+            at -= 1
+        if most == room:
+            break
+    if best is None:
+        return None
+    given, found = best
+    taken = [pieces[x][k if given[:k].count(x) else 0] for k, x in enumerate(given)]
+    return tuple(taken), *found
 
 
 def _pack_blocks(capacity: int):
@@ -287,27 +297,39 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK)
 
     Full pieces are sequences by themselves. The others are dealt by hash into blocks of about
     ``block`` pieces, and each block is packed by local search in one task. The pieces of sequences
-    that a block leaves underfull (less than 99.5 % of the capacity) are dealt and packed once more.
+    that blocks leave underfull (less than 99.5 % of the capacity) are dealt and packed again, as long
+    as that lowers the number of sequences.
     """
     partial = pieces.where(F.col("length") < capacity).select("pid", "length")
     schema = "pid long, length long, block int, bin long"
 
-    def dealt(rows: DataFrame, salt: int) -> DataFrame:
+    def dealt(rows: DataFrame, turn: int) -> tuple[DataFrame, int]:
         blocks = max(1, -(-rows.count() // block))
-        placed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "pid"), F.lit(blocks)).cast("int"))
-        return written(placed.groupBy("block").applyInPandas(_pack_blocks(capacity), schema), "packed")
-
-    first = dealt(partial, 0)
-    fill = first.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
-    good = fill.where(F.col("fill") * 200 >= F.lit(199 * capacity)).select("block", "bin")
-    kept = first.join(good, ["block", "bin"], "left_semi")
-    second = dealt(first.join(good, ["block", "bin"], "left_anti").select("pid", "length"), 1)
+        placed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "pid"), F.lit(blocks)).cast("int"))
+        return written(placed.groupBy("block").applyInPandas(_pack_blocks(capacity), schema), "packed"), blocks
 
     def numbered(rows: DataFrame, turn: int) -> DataFrame:
-        at = (F.col("block").cast("long") * F.lit(1 << 30) + F.col("bin")) * F.lit(2) + F.lit(turn)
+        at = F.lit(turn << 53) + F.col("block").cast("long") * F.lit(1 << 30) + F.col("bin")
         return rows.select("pid", "length", at.alias("sequence_id"))
 
-    together = numbered(kept, 0).unionByName(numbered(second, 1))
+    packed, blocks = dealt(partial, 0)
+    together, turn = None, 0
+    while True:
+        fill = packed.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
+        full = F.col("fill") * 200 >= F.lit(199 * capacity)
+        under = fill.where(~full).count()
+        again = None
+        if blocks > 1 and under > 1:
+            good = fill.where(full).select("block", "bin")
+            rest = packed.join(good, ["block", "bin"], "left_anti").select("pid", "length")
+            again, blocks = dealt(rest, turn + 1)
+            if again.select("block", "bin").distinct().count() >= under:
+                again = None
+        kept = packed if again is None else packed.join(good, ["block", "bin"], "left_semi")
+        together = numbered(kept, turn) if together is None else together.unionByName(numbered(kept, turn))
+        if again is None:
+            break
+        packed, turn = again, turn + 1
     inside = Window.partitionBy("sequence_id").orderBy("pid")  # at most as many pieces as ids fit
     before = F.sum("length").over(inside) - F.col("length")
     alone = pieces.where(F.col("length") >= capacity).select(
