@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.binding import let
 from tidemark.functions.text import normalise_text
 from tidemark.functions.timecode import clock_to_ms, is_timing
-from tidemark.sources.paths import mapped_files
+from tidemark.operators.sequence import attach, is_hot, number_rows, running
+from tidemark.session import materialise
+from tidemark.sources.lines import WHOLE_BYTES, read_lines
+from tidemark.sources.paths import below, mapped_files
 
 _MARK = "\ufeff"  # byte-order mark, ignored around a timing line
 
@@ -81,26 +84,69 @@ def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     cues = read.filter("reason is null").select(
         "source_id", "track_id", F.posexplode("_cues").alias("_pos", "_cue")
     )
-    cue_id = F.format_string("CUE_%06d", F.col("_pos") + 1)
+    return _named(cues.withColumn("_no", F.col("_pos") + 1)), rejects
+
+
+def _named(cues: DataFrame) -> DataFrame:
+    """Cue rows from ``_cue``, the ``_no``-th of its file."""
+    cue_id = F.format_string("CUE_%06d", F.col("_no"))
     cues = cues.select(
         "source_id", "track_id", cue_id.alias("cue_id"),
         F.col("_cue.start_ms").alias("start_ms"), F.col("_cue.end_ms").alias("end_ms"),
         F.col("_cue.text").alias("text"),
         F.concat_ws(":", F.lit("SUB"), "track_id", cue_id).alias("evidence_ref"),
     )
-    return cues.withColumn("normalized_text", normalise_text(F.col("text"))), rejects
+    return cues.withColumn("normalized_text", normalise_text(F.col("text")))
+
+
+def parse_cue_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of files of any size, from ``source_id, track_id, duration_ms, line_no, line``.
+
+    Only the lines of one block, between empty lines, ever meet in one value.
+    """
+    keys = ["source_id", "track_id", "duration_ms"]
+    hot = is_hot(lines, keys)
+    empty = lines.withColumn("_empty", (F.col("line") == "").cast("int"))
+    placed = running(empty, keys, ["line_no"], "_empty", "_block", hot=hot).where("_empty = 0")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    blocks = placed.groupBy(*keys, "_block").agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("_text")
+    )
+    # Unpacking a one-element list keeps the optimiser from parsing again for every later use.
+    read = materialise(blocks.select(*keys, "_block", F.explode(F.array(_read_block(F.col("_text")))).alias("_cue")))
+    clock = F.col("_cue.start_ms").isNull() | F.col("_cue.end_ms").isNull()
+    outside = (F.col("_cue.end_ms") <= F.col("_cue.start_ms")) | (F.col("_cue.end_ms") > F.col("duration_ms"))
+    is_cue = F.col("_cue.is_cue")
+    files = read.groupBy(*keys).agg(
+        F.max(F.col("_cue.broken") | (is_cue & clock)).alias("_unclear"),
+        F.max(is_cue & F.coalesce(outside, F.lit(False))).alias("_outside"),
+    )
+    reason = F.when(F.col("_unclear"), "broken_timing").when(F.col("_outside"), "interval_outside_source")
+    judged = files.withColumn("reason", reason)
+    good = attach(read.where(is_cue), judged.where("reason is null").select(*keys), keys, "left_semi")
+    cues = number_rows(good, keys, ["_block"], "_no", hot)
+    return _named(cues), judged.where("reason is not null").select("source_id", "track_id", "reason")
 
 
-def read_cues(spark: SparkSession, path: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_cues(
+    spark: SparkSession, path: str, files: DataFrame, whole_bytes: int = WHOLE_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """Read caption files below ``path``.
 
     ``files`` maps ``file_name``, the path below ``path``, to ``source_id, track_id, duration_ms``.
-    Rejects also name stored files without a row and rows without a stored file.
+    Rejects also name stored files without a row and rows without a stored file. Files above
+    ``whole_bytes`` are read by byte ranges, line by line.
     """
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named, unmatched = mapped_files(stored, path, files)
-    text = named.withColumn("content", F.decode("content", "UTF-8"))
-    cues, rejects = parse_cues(text.select("source_id", "track_id", "duration_ms", "content"))
+    keys = ["source_id", "track_id", "duration_ms"]
+    text = named.filter(F.col("length") <= whole_bytes).withColumn("content", F.decode("content", "UTF-8"))
+    cues, rejects = parse_cues(text.select(*keys, "content"))
+    large = named.filter(F.col("length") > whole_bytes).select("file_name", *keys)
+    if not large.isEmpty():
+        lines = read_lines(spark, path, whole_bytes).withColumn("file_name", below(F.col("path"), path))
+        more, spoiled = parse_cue_lines(lines.join(large, "file_name").select(*keys, "line_no", "line"))
+        cues, rejects = cues.unionByName(more), rejects.unionByName(spoiled)
     return cues, rejects.unionByName(
         unmatched.select("source_id", "track_id", "file_name", "reason"), allowMissingColumns=True
     )
