@@ -167,7 +167,11 @@ def clean_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """The whole rows of ``docs`` in which :func:`contamination` finds nothing."""
+    """The whole rows of ``docs`` in which :func:`contamination` finds nothing.
+
+    Null and empty texts and a benchmark without words leave nothing to find; repeated rows stay or go
+    together; all columns are kept, whatever they are called.
+    """
     ready(docs.sparkSession)
     clean = docs
     for shared, last in _automata(benchmark, item_id, item_text, window):

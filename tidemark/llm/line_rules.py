@@ -231,7 +231,11 @@ def passing_documents(
     min_left: float = MIN_LEFT,
     many_documents: int = MANY_DOCUMENTS,
 ) -> DataFrame:
-    """The whole rows that :func:`line_rules` keeps, with the common lines cut from their texts."""
+    """The whole rows that :func:`line_rules` keeps, with the common lines cut from their texts.
+
+    Null, empty and short texts go, as they fail the base rules; repeated rows stay or go together; a
+    null host is the empty one and stays null; all other columns are kept, whatever they are called.
+    """
     names = docs.columns
     typed = docs.withColumn(host_col, F.col(host_col).cast("string"))
     judged = _judged(typed, names.index(text_col), names.index(host_col), (min_documents, max_share, many_documents), True)

@@ -437,7 +437,8 @@ def distinct_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """One whole row of ``docs`` for each component of :func:`near_duplicates`: the one with the
-    smallest id, the first written among repeated ids. Rows without shingles all stay."""
+    smallest id, the first written among repeated ids; a null id counts as the largest. Rows without
+    shingles (null, empty and blank texts) all stay; all columns are kept, whatever they are called."""
     names = docs.columns
     sketches, placed = _grouped(docs, names.index(text_col), words, percent)
     at = f"c{names.index(id_col)}"

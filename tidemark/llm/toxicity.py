@@ -196,7 +196,8 @@ def _only(used: np.ndarray):
 
 
 def _prior_only(negatives: int, positives: int) -> Model:
-    return Model(np.zeros(DIMENSIONS, np.float32), float(np.log((positives + 0.5) / (negatives + 0.5))))
+    """Every text has the share of class 1; without any label, a third, so that nothing is rejected."""
+    return Model(np.zeros(DIMENSIONS, np.float32), float(np.log((positives + 0.5) / (negatives + 1.0))))
 
 
 def telling(in_one: np.ndarray, in_any: np.ndarray, ones: int, total: int, others: Others) -> np.ndarray:
@@ -382,6 +383,11 @@ def _below(model: Model, text_at: int):
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The whole rows of ``docs`` that :func:`score` does not predict to be toxic."""
+    """The whole rows of ``docs`` that :func:`score` does not predict to be toxic.
+
+    Null, empty and wordless texts have the score of the prior; repeated rows stay or go together; all
+    columns are kept, whatever they are called. A model without labels of both classes rejects all
+    rows if most labels are toxic, and none otherwise.
+    """
     ready(docs.sparkSession)
     return docs.mapInArrow(_below(model, docs.columns.index(text_col)), docs.schema)
