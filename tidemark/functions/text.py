@@ -158,7 +158,7 @@ def _differing_middle(left: Column, right: Column, keep: int, body: Callable[[Co
 
 def _levenshtein(left: Column, right: Column) -> Column:
     """Exact distance, sought in wider and wider bands: the work is length times distance."""
-    tried = [F.nullif(F.levenshtein(left, right, band), F.lit(-1)) for band in BANDS]
+    tried = [let(F.levenshtein(left, right, band), lambda d: F.when(d >= 0, d)) for band in BANDS]
     return F.coalesce(*tried, F.levenshtein(left, right))
 
 
@@ -187,7 +187,7 @@ def word_edit_distance(left: Column, right: Column) -> Column:
     surrogate range. Many words are numbered inside groups by hash, so that finding a word's number
     does not take longer the more words there are.
     """
-    groups = 256
+    groups, many = 256, 2_048
 
     def group_of(word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(groups)).cast("int")
@@ -200,12 +200,14 @@ def word_edit_distance(left: Column, right: Column) -> Column:
         return F.array_join(F.transform(values, sign), "")
 
     def grouped(names: Column) -> Column:
-        few = F.size(names) <= groups
-        by_hash = F.transform(
-            F.sequence(F.lit(0), F.lit(groups - 1)),
-            lambda g: F.filter(names, lambda w: group_of(w) == g),
-        )
-        return F.when(few, F.array(names)).otherwise(by_hash)
+        def by_hash(placed: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.lit(groups - 1)),
+                lambda g: F.transform(F.filter(placed, lambda p: p["g"] == g), lambda p: p["w"]),
+            )
+
+        placed = F.transform(names, lambda w: F.struct(group_of(w).alias("g"), w.alias("w")))
+        return F.when(F.size(names) <= many, F.array(names)).otherwise(let(placed, by_hash))
 
     def number_in(table: Column) -> Callable[[Column], Column]:
         def number(word: Column) -> Column:
@@ -217,6 +219,10 @@ def word_edit_distance(left: Column, right: Column) -> Column:
         return number
 
     def compare(a: Column, b: Column) -> Column:
+        one_sided = (F.size(a) == 0) | (F.size(b) == 0)
+        return F.when(one_sided, F.size(a) + F.size(b)).otherwise(both(a, b))
+
+    def both(a: Column, b: Column) -> Column:
         return let(
             grouped(F.array_distinct(F.concat(a, b))),
             lambda table: let(

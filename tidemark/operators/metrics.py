@@ -11,7 +11,7 @@ from tidemark.functions.scores import prf, presence, rate, ratio
 from tidemark.functions.text import edit_distance, normalise_text, word_edit_distance, words
 from tidemark.operators.matching import match_in_time
 from tidemark.operators.sequence import is_hot, number_rows
-from tidemark.session import FOLD_ROWS_KEY, limit
+from tidemark.session import FOLD_ROWS_KEY, limit, materialise
 
 
 def _counts(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -173,6 +173,8 @@ def frame_texts(regions: DataFrame) -> DataFrame:
 
     size = limit(regions.sparkSession, FOLD_ROWS_KEY)
     order = ["timestamp_ms", "observation_id"]
+    # Stored, so that measuring does not compute the regions twice.
+    regions = materialise(regions.select(*frame, *order, "normalized_text", "ocr_confidence"))
     if not is_hot(regions, frame, FOLD_ROWS_KEY):
         return regions.groupBy(*frame).agg(
             joined(order, "normalized_text").alias("predicted"), F.count(F.lit(1)).alias("regions"),
