@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.functions.digests import content_id
 from tidemark.functions.timecode import seconds_to_ms
 from tidemark.schemas import MEDIA_PROBE
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's steps; 64-bit numbers need at most 92 of them."""
+    """Greatest common divisor by Euclid's steps: at most five for each digit of the smaller number."""
+    steps = 5 * F.length(F.least(a, b).cast("string"))
     pair = F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     done = F.aggregate(
-        F.sequence(F.lit(1), F.lit(92)), pair,
+        F.sequence(F.lit(1), steps), pair,
         lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(
             F.struct(acc["b"].alias("a"), (acc["a"] % F.nullif(acc["b"], F.lit(0))).alias("b"))
         ),
@@ -27,14 +29,14 @@ def reduced_rate(text: Column) -> Column:
     parts = F.split(text, "/")
     top = F.get(parts, F.lit(0)).try_cast("long")
     bottom = F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).try_cast("long")
-    common = _gcd(top, bottom)
     usable = F.regexp_like(text, F.lit(r"^\d+(/\d+)?$")) & (bottom > 0)
-    shown_top = F.call_function("div", top, F.nullif(common, F.lit(0)))
-    shown_bottom = F.call_function("div", bottom, F.nullif(common, F.lit(0)))
-    return F.when(
-        usable,
-        F.when(shown_bottom == 1, shown_top.cast("string")).otherwise(F.concat_ws("/", shown_top, shown_bottom)),
-    )
+
+    def shown(common: Column) -> Column:
+        shown_top = F.call_function("div", top, F.nullif(common, F.lit(0)))
+        shown_bottom = F.call_function("div", bottom, F.nullif(common, F.lit(0)))
+        return F.when(shown_bottom == 1, shown_top.cast("string")).otherwise(F.concat_ws("/", shown_top, shown_bottom))
+
+    return F.when(usable, let(_gcd(top, bottom), shown))
 
 
 def parse_media(
