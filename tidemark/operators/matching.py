@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from tidemark.functions.binding import let
 from tidemark.functions.boxes import area, height, iou, width
@@ -130,6 +132,8 @@ def _fold_in_turn(
     g_from, p_from, n``: ``n`` copies of a gold row, behind the first ``g_from``, take as many copies of a
     prediction behind the first ``p_from``.
     """
+    if not hot:
+        return _scan_in_turn(near, keys, spots, p_times, own_order)
     types = dict(near.dtypes)
     if "reach" not in near.columns:
         near = near.withColumn("reach", F.lit(None).cast("long"))
@@ -191,6 +195,42 @@ def _fold_in_turn(
     return flows.drop("_island")
 
 
+def _scan_in_turn(
+    near: DataFrame, keys: Sequence[str], spots: Sequence[str], p_times: Sequence[str], own_order: bool
+) -> DataFrame:
+    """:func:`_fold_in_turn` for groups that fit a task, as one scan of sorted edges."""
+    gold = ["_gold"] if own_order else [c for c in spots if c != "turn"]  # names a gold row inside its group
+    edges = near.withColumn("_gold", F.col("turn.gold_id")) if own_order else near
+    edges = edges.select(*keys, *spots, *p_times, "error", "n_g", "n_p", *(["_gold"] if own_order else []))
+    added = StructType.fromDDL("g_from bigint, p_from bigint, n bigint")
+    placed = edges.repartition(*keys).sortWithinPartitions(*keys, *spots, "error", *p_times)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, turn, left, used = None, None, 0, {}
+        for batch in batches:
+            def rows(names: Sequence[str], batch=batch) -> Iterator[tuple]:
+                return zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+
+            flows, taken = [], []
+            for key, who, spot, (n_g, n_p) in zip(rows(keys), rows(gold), rows(p_times), rows(["n_g", "n_p"]), strict=True):
+                if key != group:
+                    group, turn, used = key, None, {}
+                if who != turn:
+                    turn, left = who, n_g
+                before = used.get(spot, 0)
+                count = min(left, n_p - before)
+                taken.append(count > 0)
+                if count > 0:
+                    flows.append((n_g - left, before, count))
+                    used[spot], left = before + count, left - count
+            kept = batch.filter(pa.array(taken, pa.bool_()))
+            new = [pa.array([f[i] for f in flows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*batch.schema.names, *added.names])
+
+    flows = placed.mapInArrow(scan, StructType([*edges.schema.fields, *added.fields]))
+    return flows.select(*[k for k in keys if k != "_island"], *spots, *p_times, *added.names)
+
+
 def _propose_in_turn(
     near: DataFrame, keys: Sequence[str], spots: Sequence[str], p_times: Sequence[str]
 ) -> DataFrame:
