@@ -96,32 +96,32 @@ def check_chunk_provenance(events: DataFrame, sources: DataFrame, size_ms: int,
 def check_revision_chain(final: DataFrame, provisional: DataFrame) -> DataFrame:
     """Final events without provisional predecessor, not advancing it, or repeated out of order.
 
-    Both sides are reduced to one row per event before they are joined.
+    Both sides go through one grouping, so no task sorts or joins them.
     """
     keys = ["source_id", "event_id"]
-    last = final.groupBy(*keys).agg(
-        F.max("revision").alias("revision"), F.min("revision").alias("_least"),
-        F.count(F.lit(1)).alias("_rows"), F.count_distinct("revision").alias("_revisions"),
+    sides = final.select(*keys, "revision", F.lit(True).alias("_final"), F.lit(0).alias("_provisional")).unionByName(
+        provisional.select(
+            *keys, "revision", F.lit(False).alias("_final"),
+            F.when(F.col("status") == "provisional", 1).otherwise(0).alias("_provisional"),
+        )
     )
-    before = provisional.groupBy(*keys).agg(
-        F.max("revision").alias("_provisional"),
-        F.max(F.when(F.col("status") == "provisional", 1).otherwise(0)).alias("_is_provisional"),
+    rows = sides.groupBy(*keys, "_final", "revision").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_provisional").alias("_provisional")
     )
-    joined = last.join(before, keys, "left")
-    missing = F.coalesce(F.col("_is_provisional"), F.lit(0)) == 0
-    return _union(
-        [
-            _report(joined.filter(missing), "revision_chain", "no_provisional", F.col("event_id")),
-            _report(
-                joined.filter(~missing & (F.col("_provisional") >= F.col("_least"))),
-                "revision_chain", "not_advancing", F.col("event_id"),
-            ),
-            _report(
-                joined.filter(F.col("_rows") > F.col("_revisions")),
-                "revision_chain", "not_increasing", F.col("event_id"),
-            ),
-        ]
+    last, before = F.col("_final"), ~F.col("_final")
+    events = rows.groupBy(*keys).agg(
+        F.min(F.when(last, F.col("revision"))).alias("_least"), F.sum(F.when(last, F.col("_n"))).alias("_rows"),
+        F.count(F.when(last, F.col("revision"))).alias("_revisions"),
+        F.max(F.when(before, F.col("revision"))).alias("_before"), F.max("_provisional").alias("_provisional"),
+    ).filter("_rows is not null")
+    missing = F.col("_provisional") == 0
+    rules = F.array(
+        F.when(missing, F.lit("no_provisional")),
+        F.when(~missing & (F.col("_before") >= F.col("_least")), F.lit("not_advancing")),
+        F.when(F.col("_rows") > F.col("_revisions"), F.lit("not_increasing")),
     )
+    named = events.withColumn("_rule", F.explode(F.filter(rules, lambda rule: rule.isNotNull())))
+    return _report(named, "revision_chain", F.col("_rule"), F.col("event_id"))
 
 
 def dangling_evidence(
