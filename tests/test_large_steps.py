@@ -42,3 +42,12 @@ def test_revisions_meet_in_one_grouping(spark):
     found = checks.check_revision_chain(final, before)
     assert {(r.subject, r.rule) for r in found.collect()} == {("b", "not_advancing"), ("b", "not_increasing"), ("c", "no_provisional")}
     assert "Join" not in analysed(found)
+
+
+def test_queries_keep_joined_partitions_small(spark):
+    from tidemark.plans.catalog import QUERIES
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.unset(key)
+    QUERIES["check_revision_chain"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "4m"

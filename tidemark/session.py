@@ -33,6 +33,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Sorted keys and numbers shrink to a dozen bytes a row when they are shuffled. Partitions joined up to the
+# usual 64 MB would then hold millions of rows, and a task's sorts and groupings gigabytes.
+JOINED_PARTITION = "4m"
+
+
+def bound_tasks(spark: SparkSession) -> SparkSession:
+    """Let shuffle partitions be joined up to a few megabytes only, so that tasks stay small in large tables."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED_PARTITION)
+    return spark
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     builder = (
