@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, matching
+from tidemark.operators import checks, matching, metrics
 from tidemark.sources.media import reduced_rate
 
 
@@ -51,3 +51,34 @@ def test_queries_keep_joined_partitions_small(spark):
     spark.conf.unset(key)
     QUERIES["check_revision_chain"](spark, "/root/testdata/sf0.001")
     assert spark.conf.get(key) == "4m"
+
+
+def test_references_of_regions_are_looked_up_in_one_pass(spark):
+    rows = [("s", "k1", 5, "a", "f"), ("s", "k1", 5, "a", "f"), ("s", "k1", 6, "b", "f"), ("s", "k2", -1, "c", "g"),
+            ("s", "k3", 7, "x", "y"), ("s", "k3", 7, "x", "y"), ("s", "k4", 8, "a", "y"), (None, "k1", None, None, "f"),
+            ("t", "k1", 9, "a", None)]
+    regions = spark.createDataFrame(
+        rows, "source_id string, keyframe_id string, timestamp_ms bigint, evidence_ref string, source_frame_evidence_ref string"
+    )
+    gold = spark.createDataFrame(
+        [("s", "k1", 5), ("s", "k1", 5), ("s", "k4", 8), ("s", "k4", 9)], "source_id string, keyframe_id string, timestamp_ms bigint"
+    )
+    known = spark.createDataFrame(
+        [("s", "a"), ("s", "a"), ("s", "f"), ("s", "g"), ("s", "c"), ("t", "a")], "source_id string, evidence_ref string"
+    )
+    found = metrics.integrity_counts(regions, gold, known)
+    got = {(r.source_id, r.regions, r.invalid_timestamps, r.unresolved_refs) for r in found.collect()}
+    assert got == {("s", 7, 3, 4), (None, 1, 1, 1), ("t", 1, 0, 1)}  # repeated evidence and gold rows count once
+    assert analysed(found).count("Join") == 2
+
+
+def test_regions_need_no_formatter_and_lines_are_numbered_once(spark):
+    from tidemark.plans import bindings
+    from tidemark.plans.catalog import QUERIES
+
+    days = spark.range(-1200, 1200, 7).select(F.col("id").alias("day"))
+    days = days.unionByName(spark.createDataFrame([(99_999,), (100_000,), (1_234_567,), (-99_999,), (-100_000,)], "day bigint"))
+    got = days.select("day", bindings._keyframe_of(F.col("day")).alias("k")).collect()
+    assert all(r.k == "KEY_%06d" % r.day for r in got)
+    plan = analysed(QUERIES["integrity_counts"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "lineitem" not in plan

@@ -285,24 +285,34 @@ def prediction_only_frames(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def integrity_counts(regions: DataFrame, gold: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Regions whose time is negative or not that of the gold frame, and unresolved references."""
-    keys = ["source_id", "keyframe_id"]
-    frames = gold.select(*keys, F.col("timestamp_ms").alias("_gold_ms"))
-    known = evidence.select("source_id", F.col("evidence_ref").alias("_ref"), F.lit(1).alias("_known"))
-    timed = regions.join(frames, keys, "left")
-    bad_time = F.col("timestamp_ms").isNull() | (F.col("timestamp_ms") < 0) | F.coalesce(
-        F.col("timestamp_ms") != F.col("_gold_ms"), F.lit(False)
-    )
-    timed = timed.withColumn("_bad_time", bad_time.cast("int")).select(
-        "source_id", "_bad_time", "evidence_ref", "source_frame_evidence_ref"
+    """Regions whose time is negative or not that of the gold frame, and unresolved references.
+
+    Times and references are looked up side by side, each with its own columns only, and both references of a
+    region in one pass over the evidence. A reference is resolved where evidence has it, however often. Gold
+    rows of one frame at different times agree with no region.
+    """
+    keys, refs = ["source_id", "keyframe_id"], ["evidence_ref", "source_frame_evidence_ref"]
+    none = F.lit(0).cast("long")
+    frames = gold.groupBy(*keys).agg(F.min("timestamp_ms").alias("_first_ms"), F.max("timestamp_ms").alias("_last_ms"))
+    differs = (F.col("timestamp_ms") != F.col("_first_ms")) | (F.col("timestamp_ms") != F.col("_last_ms"))
+    bad_time = F.col("timestamp_ms").isNull() | (F.col("timestamp_ms") < 0) | F.coalesce(differs, F.lit(False))
+    timed = regions.select(*keys, "timestamp_ms").join(frames, keys, "left").groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("regions"), F.count_if(bad_time).alias("invalid"), none.alias("unresolved")
     )
-    for column, name in (("evidence_ref", "_own"), ("source_frame_evidence_ref", "_frame")):
-        side = known.withColumnsRenamed({"_ref": column, "_known": name})
-        timed = timed.join(side, ["source_id", column], "left")
-    return timed.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("regions"),
-        F.sum("_bad_time").cast("long").alias("invalid_timestamps"),
-        F.count_if(F.col("_own").isNull() | F.col("_frame").isNull()).alias("unresolved_refs"),
+    asked = regions.select("source_id", F.inline(F.array(*[
+        F.struct(F.col(ref).alias("_ref"), F.col(other).alias("_other"), F.lit(ref == refs[0]).alias("_own"))
+        for ref, other in (refs, refs[::-1])
+    ])))
+    known = evidence.select("source_id", F.col("evidence_ref").alias("_ref"))
+    # Copies of a pair of references share their fate; a pair that misses both is asked for twice.
+    pair = [F.when(F.col("_own"), F.col(a)).otherwise(F.col(b)) for a, b in (("_ref", "_other"), ("_other", "_ref"))]
+    lost = asked.join(known, ["source_id", "_ref"], "left_anti").groupBy(
+        "source_id", pair[0].alias("_first"), pair[1].alias("_second")
+    ).agg(F.greatest(F.count_if("_own"), F.count_if(~F.col("_own"))).alias("unresolved"))
+    lost = lost.select("source_id", none.alias("regions"), none.alias("invalid"), "unresolved")
+    return timed.unionByName(lost).groupBy("source_id").agg(
+        F.sum("regions").alias("regions"), F.sum("invalid").alias("invalid_timestamps"),
+        F.sum("unresolved").alias("unresolved_refs"),
     )
 
 
