@@ -82,3 +82,13 @@ def test_regions_need_no_formatter_and_lines_are_numbered_once(spark):
     assert all(r.k == "KEY_%06d" % r.day for r in got)
     plan = analysed(QUERIES["integrity_counts"](spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan and "lineitem" not in plan
+
+
+def test_dangling_references_read_evidence_once(spark):
+    said = spark.createDataFrame([("s", "a"), ("s", "x"), ("s", "x"), ("t", "a"), (None, "a"), ("s", None)], "source_id string, evidence_ref string")
+    seen = spark.createDataFrame([("s", "b"), ("s", "y")], "source_id string, evidence_ref string")
+    known = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b")], "source_id string, evidence_ref string")
+    found = checks.dangling_evidence([("claims", said), ("cues", seen)], known)
+    got = sorted((r.source_id or "", r.rule, r.subject or "") for r in found.collect())
+    assert got == [("", "claims", "a"), ("s", "claims", ""), ("s", "claims", "x"), ("s", "claims", "x"), ("s", "cues", "y"), ("t", "claims", "a")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1

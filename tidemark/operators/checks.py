@@ -135,7 +135,11 @@ def dangling_evidence(
         references = _union(
             [df.select("source_id", "evidence_ref", F.lit(origin).alias("origin")) for origin, df in references]
         )
-    named = references.withColumnRenamed("origin", "rule")
+    # References mostly are a union, and an anti join would be moved into each part of it and read evidence
+    # again there. It stays above references that come out of arrays.
+    named = references.select(
+        "source_id", F.inline(F.array(F.struct(F.col("origin").alias("rule"), "evidence_ref")))
+    )
     lost = named.join(evidence.select("source_id", "evidence_ref"), ["source_id", "evidence_ref"], "left_anti")
     return _report(lost, "evidence_refs", F.col("rule"), F.col("evidence_ref"))
 

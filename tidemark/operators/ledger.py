@@ -23,17 +23,18 @@ PART_ROWS = 10_000  # claims per nested ledger row
 _INTERVAL = ["source_id", "start_ms", "end_ms"]
 
 
-def number_claims(observations: DataFrame, adapters: Sequence[str]) -> DataFrame:
+def number_claims(observations: DataFrame, adapters: Sequence[str], hot: bool | None = None) -> DataFrame:
     """Flat claim table: every observation with its event number and running claim number.
 
     Events are the distinct intervals of a source in (start, end) order; claims run on over
-    (start, end, observation id, adapter order).
+    (start, end, observation id, adapter order). ``hot`` states whether some source is too large for one task.
     """
     rows = observations.withColumn("evidence_ref", evidence_ref()).withColumn(
         "_rank", adapter_rank(adapters)
     )
     order = ["start_ms", "end_ms", "observation_id", "_rank"]
-    hot = is_hot(rows, ["source_id"])
+    if hot is None:
+        hot = is_hot(rows, ["source_id"])
     if not hot:
         # Both numbers come from one sort of each source.
         window = W.partitionBy("source_id")
