@@ -92,3 +92,12 @@ def test_dangling_references_read_evidence_once(spark):
     got = sorted((r.source_id or "", r.rule, r.subject or "") for r in found.collect())
     assert got == [("", "claims", "a"), ("s", "claims", ""), ("s", "claims", "x"), ("s", "claims", "x"), ("s", "cues", "y"), ("t", "claims", "a")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+
+
+def test_queries_read_files_in_small_splits(spark):
+    from tidemark.plans.catalog import QUERIES
+
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.unset(key)
+    QUERIES["integrity_counts"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "16m"

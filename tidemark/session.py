@@ -36,11 +36,14 @@ def configure(spark: SparkSession) -> SparkSession:
 # Sorted keys and numbers shrink to a dozen bytes a row when they are shuffled. Partitions joined up to the
 # usual 64 MB would then hold millions of rows, and a task's sorts and groupings gigabytes.
 JOINED_PARTITION = "4m"
+# Stored numbers are as small: a split of the usual 128 MB holds more than ten million rows.
+READ_PARTITION = "16m"
 
 
 def bound_tasks(spark: SparkSession) -> SparkSession:
-    """Let shuffle partitions be joined up to a few megabytes only, so that tasks stay small in large tables."""
+    """Let shuffle partitions be joined, and files be read, by a few megabytes only, so that tasks stay small in large tables."""
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED_PARTITION)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", READ_PARTITION)
     return spark
 
 
