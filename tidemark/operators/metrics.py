@@ -227,16 +227,24 @@ def frame_text_score(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scored.groupBy(*by).agg(*_text_rates())
 
 
+def _presence_of(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Whether frames show text: their own ``has_text``, or else that their text is not empty."""
+    shown = F.col("has_text") if "has_text" in df.columns else F.col(text) != ""
+    return df.select("source_id", "keyframe_id", F.coalesce(shown, F.lit(False)).alias(name))
+
+
 def presence_score(predicted: DataFrame, gold: DataFrame, universe: str = "all") -> DataFrame:
     """Text present or absent per frame. ``'all'`` counts frames known to the prediction only as
-    false positives, ``'gold'`` looks at gold frames alone."""
+    false positives, ``'gold'`` looks at gold frames alone.
+
+    A side with the column ``has_text`` says itself which frames show text; a text found may be empty.
+    """
     if universe not in ("all", "gold"):
         raise ValueError("universe must be 'all' or 'gold'")
     keys = ["source_id", "keyframe_id"]
     how = "full" if universe == "all" else "left"
-    joined = gold.select(*keys, "transcription").join(predicted.select(*keys, "predicted"), keys, how)
-    expects = F.coalesce(F.col("transcription"), F.lit("")) != ""
-    has = F.coalesce(F.col("predicted"), F.lit("")) != ""
+    joined = _presence_of(gold, "transcription", "_expects").join(_presence_of(predicted, "predicted", "_has"), keys, how)
+    expects, has = F.coalesce("_expects", F.lit(False)), F.coalesce("_has", F.lit(False))
     counts = joined.agg(
         F.count_if(expects & has).alias("tp"), F.count_if(~expects & has).alias("fp"),
         F.count_if(expects & ~has).alias("fn"),
@@ -274,13 +282,10 @@ def track_compression(tracks: DataFrame, regions: DataFrame) -> DataFrame:
 def prediction_only_frames(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Frames with predictions that the gold table does not know, and gold text without any."""
     keys = ["source_id", "keyframe_id"]
-    joined = predicted.select(*keys, "predicted").join(gold.select(*keys, "transcription"), keys, "full")
+    joined = _presence_of(predicted, "predicted", "_has").join(_presence_of(gold, "transcription", "_expects"), keys, "full")
     return joined.agg(
-        F.count_if(F.col("transcription").isNull()).alias("prediction_only"),
-        F.count_if(
-            (F.coalesce(F.col("transcription"), F.lit("")) != "")
-            & (F.coalesce(F.col("predicted"), F.lit("")) == "")
-        ).alias("gold_text_without_prediction"),
+        F.count_if(F.col("_expects").isNull()).alias("prediction_only"),
+        F.count_if(F.coalesce("_expects", F.lit(False)) & ~F.coalesce("_has", F.lit(False))).alias("gold_text_without_prediction"),
     )
 
 
