@@ -31,7 +31,9 @@ def connection(folder):
     return found
 
 
-@pytest.mark.parametrize("name", ["presence_score", "presence_score_gold", "prediction_only_frames"])
+@pytest.mark.parametrize("name", [
+    "presence_score", "presence_score_gold", "prediction_only_frames", "word_error", "char_error", "frame_text_score", "stratify",
+])
 def test_query_on_odd_texts(spark, connection, folder, name):
     _, _, problem = compare.compare(spark, connection, name, queries()[name], oracle_sql()[name], folder)
     assert problem is None

@@ -195,12 +195,22 @@ def frame_texts(regions: DataFrame) -> DataFrame:
 
 
 def score_frames(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Edits of each gold frame; a frame without prediction is compared with empty text."""
+    """Edits of each gold frame; a frame without prediction is compared with empty text and no words.
+
+    Sides may bring their own word arrays, ``predicted_words`` and ``transcription_words``; otherwise words are
+    what whitespace parts.
+    """
     keys = ["source_id", "keyframe_id"]
-    extra = [c for c in predicted.columns if c not in keys and c != "predicted"]
-    joined = gold.join(predicted.select(*keys, "predicted", *extra), keys, "left")
-    joined = joined.withColumn("predicted", F.coalesce("predicted", F.lit("")))
-    joined = joined.withColumns({"_pw": words(F.col("predicted")), "_gw": words(F.col("transcription"))})
+
+    def own_or(name: str, df: DataFrame, text: str) -> Column:
+        return F.col(name) if name in df.columns else words(F.col(text))
+
+    extra = [c for c in predicted.columns if c not in (*keys, "predicted", "predicted_words")]
+    found = predicted.select(*keys, "predicted", *extra, own_or("predicted_words", predicted, "predicted").alias("_pw"))
+    joined = gold.withColumn("_gw", own_or("transcription_words", gold, "transcription")).join(found, keys, "left")
+    joined = joined.withColumns({
+        "predicted": F.coalesce("predicted", F.lit("")), "_pw": F.coalesce("_pw", F.array().cast("array<string>")),
+    })
     return joined.withColumns(
         {
             "exact": (F.col("predicted") == F.col("transcription")).cast("long"),
@@ -209,7 +219,7 @@ def score_frames(predicted: DataFrame, gold: DataFrame) -> DataFrame:
             "word_edits": word_edit_distance(F.col("_pw"), F.col("_gw")),
             "words": F.size("_gw").cast("long"),
         }
-    ).drop("_pw", "_gw")
+    ).drop("_pw", "_gw", "transcription_words")
 
 
 def _text_rates() -> list[Column]:
